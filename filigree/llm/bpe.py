@@ -145,7 +145,7 @@ class PairMerger:
 
     WIDE = 48
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 200_000):
         self.ranks, self.cache, self.cache_size = ranks, {}, cache_size
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(ranks_path)
         lengths = np.array([len(x) for x in own.tokens], np.int64)
-        for block in in_blocks(batches):
+        for block in in_blocks(batches, limit=1 << 20):
             data, offsets = utf8(block.column("text"))
             starts, at = slices(data, offsets)
             raw, ends = data.tobytes(), np.append(starts[1:], len(data))
