@@ -9,6 +9,8 @@ Null and empty texts hold the end id alone. Rows with equal doc_id stay next to
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,35 +20,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks
+from .common import arrow_map, in_blocks, utf8
 
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 
 
+#: ASCII lower-cased; the vocabulary is lower case.
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+#: Parts between which words are kept apart: a character that is a token of its own.
+_MARK = "\x01"
+
+
 class WordEncoder:
     """Texts to ids with the tokenizers library.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so each distinct word is encoded
-    once and then taken from a cache. Only for tokenizers of that kind.
+    once and then taken from a cache. Words that the normaliser would leave as they are go, cut into runs of
+    letters, single numbers and runs of the rest, through a copy of the tokenizer without its slow normaliser and
+    pattern; all others through the tokenizer itself. Only for tokenizers of that kind.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_size = Tokenizer.from_file(path), {"": b""}, cache_size
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(x or "").replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
+        self.tokenizer, self.cache, self.cache_size = Tokenizer.from_file(path), {}, cache_size
+        plain = json.loads(self.tokenizer.to_str())
+        plain["normalizer"] = None
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.odd = regex.compile(r"['\s\p{C}]|<\|").search
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        assert len(self.mark) == 1
+
+    def _add(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
+        for k in range(0, len(words), 1000):
+            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, "<u4")
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(words[k : k + 1000], [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], strict=True):
+                self.cache[w] = raw[4 * a : 4 * b]
+                a = b + 1
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [x.translate(_LOWER).split() for x in texts]
         if len(self.cache) > self.cache_size:
-            self.cache = {"": b""}
-        missing = list({w for x in words for w in x} - self.cache.keys())
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(x.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+            self.cache.clear()
+        get = self.cache.get
+        made = [list(map(get, x)) for x in words]
+        plain, pieces, other, whole = [], [], [], []
+        for w in {w for x, v in zip(words, made, strict=True) if None in v for w, i in zip(x, v, strict=True) if i is None}:
+            text = w.decode()
+            if text.isascii() and text.isalpha():
+                plain.append(w)
+                pieces.append(text)
+            elif self.odd(text) or text.lower() != text or not unicodedata.is_normalized("NFC", text):
+                if _MARK in text:
+                    self.cache[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    other.append(w)
+                    whole.append(text)
+            else:
+                plain.append(w)
+                pieces.append(" ".join(self.pieces(text)))
+        self._add(self.plain, plain, pieces)
+        self._add(self.tokenizer, other, whole)
+        return [b"".join(v if None not in v else [get(w) if i is None else i for w, i in zip(x, v, strict=True)]) for x, v in zip(words, made, strict=True)]
 
 
 @lru_cache(2)
@@ -62,7 +102,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = encoder(tokenizer_path), 0
         for block in in_blocks(batches, rows=4096):
-            made = [x + end for x in own.encode(block.column("text").to_pylist())]
+            data, at = utf8(block.column("text"))
+            raw = data.tobytes()
+            made = [x + end for x in own.encode([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])]
             sizes = np.array([len(x) // 4 for x in made], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<i4")))
@@ -108,6 +150,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def files_for(docs: DataFrame) -> int:
-    """How many files docs take at FILE_BYTES each, from the sizes of the texts."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """How many files docs take at about FILE_BYTES each: by n_chars where there is one, else by the texts."""
+    total = docs.agg(F.sum("n_chars" if "n_chars" in docs.columns else F.octet_length("text"))).first()[0] or 0
     return max(1, -(-total // FILE_BYTES))
