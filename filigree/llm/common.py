@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be very long, so a batch stays short.
 BATCH_ROWS = 256
@@ -45,9 +46,10 @@ def remove_tables(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with short batches, as one row may hold megabytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with short batches, as one row may hold megabytes. Narrow rows can come in longer ones; write such
+    a step at once, as the setting holds for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
     return df.mapInArrow(step, schema)
 
@@ -89,3 +91,29 @@ def ragged(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+
+
+def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, rows: int = BATCH_ROWS) -> np.ndarray:
+    """The sum over all partitions of an array of fixed size that counts() makes of each. Chunks of it are added up
+    in two rounds, so no task and not the driver holds more than a few hundred chunks."""
+    chunk = min(size, 1 << 14)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counts(batches).astype("<u8")
+        for k in range(0, size, chunk):
+            if (part := own[k : k + chunk]).any():
+                small = part.astype("<u2") if part.max() < 1 << 16 else part
+                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, "<u8")
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(x, "<u2" if len(x) == 2 * chunk else "<u8")
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "chunk int, counts binary"
+    parts = arrow_map(df, local, kind, rows)
+    total = np.zeros(size, np.uint64)
+    for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind).collect():
+        total[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, "<u8")
+    return total

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, fingerprints, kd_sharding, pii, quality, token_orc, wrappers
+from . import bpe, common, decontaminate, fingerprints, jaccard_join, kd_sharding, pii, quality, token_orc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(_table(spark, sf_dir, "documents"))
+
+
 def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -65,5 +69,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op6_pii, op7_quality, op9_wrappers, op10_kd_sharding)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
 ORACLE_SQL: dict[str, str] = {}

@@ -36,9 +36,10 @@ class WordEncoder:
     """Texts to ids with the tokenizers library.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so each distinct word is encoded
-    once and then taken from a cache. Words that the normaliser would leave as they are go, cut into runs of
-    letters, single numbers and runs of the rest, through a copy of the tokenizer without its slow normaliser and
-    pattern; all others through the tokenizer itself. Only for tokenizers of that kind.
+    once and then taken from a cache. Words that the normaliser would leave as they are are cut into runs of
+    letters, single numbers and runs of the rest; such pieces are cached too, and go through a copy of the tokenizer
+    without its slow normaliser and pattern. All others go through the tokenizer itself. Only for tokenizers of
+    that kind.
     """
 
     def __init__(self, path: str, cache_size: int = 500_000):
@@ -55,37 +56,41 @@ class WordEncoder:
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
 
-    def _add(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
-        for k in range(0, len(words), 1000):
-            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, "<u4")
+    def _add(self, tokenizer, texts: list[str]) -> None:
+        """Encode distinct texts into the cache, many in one call."""
+        for k in range(0, len(texts), 1000):
+            part = texts[k : k + 1000]
+            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             raw, a = ids.tobytes(), 0
-            for w, b in zip(words[k : k + 1000], [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], strict=True):
-                self.cache[w] = raw[4 * a : 4 * b]
+            for text, b in zip(part, [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], strict=True):
+                self.cache[text.encode()] = raw[4 * a : 4 * b]
                 a = b + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [x.translate(_LOWER).split() for x in texts]
-        if len(self.cache) > self.cache_size:
-            self.cache.clear()
-        get = self.cache.get
+        cache = self.cache
+        if len(cache) > self.cache_size:
+            cache.clear()
+        get = cache.get
         made = [list(map(get, x)) for x in words]
-        plain, pieces, other, whole = [], [], [], []
+        pieces, joined, other = set(), {}, []
         for w in {w for x, v in zip(words, made, strict=True) if None in v for w, i in zip(x, v, strict=True) if i is None}:
             text = w.decode()
             if text.isascii() and text.isalpha():
-                plain.append(w)
-                pieces.append(text)
+                pieces.add(text)
             elif self.odd(text) or text.lower() != text or not unicodedata.is_normalized("NFC", text):
                 if _MARK in text:
-                    self.cache[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    cache[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 else:
-                    other.append(w)
-                    whole.append(text)
+                    other.append(text)
             else:
-                plain.append(w)
-                pieces.append(" ".join(self.pieces(text)))
-        self._add(self.plain, plain, pieces)
-        self._add(self.tokenizer, other, whole)
+                joined[w] = own = self.pieces(text)
+                pieces.update(own)
+        self._add(self.plain, [x for x in pieces if x.encode() not in cache])
+        self._add(self.tokenizer, other)
+        for w, own in joined.items():
+            if len(own) > 1:
+                cache[w] = b"".join([cache[x.encode()] for x in own])
         return [b"".join(v if None not in v else [get(w) if i is None else i for w, i in zip(x, v, strict=True)]) for x, v in zip(words, made, strict=True)]
 
 
@@ -119,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: i
     """Encode docs into that many ORC files at path, in ascending doc_id order across and inside the files."""
     dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     made = encode(dealt, tokenizer_path, end_id)
-    made.write.options(**{"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(path)
+    made.write.options(**{"orc.compress": "NONE", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
