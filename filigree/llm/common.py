@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textarrays import mix
+
 #: Rows of one Arrow batch. Texts may be very long, so a batch stays short.
 BATCH_ROWS = 256
 #: Text bytes that a Python worker gathers before it works on them as one block.
@@ -117,3 +119,31 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind).collect():
         total[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, "<u8")
     return total
+
+
+#: Cells of a Bloom filter of ids: 1 MB as bits, whatever it holds. A full one lets everything pass, which is slower but right.
+FILTER_CELLS = 1 << 23
+
+
+def _cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = mix(ids.astype(np.int64).view(np.uint64))
+    return (h & np.uint64(FILTER_CELLS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (FILTER_CELLS - 1)
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """A Bloom filter of a column of ids, as packed bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(FILTER_CELLS, np.int64)
+        for batch in batches:
+            for at in _cells(numbers(batch.column(column).fill_null(0))):
+                total[at] = 1
+        return total
+
+    return np.packbits(summed(ids.select(column).coalesce(8), count, FILTER_CELLS, 1 << 15) > 0, bitorder="little")
+
+
+def maybe_in(found: np.ndarray, ids: pa.Array) -> np.ndarray:
+    a, b = _cells(numbers(ids.fill_null(0)))
+    return ((found[a >> 3] >> (a & 7).astype(np.uint8)) & (found[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)

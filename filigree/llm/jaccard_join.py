@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, ragged, summed, utf8, written
+from .common import arrow_map, id_filter, in_blocks, maybe_in, ragged, summed, utf8, written
 from .components import components
 from .textarrays import mix, shingle_sets
 
@@ -139,21 +139,12 @@ def _alike(n, m):
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id and the whole set (ascending) of the documents in ids, and of some others. A Bloom filter of fixed size
-    (2**23 cells, two hashes) keeps the texts of the rest from being moved."""
-    size = 1 << 23
-
-    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            h = mix(x.astype(np.int64).view(np.uint64))
-        return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (size - 1)
-
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(ids, places, size))
+    keeps the texts of the rest from being moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
         for batch in batches:
-            a, b = places(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
-            block = batch.filter(pa.array((cells[a >> 3] >> (a & 7).astype(np.uint8) & 1 & cells[b >> 3] >> (b & 7).astype(np.uint8)).astype(bool)))
+            block = batch.filter(pa.array(maybe_in(shared.value, batch.column("doc_id"))))
             if block.num_rows:
                 found, at = shingle_sets(*utf8(block.column("text")), width)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), ragged(found.view(np.int64), at, pa.int64())], ["doc_id", "tokens"])
@@ -161,19 +152,6 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return arrow_map(_texts(docs), run, "doc_id long, tokens array<long>")
 
 
-def _bits(ids: DataFrame, places, size: int) -> np.ndarray:
-    """A Bloom filter of ids, as packed bits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for at in places(batch.column("doc_id").to_numpy(zero_copy_only=False)):
-                total[at] = 1
-        return total
-
-    return np.packbits(summed(ids.coalesce(8), count, size, 1 << 15) > 0, bitorder="little")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")

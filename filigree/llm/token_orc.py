@@ -20,15 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, utf8
+from .common import arrow_map, in_blocks, ragged, utf8
+from .textarrays import lowered, white_space_words, word_hashes
 
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
 
 
-#: ASCII lower-cased; the vocabulary is lower case.
-_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-#: Parts between which words are kept apart: a character that is a token of its own.
+#: What keeps words apart in one call: a character that is a token of its own.
 _MARK = "\x01"
 
 
@@ -36,17 +35,17 @@ class WordEncoder:
     """Texts to ids with the tokenizers library.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so each distinct word is encoded
-    once and then taken from a cache. Words that the normaliser would leave as they are are cut into runs of
-    letters, single numbers and runs of the rest; such pieces are cached too, and go through a copy of the tokenizer
-    without its slow normaliser and pattern. All others go through the tokenizer itself. Only for tokenizers of
-    that kind.
+    once and its ids are kept in one array, found by the word's 64-bit hash. Words are hashed and their ids gathered
+    for a block of texts at once. Words that the normaliser would leave as they are go, cut into runs of
+    letters, single numbers and runs of the rest, through a copy of the tokenizer without its slow normaliser and
+    pattern; all others through the tokenizer itself. Only for tokenizers of that kind.
     """
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, end_id: int, cache_size: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_size = Tokenizer.from_file(path), {}, cache_size
+        self.tokenizer, self.end_id, self.cache_size = Tokenizer.from_file(path), end_id, cache_size
         plain = json.loads(self.tokenizer.to_str())
         plain["normalizer"] = None
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
@@ -55,66 +54,89 @@ class WordEncoder:
         self.odd = regex.compile(r"['\s\p{C}]|<\|").search
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
+        self._clear()
 
-    def _add(self, tokenizer, texts: list[str]) -> None:
-        """Encode distinct texts into the cache, many in one call."""
+    def _clear(self) -> None:
+        """Place 0 holds the end id."""
+        self.known: dict[int, int] = {}
+        self.ids, self.at, self.sizes = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(hashes, range(len(self.at), len(self.at) + len(hashes)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def _encode(self, tokenizer, hashes: list[int], texts: list[str]) -> None:
+        made, sizes = [], []
         for k in range(0, len(texts), 1000):
-            part = texts[k : k + 1000]
-            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, a = ids.tobytes(), 0
-            for text, b in zip(part, [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)], strict=True):
-                self.cache[text.encode()] = raw[4 * a : 4 * b]
-                a = b + 1
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.translate(_LOWER).split() for x in texts]
-        cache = self.cache
-        if len(cache) > self.cache_size:
-            cache.clear()
-        get = cache.get
-        made = [list(map(get, x)) for x in words]
-        pieces, joined, other = set(), {}, []
-        for w in {w for x, v in zip(words, made, strict=True) if None in v for w, i in zip(x, v, strict=True) if i is None}:
+            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            mark = ids == self.mark[0]
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(ids)]])) - 1)
+            made.append(ids[~mark])
+        if made:
+            self._add(hashes, np.concatenate(made), np.concatenate(sizes))
+
+    def learn(self, hashes: list[int], words: list[bytes]) -> None:
+        plain, pieces, other, whole = [], [], [], []
+        for h, w in zip(hashes, words, strict=True):
             text = w.decode()
             if text.isascii() and text.isalpha():
-                pieces.add(text)
+                plain.append(h)
+                pieces.append(text)
             elif self.odd(text) or text.lower() != text or not unicodedata.is_normalized("NFC", text):
                 if _MARK in text:
-                    cache[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    self._add([h], ids, np.array([len(ids)]))
                 else:
-                    other.append(text)
+                    other.append(h)
+                    whole.append(text)
             else:
-                joined[w] = own = self.pieces(text)
-                pieces.update(own)
-        self._add(self.plain, [x for x in pieces if x.encode() not in cache])
-        self._add(self.tokenizer, other)
-        for w, own in joined.items():
-            if len(own) > 1:
-                cache[w] = b"".join([cache[x.encode()] for x in own])
-        return [b"".join(v if None not in v else [get(w) if i is None else i for w, i in zip(x, v, strict=True)]) for x, v in zip(words, made, strict=True)]
+                plain.append(h)
+                pieces.append(" ".join(self.pieces(text)))
+        self._encode(self.plain, plain, pieces)
+        self._encode(self.tokenizer, other, whole)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and the n + 1 id offsets of the texts."""
+        if len(self.known) > self.cache_size:
+            self._clear()
+        data = lowered(data)
+        starts, ends, at = white_space_words(data, offsets)
+        hashes = word_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.ones(len(ranked), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        first = order[fresh]
+        distinct = ranked[fresh].tolist()
+        missing = [k for k, h in enumerate(distinct) if h not in self.known]
+        if missing:
+            raw, own = data.tobytes(), first[missing]
+            self.learn([distinct[k] for k in missing], [raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.cumsum(fresh) - 1]
+        place = np.insert(place, at[1:], 0)
+        sizes = self.sizes[place]
+        total = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.at[place] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.concatenate([[0], total[at[1:] + np.arange(len(at) - 1)]])
 
 
 @lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, end_id: int) -> WordEncoder:
+    return WordEncoder(path, end_id)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, column: str = "text") -> DataFrame:
     """doc_id and `ids`, each text's ids and the end id; rows and partitions keep their order. `part` numbers the
     partition, and `local_start` counts the ids before the row in it."""
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before = encoder(tokenizer_path), 0
-        for block in in_blocks(batches, rows=4096):
-            data, at = utf8(block.column("text"))
-            raw = data.tobytes()
-            made = [x + end for x in own.encode([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])]
-            sizes = np.array([len(x) // 4 for x in made], np.int64)
-            ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<i4")))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("part"), pa.array(before + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"])
-            before += int(ends[-1])
+        own, before = encoder(tokenizer_path, end_id), 0
+        for block in in_blocks(batches, limit=2 << 20):
+            ids, at = own.encode(*utf8(block.column("text")))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("part"), pa.array(before + at[:-1]), pa.array(np.diff(at)), ragged(ids.astype(np.int32), at, pa.int32())], ["doc_id", "part", "local_start", "n_tokens", "ids"])
+            before += int(at[-1])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.spark_partition_id().alias("part"), F.col(column).cast("string").alias("text"))
     return arrow_map(rows, run, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
@@ -124,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: i
     """Encode docs into that many ORC files at path, in ascending doc_id order across and inside the files."""
     dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     made = encode(dealt, tokenizer_path, end_id)
-    made.write.options(**{"orc.compress": "NONE", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(path)
+    made.write.options(**{"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
