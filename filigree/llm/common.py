@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textarrays import mix
 
@@ -48,7 +49,7 @@ def remove_tables(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with short batches, as one row may hold megabytes. Narrow rows can come in longer ones; write such
     a step at once, as the setting holds for the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -82,6 +83,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+#: Ids of dropped documents are sent to every executor up to this many; beyond it both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (one column), with all their columns. Texts are moved only if the ids
+    are too many to be sent."""
+    gone = written(ids.toDF("_gone").distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def numbers(column: pa.Array, kind=np.int64) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(kind)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, utf8
+from .common import arrow_map, in_blocks, utf8, without
 
 WINDOW = 10
 #: Benchmark words sent to the workers at a time: some 50 MB with their numbers.
@@ -169,8 +169,7 @@ def covered(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any match, with all their columns."""
-    bad = matches(docs, benchmark, width).where(F.size("matches") > 0).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    return without(docs, matches(docs, benchmark, width).where(F.size("matches") > 0).select("doc_id"))
 
 
 __all__ = ["covered", "decontaminate", "matches", "suffix_array"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_filter, in_blocks, maybe_in, ragged, summed, utf8, written
+from .common import arrow_map, id_filter, in_blocks, maybe_in, ragged, summed, utf8, without, written
 from .components import components
 from .textarrays import mix, shingle_sets
 
@@ -322,3 +322,8 @@ def components_of(docs: DataFrame, width: int = 5) -> DataFrame:
     comps = components(links)
     member = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(classes, ["h1", "h2"], "left")
     return member.join(comps, member["rep"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that are their component's smallest doc_id."""
+    return without(docs, components_of(docs, width).where("component_id <> doc_id").select("doc_id"))

@@ -146,3 +146,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, rest))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with personal data replaced in text, and n_chars (where there is one) as long as the new text."""
+    order = docs.columns
+    out = docs.withColumn("_spans", find(F.col("text").cast("string")))
+    out = out.withColumn("text", redacted(F.col("text").cast("string"), F.col("_spans"))).drop("_spans")
+    if "n_chars" in order:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in order])

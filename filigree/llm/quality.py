@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, ragged, utf8, written
+from .common import arrow_map, id_filter, in_blocks, maybe_in, ragged, utf8, written
 from .textarrays import lowered, runs, shingles, white_space_words, word_hashes
 
 THRESHOLD = 0.3
@@ -164,3 +164,27 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(x), pa.float64())], ["doc_id", "score"])
 
     return arrow_map(found, run, "doc_id long, score double")
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the labels that are not held out. A Bloom filter keeps most texts without a label from being measured."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(labels.select(F.col("doc_id").cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(shared.value, batch.column("doc_id"))))
+
+    named = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text string")
+    return fit(training_rows(features(named), labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.scores(statistics(*utf8(batch.column("text")))) >= threshold))
+
+    return arrow_map(docs, run, docs.schema)

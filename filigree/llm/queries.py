@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, fingerprints, jaccard_join, kd_sharding, pii, quality, token_orc, wrappers
+from . import bpe, common, decontaminate, fingerprints, jaccard_join, kd_sharding, pii, quality, run_index, token_orc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_multi_50k.tiktoken")
     out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
@@ -69,5 +73,5 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
+QUERIES = {f.__name__: f for f in (op1_run_index, op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
 ORACLE_SQL: dict[str, str] = {}

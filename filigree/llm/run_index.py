@@ -4,7 +4,7 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
 earlier in the same one.
 
 1. Every window of LENGTH bytes has an anchor: its least hash of GRAM bytes. Neighbouring windows with the same
-   anchor make a segment. Equal windows have equal anchors, so only segments of one anchor can share a window.
+   anchor at the same place make a segment, so no window occurs twice in a segment. Equal windows have equal anchors, so only segments of one anchor can share a window.
 2. Segments meet by anchor. Equal segments are settled at once, in each worker's block of texts before they are
    moved and then across workers: all but the first repeat earlier text. An anchor with one distinct segment is done.
 3. The distinct segments of all other anchors are the repetitive part that is not plain. They are indexed in bundles
@@ -32,8 +32,6 @@ from .common import arrow_map, id_filter, in_blocks, maybe_in, numbers, utf8, wr
 from .textarrays import random_words, runs, word_hashes
 
 LENGTH, GRAM = 100, 32
-#: Windows of one segment at most; a longer run (periodic text) is several.
-SEGMENT_WINDOWS = 64
 #: Bytes and segments that are indexed together.
 BUNDLE_BYTES, BUNDLE_SEGMENTS = 2 << 20, 30_000
 _BYTE = random_words(21, 256)
@@ -53,9 +51,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         return h * _STEP[0]
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The least gram hash of the window from each place on."""
-    low, width = gram_hashes(data), 1
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The least gram hash of the window from each place on, and whether it is that of the window's first gram."""
+    grams = gram_hashes(data)
+    low, width = grams.copy(), 1
     wanted = length - GRAM + 1
     while 2 * width <= wanted:
         low[:-width] = np.minimum(low[:-width], low[width:])
@@ -63,7 +62,7 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     rest = wanted - width
     if rest and len(low) > rest:
         low[:-rest] = np.minimum(low[:-rest], low[rest:])
-    return low
+    return low, low == grams
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,17 +74,14 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not valid.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    low = anchors(data)
-    starts, stops, _ = runs(valid, offsets)
-    fresh = np.zeros(len(data) + 1, bool)
+    low, leaves = anchors(data)
+    starts, _, _ = runs(valid, offsets)
+    fresh = np.zeros(len(data), bool)
     fresh[starts] = True
-    fresh[1:-1] |= (low[1:] != low[:-1]) & valid[1:]
-    first = np.flatnonzero(fresh[:-1] & valid)
-    last = np.append(first[1:], len(data))
-    last = np.minimum(last, ends[first] - LENGTH + 1)
-    pieces = -(-(last - first) // SEGMENT_WINDOWS)
-    begin = np.repeat(first, pieces) + SEGMENT_WINDOWS * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    n = np.minimum(SEGMENT_WINDOWS, np.repeat(last, pieces) - begin)
+    fresh[1:] |= ((low[1:] != low[:-1]) | leaves[:-1]) & valid[1:]
+    begin = np.flatnonzero(fresh)
+    last = np.minimum(np.append(begin[1:], len(data)), ends[begin] - LENGTH + 1)
+    n = last - begin
     text = owner[begin]
     return text, begin - offsets[text], n, low[begin].view(np.int64), word_hashes(data, begin, begin + n + LENGTH - 1).view(np.int64)
 
@@ -168,11 +164,13 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of symbols below 2**15, by prefix doubling from four symbols on."""
+    """The suffix array of symbols, by prefix doubling from four symbols on, or from two if they are many."""
     n = len(symbols)
+    width = 4 if symbols.max() < (1 << 15) - 1 else 2
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    key = (padded[:n] << 48) | (padded[1 : n + 1] << 32) | (padded[2 : n + 2] << 16) | padded[3 : n + 3]
-    width = 4
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = key << (64 // width) | padded[k : k + n]
     while True:
         order = np.argsort(key)
         ranked = key[order]
