@@ -19,7 +19,7 @@ from .textarrays import mix
 #: Rows of one Arrow batch. Texts may be very long, so a batch stays short.
 BATCH_ROWS = 256
 #: Text bytes that a Python worker gathers before it works on them as one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,10 +114,10 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     chunk = min(size, 1 << 14)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counts(batches).astype("<u8")
+        own = counts(batches)
         for k in range(0, size, chunk):
             if (part := own[k : k + chunk]).any():
-                small = part.astype("<u2") if part.max() < 1 << 16 else part
+                small = part.astype("<u2" if part.max() < 1 << 16 else "<u8")
                 yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -148,7 +148,7 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     """A Bloom filter of a column of ids, as packed bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(FILTER_CELLS, np.int64)
+        total = np.zeros(FILTER_CELLS, np.uint8)
         for batch in batches:
             for at in _cells(numbers(batch.column(column).fill_null(0))):
                 total[at] = 1
