@@ -37,11 +37,14 @@ def codepoint_classes() -> np.ndarray:
     """The class of each codepoint."""
     import regex
 
-    every = "".join(chr(x) if not 0xD800 <= x < 0xE000 else "\x00" for x in range(0x110000))
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+"))]
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
+    for first in range(0, 0x110000, 4096):
+        if not 0xD800 <= first < 0xE000:  # surrogates are no characters
+            part = "".join(map(chr, range(first, first + 4096)))
+            for kind, pattern in patterns:
+                for m in pattern.finditer(part):
+                    out[first + m.start() : first + m.end()] = kind
     return out
 
 
@@ -298,7 +301,7 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(ranks_path)
         lengths = np.array([len(x) for x in own.tokens], np.int64)
-        for block in in_blocks(batches, limit=1 << 20):
+        for block in in_blocks(batches):
             data, offsets = utf8(block.column("text"))
             starts, at = slices(data, offsets)
             raw, ends = data.tobytes(), np.append(starts[1:], len(data))

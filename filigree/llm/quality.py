@@ -83,11 +83,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def features(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id and the statistics x of each row."""
+def features(docs: DataFrame, column: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """doc_id and the statistics x of each row; with only, of the rows whose doc_id is in it, and of some others."""
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(id_filter(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in in_blocks(batches):
+            if shared is not None:
+                block = block.filter(pa.array(maybe_in(shared.value, block.column("doc_id"))))
             x = statistics(*utf8(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), ragged(x.ravel(), np.arange(len(x) + 1) * x.shape[1], pa.float64())], ["doc_id", "x"])
 
@@ -168,14 +171,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labels that are not held out. A Bloom filter keeps most texts without a label from being measured."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(labels.select(F.col("doc_id").cast("long"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(maybe_in(shared.value, batch.column("doc_id"))))
-
-    named = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text string")
-    return fit(training_rows(features(named), labels))
+    return fit(training_rows(features(docs, only=labels.select(F.col("doc_id").cast("long"))), labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

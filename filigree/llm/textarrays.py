@@ -30,7 +30,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_ODD, _ODD_INVERSE)):
-            step = np.full(n + (n >> 1), base)
+            step = np.full(n + (n >> 3), base)
             step[0] = 1
             _powers[k] = np.cumprod(step, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]
