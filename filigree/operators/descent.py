@@ -50,11 +50,11 @@ def schedule(i: int, params: Params) -> tuple[float, float]:
 def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = True, checkpoint_every: int = 5, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """params.max_iter steps over DataFrames, for graphs of any size; the state is checkpointed where a checkpoint
     folder is set."""
-    state, edges = with_state(coords), edges.cache()
+    state, edges = with_state(coords).cache(), edges.cache()
     for i in range(params.max_iter):
         alpha, momentum = schedule(i, params)
         own = state.select("id", *[f"y{k}" for k in range(params.dims)])
-        state = update(state, forces.gradient(edges, own, alpha, None if exact else params.grid_step), momentum, params)
+        state = update(state, forces.gradient(edges, own, alpha, None if exact else params.grid_step), momentum, params).cache()
         if (i + 1) % checkpoint_every == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
             state = state.checkpoint()
         if on_iteration:
@@ -119,4 +119,4 @@ def fused(edges: DataFrame, coords: DataFrame, params: Params) -> DataFrame:
         cost = float((p * np.log((p + forces.FLT_MIN) / (1 / (1 + (diff * diff).sum(1)) / zeta + forces.FLT_MIN))).sum())
         return pd.DataFrame({"id": ids} | {f"y{k}": y[:, k] for k in range(d)} | {"cost": cost})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "id long, " + ", ".join(f"y{k} double" for k in range(d)) + ", cost double")
+    return rows.repartition(1).mapInPandas(lambda parts: iter([run(pd.concat(list(parts)))]), "id long, " + ", ".join(f"y{k} double" for k in range(d)) + ", cost double")
