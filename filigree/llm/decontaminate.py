@@ -27,7 +27,7 @@ from .common import arrow_map, in_blocks, utf8, without
 WINDOW = 10
 #: Benchmark words sent to the workers at a time: some 50 MB with their numbers.
 BLOCK_WORDS = 2_000_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 #: Bytes as they count in words: A-Z lower-cased, all that separates words as a space.
 _FOLD = bytes(x if x >= 0x80 or 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A else x + 32 if 0x41 <= x <= 0x5A else 32 for x in range(256))
