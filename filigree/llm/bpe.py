@@ -294,9 +294,10 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.searchsorted(starts, offsets)
 
 
-def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, column: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of docs: its doc_id, `ids` (little-endian 32-bit ids) and `offsets` (the byte at which each
-    token starts, likewise), so that any token range can be decoded or mapped back to its text."""
+    token starts, likewise), so that any token range can be decoded or mapped back to its text. With decoded, also the
+    bytes that the ids decode to, from the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(ranks_path)
@@ -311,9 +312,11 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
             for x in ids:
                 size = lengths[np.frombuffer(x, "<u4")]
                 places.append((np.cumsum(size) - size).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "ids", "offsets"])
+            columns = [block.column("doc_id"), pa.array(ids, pa.binary()), pa.array(places, pa.binary())]
+            columns += [pa.array([own.decode(x) for x in ids], pa.binary())] * decoded
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "offsets", "decoded"][: len(columns)])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text")), run, "doc_id long, ids binary, offsets binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text")), run, "doc_id long, ids binary, offsets binary" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:

@@ -26,7 +26,7 @@ def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    out = bpe.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
