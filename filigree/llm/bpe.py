@@ -148,7 +148,7 @@ class PairMerger:
 
     WIDE = 48
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 50_000):
         self.ranks, self.cache, self.cache_size = ranks, {}, cache_size
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():

@@ -58,12 +58,27 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_small()
         yield from step(batches)
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: Arrays from this size on are mapped and unmapped one by one, so that no freed one is kept. mallopt's numbers are fixed values.
+MAPPED_BYTES = 1 << 20
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
+
+
+def keep_small() -> None:
+    """Let this worker hold little memory that it does not use: neither Arrow nor the C library keeps freed arrays."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        library = ctypes.CDLL(None)
+        for name, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, MAPPED_BYTES), (_TRIM_THRESHOLD, MAPPED_BYTES)):
+            library.mallopt(name, value)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -23,17 +23,18 @@ def random_words(seed: int, n: int) -> np.ndarray:
 _BYTE = random_words(1, 256)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that word_hashes works on at a time; slices that are longer have a piece of their own.
+SPAN = 1 << 17
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ODD, _ODD_INVERSE)):
-            step = np.full(n + (n >> 3), base)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    out = []
+    for base in (_ODD, _ODD_INVERSE):
+        step = np.full(n, base)
+        step[:1] = 1
+        out.append(np.cumprod(step, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -62,12 +63,24 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every slice, from one running sum over all bytes."""
+    """A 64-bit hash of every slice (starts ascending), from running sums over pieces of some SPAN bytes. A slice's
+    hash does not depend on where it starts, so neither on the pieces."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = powers(SPAN)
+    k = 0
     with np.errstate(over="ignore"):
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        while k < len(starts):
+            first = starts[k]
+            last = int(np.searchsorted(starts, first + SPAN // 2))
+            size = int(ends[k:last].max() - first)
+            if size >= len(up):
+                up, down = powers(size + 1)
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTE[data[first : first + size]] * up[:size], out=total[1:])
+            a, b = starts[k:last] - first, ends[k:last] - first
+            out[k:last] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+            k = last
+    return out
 
 
 _PLACE = random_words(2, 64) | np.uint64(1)
