@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, in_blocks, utf8
 
+#: Text bytes whose slices are held at a time.
+PIECE_BYTES = 1 << 18
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Symbols after looking ahead: the four classes, a space or other white space before a non-space, and the
 #: apostrophe of a contraction of two or three characters.
@@ -302,7 +304,7 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text", decoded: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(ranks_path)
         lengths = np.array([len(x) for x in own.tokens], np.int64)
-        for block in in_blocks(batches):
+        for block in in_blocks(batches, limit=PIECE_BYTES):
             data, offsets = utf8(block.column("text"))
             starts, at = slices(data, offsets)
             raw, ends = data.tobytes(), np.append(starts[1:], len(data))

@@ -87,16 +87,17 @@ def give_back() -> None:
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Gather Arrow batches until they hold limit bytes of column or that many rows."""
+    """Gather Arrow batches until they hold limit bytes of column or that many rows; larger ones are cut between rows."""
     held, size, count = [], 0, 0
-    for batch in batches:
-        if batch.num_rows:
+    for whole in batches:
+        step = max(1, whole.num_rows * limit // max(limit, whole.column(column).nbytes))
+        for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
             held.append(batch)
             size += batch.column(column).nbytes
             count += batch.num_rows
-        if size >= limit or count >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size, count = [], 0, 0
+            if size >= limit or count >= rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, count = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
