@@ -66,7 +66,7 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 #: Arrays from this size on are mapped and unmapped one by one, so that no freed one is kept. mallopt's numbers are fixed values.
-MAPPED_BYTES = 1 << 20
+MAPPED_BYTES = 1 << 22
 _TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
 
 
@@ -75,7 +75,7 @@ def keep_small() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         library = ctypes.CDLL(None)
-        for name, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, MAPPED_BYTES), (_TRIM_THRESHOLD, MAPPED_BYTES)):
+        for name, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, MAPPED_BYTES), (_TRIM_THRESHOLD, 2 * MAPPED_BYTES)):
             library.mallopt(name, value)
 
 
