@@ -236,3 +236,16 @@ def test_codepoint_pretokens_have_no_gap():
 
     assert starts.tolist() == [m.start() for m in regex.finditer(P.PATTERN, text)] and at.tolist() == [0, len(starts)]
     assert pa.array(starts).type == pa.int64()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_corpus_twin(spark, docs, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    docs.drop("rep", "n").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, TEXTS[0][:90]), (2, "two ONE"), (3, None), (4, ""), (5, "one two"), (6, TEXTS[3]), (6, "ab ab")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.ORACLE_SQL[name]).df()[got.columns].itertuples(index=False, name=None))
