@@ -292,7 +292,7 @@ def _one_step(spark: SparkSession, sf: str) -> DataFrame:
     return descent.update(descent.with_state(coords), forces.gradient(part_joint(spark, sf), coords, 12.0), 0.5, Params())
 
 
-_UP = ", ".join(f"greatest(CASE WHEN sign(d{k}) <> 0 THEN 1.2 ELSE 0.8 END, 0.01) AS g{k}" for k in range(2))
+_UP = ", ".join(f"greatest(CASE WHEN sign(d{k}) <> 0 THEN 1.2 ELSE 0.8 END, 0.01)::DOUBLE AS g{k}" for k in range(2))
 _STEP = f"{_GRAD}, up AS (SELECT gd.id AS id, y0, y1, d0, d1, {_UP} FROM gd JOIN y USING (id)), mv AS (SELECT id, g0, g1, -200.0 * g0 * d0 AS u0, -200.0 * g1 * d1 AS u1, y0 - 200.0 * g0 * d0 AS p0, y1 - 200.0 * g1 * d1 AS p1 FROM up)"
 _add("update_step", lambda spark, sf: _round(_one_step(spark, sf), "y0", "y1", "u0", "u1", "g0", "g1", digits=5), f"WITH {_STEP} SELECT id, {_r('p0 - (SELECT avg(p0) FROM mv)', 5)} AS y0, {_r('p1 - (SELECT avg(p1) FROM mv)', 5)} AS y1, {_r('u0', 5)} AS u0, {_r('u1', 5)} AS u1, {_r('g0', 5)} AS g0, {_r('g1', 5)} AS g1 FROM mv")
 _add("descend_3_steps", lambda spark, sf: descent.descend(neighbors.perplexity_edges(knn(spark, sf), U), placed(points(spark, sf).select("id"), 2), Params(max_iter=3)))
