@@ -3,7 +3,7 @@
 A text's fingerprint has N_HASHES values: the least of its five-word shingles' hashes under each of as many
 universal hash functions (multiply, add, keep the high bits), computed in numpy for all shingles of a text at
 once. The share of equal values estimates the Jaccard similarity. near_pairs() joins bands of the signatures in
-Spark and verifies each candidate by the exact similarity of its shingle sets.
+Spark and verifies each candidate by the exact similarity of its shingle sets; members() tells which texts have equal ones.
 
 Null and empty texts, and texts without words, have no shingles: all their values are the largest, so they are
 alike one another and unlike all others. Equal texts have equal fingerprints.
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, utf8, written
-from .textarrays import random_words, shingle_sets
+from .common import arrow_map, id_filter, in_blocks, maybe_in, utf8, written
+from .textarrays import mix, random_words, shingle_sets
 
 N_HASHES = 128
 _A = random_words(11, N_HASHES) | np.uint64(1)
@@ -54,19 +54,57 @@ def fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text")), run, "doc_id long, signature binary")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
+#: Rows of a band bucket's block. Each pair of blocks is a join key of its own, so a hot bucket is many tasks.
+BLOCK_ROWS = 2048
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, rep, n and signature of every row: texts with equal shingle sets form a class, which its smallest doc_id
+    (rep) stands for. Sets are told apart by their size and two 64-bit hashes; n is that size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in in_blocks(batches):
+            found, at = shingle_sets(*utf8(block.column("text")))
+            with np.errstate(over="ignore"):
+                one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mix(x), dtype=np.uint64)]) for x in (found, found ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                h1, h2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (one, two))
+            signs = [signature(found[a:b]).astype(">u2").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(signs, pa.binary())], ["doc_id", "n", "h1", "h2", "signature"])
+
+    rows = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, h1 long, h2 long, signature binary")
+    rows = written(rows, "signatures")
+    classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    return rows.join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n", "signature")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 32, own: DataFrame | None = None) -> DataFrame:
     """Pairs of class representatives (a < b) whose shingle sets have at least that Jaccard similarity, and the similarity.
 
-    Texts with equal signatures form a class, represented by its smallest doc_id. Candidates share one of the bands.
-    In a band bucket each class is paired with the bucket's smallest one, so a hot bucket gives as many candidates
-    as it has members.
+    Classes are those of members() (own, if it is at hand): members of one class have equal sets, and a pair of
+    representatives holds for all members of both. Candidates share one of the bands, and all pairs of a bucket are
+    candidates but those whose sizes rule the similarity out. A pair of similarity s shares no band with
+    probability (1 - s ** (128 / bands)) ** bands: 5e-8 for 0.8 and 32 bands; lower thresholds need more bands.
     """
-    own = written(fingerprint(docs).groupBy("signature").agg(F.min("doc_id").alias("doc_id")), "signatures")
+    own = written(members(docs), "members") if own is None else own
+    reps = own.where("doc_id = rep and n > 0").dropDuplicates(["doc_id"])
     wide = 2 * N_HASHES // bands
-    rows = own.select("doc_id", F.posexplode(F.array(*[F.substring("signature", 1 + k * wide, wide) for k in range(bands)])).alias("band", "value"))
-    heads = rows.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    found = rows.join(heads, ["band", "value"]).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    rows = reps.select("doc_id", "n", F.posexplode(F.array(*[F.substring("signature", 1 + k * wide, wide) for k in range(bands)])).alias("band", "value"))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("rows")).where("rows > 1").select("band", "value", blocks.alias("blocks"))
+    rows = written(rows.join(shared, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int")), "bands")
+    left = rows.select("band", "value", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = rows.select("band", "value", F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
+    both = left.join(right, ["band", "value", "i", "j"]).where("x <> y and (i < j or x < y)").where(F.least("n_x", "n_y") / F.greatest("n_x", "n_y") >= threshold)
+    found = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    ids = found.select(F.col("a").alias("doc_id")).unionAll(found.select(F.col("b").alias("doc_id"))).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the texts of the rest are not moved
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(shared.value, batch.column("id"))))
+
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = arrow_map(texts, wanted, "id long, text string").dropDuplicates(["id"])
     joined = found.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,33 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compare_edited(empty, 1).count() == 0
 
 
+def test_near_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 4)  # so that buckets are cut into blocks
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(30):  # near to one another to different degrees, under smallest ids that are farther away
+        own = list(words)
+        for k in rng.choice(300, int(rng.integers(1, 14)), replace=False):
+            own[k] = f"z{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    long = [f"l{k}" for k in range(12000)]  # two texts of nearly equal signatures, and one of an equal shingle set
+    texts += [" ".join(long), " ".join([*long[:-1], "end"]), " ".join(long).upper(), texts[7], "", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(zip(*(w[k:] for k in range(5)), strict=False)))
+    rep = [sets.index(s) for s in sets]
+    assert [r.rep for r in fingerprints.members(table).orderBy("doc_id").collect()] == rep
+    heads = [k for k in sorted(set(rep)) if sets[k]]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in heads for b in heads if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    got = fingerprints.near_pairs(table).collect()
+    assert (30, 31) in want and 20 < len(want) < 435
+    assert {(r.a, r.b): r.jaccard for r in got} == want and len(got) == len(want)
+
+
 def test_personal_data(docs):
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
