@@ -230,6 +230,22 @@ def test_wrappers(spark):
     assert got[5] == "" and got[6] == "" and got[7] == ("long text " * 30).strip()
 
 
+def extracted(spark, pages):
+    table = spark.createDataFrame([(k, f"http://h.example/{k}", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in wrappers.main_text(table).orderBy("page_id").collect()]
+
+
+def test_wrappers_keep_copies_of_an_article(spark):
+    one = "<body><div>advert {0}</div><article><h1>Head</h1><p>Only paragraph</p><blockquote>A quote</blockquote></article>"
+    assert extracted(spark, [one.format(k) for k in range(4)]) == ["Head\nOnly paragraph\nA quote"] * 4
+    mixed = [one.format(k) for k in range(3)] + [f"<body><div>advert</div><article><h1>Other {k}</h1><p>Text {k}</p></article>" for k in range(9)]
+    assert extracted(spark, mixed)[:3] == ["Head\nOnly paragraph\nA quote"] * 3
+    bare = "<body><div><pre>made on day {0}</pre><p>The one paragraph of all of these pages</p></div>"
+    assert all("The one paragraph" in x for x in extracted(spark, [bare.format(k) for k in range(4)]))
+    frame = "<body><div><pre>Frame of the site</pre><p>" + "Text {0} " * 20 + "</p></div>"
+    assert extracted(spark, [frame.format(k) for k in range(4)]) == [(f"Text {k} " * 20).strip() for k in range(4)]
+
+
 def test_sharding(docs, empty):
     got = kd_sharding.assign(docs, 4).toPandas()
     sizes = got.groupby("shard")["size"].sum()
