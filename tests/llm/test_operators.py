@@ -246,6 +246,17 @@ def test_wrappers_keep_copies_of_an_article(spark):
     assert extracted(spark, [frame.format(k) for k in range(4)]) == [(f"Text {k} " * 20).strip() for k in range(4)]
 
 
+def test_wrappers_keep_all_containers(spark):
+    bare = "<body><div class='site-header'>Name</div><section class='intro'><p>Intro {0} says it</p></section><section class='body'><p>" + "Body {0} " * 30 + "</p></section><div class='ad-slot'>Buy</div>"
+    assert extracted(spark, [bare.format(k) for k in range(4)]) == [f"Intro {k} says it\n" + ("Body %d " % k * 30).strip() for k in range(4)]
+
+
+@pytest.mark.parametrize("around", ["<main class='with-sidebar'>{}</main>", "<article class='comments-open'>{}</article>", "<div class='search-results'>{}</div>", "<div class='search'><main id='banner'>{}</main></div>", "<div class='widget'><article>{}</article></div>"])
+def test_wrappers_match_whole_names(spark, around):
+    inner = "<p>Text {0} stays</p><div class='comment-list'>said</div><div class='share'>Share</div>"
+    assert extracted(spark, ["<body>" + around.format(inner.format(k)) for k in range(3)]) == [f"Text {k} stays" for k in range(3)]
+
+
 def test_sharding(docs, empty):
     got = kd_sharding.assign(docs, 4).toPandas()
     sizes = got.groupby("shard")["size"].sum()
