@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +86,75 @@ def knn_exact(points: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFra
     return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("src", "dst", "rank", "d")
 
 
-def knn_approximate(points: DataFrame, k: int, length: float = 1.0, tables: int = 8, radius: float = 2.0) -> DataFrame:
-    """The same by random projections into buckets; pairs beyond radius are not found."""
+#: Rows of a block of knn_blocks().
+BLOCK_ROWS = 1024
+#: Points whose exact neighbours tell knn_approximate() the scale of the data.
+SCALE_POINTS = 128
+
+
+def knn_blocks(some: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """src, dst, rank and squared distance d of the k nearest points of some of them, exactly, whatever their number:
+    blocks of rows meet in numpy, and the k best of each pair of blocks are merged."""
+
+    def blocked(rows: DataFrame, i: str, x: str) -> DataFrame:
+        n = max(1, -(-rows.count() // BLOCK_ROWS))
+        return rows.groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows")).select(F.col("rows.id").alias(i), F.col("rows.x").alias(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                src, dst = (batch.column(c)[r].values.to_numpy() for c in ("i", "j"))
+                x, y = (batch.column(c)[r].values.flatten().to_numpy().reshape(n, -1) for c, n in (("x", len(src)), ("y", len(dst))))
+                step = max(1, (1 << 22) // max(1, y.size))
+                for a in range(0, len(src), step):
+                    d = ((x[a : a + step, None, :] - y[None, :, :]) ** 2).sum(2)
+                    d[src[a : a + step, None] == dst[None, :]] = np.inf
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # dst ascends, so ties are by dst
+                    d = np.take_along_axis(d, best, 1).ravel()
+                    own = np.repeat(src[a : a + step], best.shape[1])
+                    keep = np.isfinite(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(dst[best.ravel()[keep]]), pa.array(d[keep])], ["src", "dst", "d"])
+
+    some, points = (df.select(F.col("id").cast("long"), "x") for df in (some, points))
+    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a pair of blocks
+    pairs = blocked(some, "i", "x").crossJoin(blocked(points, "j", "y").repartition(points.sparkSession.sparkContext.defaultParallelism))
+    return _nearest(pairs.mapInArrow(run, "src long, dst long, d double"), k)
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("src").orderBy("d", "dst")
+    return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("src", "dst", "rank", "d")
+
+
+def knn_approximate(points: DataFrame, k: int, length: float | None = None, tables: int = 8, radius: float | None = None) -> DataFrame:
+    """The same by random projections into buckets of a length; pairs beyond radius are not looked for there. Points
+    with fewer than k neighbours in it get exact ones from all points.
+
+    By default the radius is one that nearly all of a sample have k neighbours in, and the length lets a pair that is
+    the radius apart share a bucket of one table with a probability of some 0.6.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = points.select("id", array_to_vector("x").alias("v"))
+    total = points.count()
+    if radius is None:
+        sample = points.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SCALE_POINTS)
+        far = sorted(r.d for r in knn_blocks(sample, points, k).groupBy("src").agg(F.max("d").alias("d")).collect())
+        radius = 1.001 * far[int(0.95 * (len(far) - 1))] ** 0.5 if far else 0.0
+    radius = radius or 1e-9  # all the sample's neighbours are copies
+    dims = ((points.select(F.size("x")).first() or [0])[0]) + 1
+    length = length or 2 * radius / dims**0.5
+    # A constant column shifts each table's bucket borders by a random offset; distances stay as they are.
+    rows = points.select("id", array_to_vector(F.concat("x", F.array(F.lit(1000 * length * dims**0.5)))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(rows)
     pairs = model.approxSimilarityJoin(rows, rows, radius, "r").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (F.col("r") * F.col("r")).alias("d")).where("src <> dst")
-    order = Window.partitionBy("src").orderBy("d", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("src", "dst", "rank", "d")
+    found = _nearest(pairs, k).persist()
+    whole = found.groupBy("src").count().where(F.col("count") >= min(k, total - 1)).select(F.col("src").alias("id"))
+    short = points.join(whole, "id", "left_anti").persist()
+    if short.isEmpty():
+        return found
+    exact = knn_blocks(short, points, k)
+    return found.join(short.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "rank", "d").unionByName(exact)
 
 
 def perplexity(knn: DataFrame, u: float) -> DataFrame:

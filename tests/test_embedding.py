@@ -91,6 +91,18 @@ def test_neighbours_need_no_clones(spark):
     assert got == {(0, 1), (1, 0), (2, 0)}
 
 
+@pytest.mark.parametrize("scale", [0.01, 300.0])
+def test_approximate_neighbours_recall(spark, scale):
+    rng = np.random.default_rng(2)
+    x = scale * np.concatenate([rng.normal(size=(250, 8)), 0.2 * rng.normal(size=(140, 8)) + 9, rng.normal(size=(10, 8)) * 60])
+    pts = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    exact, got = neighbors.knn_exact(pts, 10).toPandas(), neighbors.knn_approximate(pts, 10).toPandas()
+    assert set(got.groupby("src").size()) == {10} and got.src.nunique() == len(x)
+    assert len(exact.merge(got, on=["src", "dst"])) >= 0.97 * len(exact)
+    far = got[got.src >= 390].merge(exact, on=["src", "rank"])  # points that only the exact search serves
+    assert (far.dst_x == far.dst_y).all() and np.allclose(far.d_x, far.d_y)
+
+
 def test_vector_product(spark):
     e = spark.createDataFrame([(0, 1, 2.0), (1, 1, 3.0)], "src long, dst long, w double")
     v = spark.createDataFrame([(0, 5.0), (1, 7.0)], "id long, x double")
