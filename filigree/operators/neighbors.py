@@ -38,7 +38,9 @@ def distance(metric: str, x: Column, y: Column, p: float = 3.0) -> Column:
     n = F.size(x)
     if metric == "sqeuclidean":
         return _zip(x, y, lambda a, b: (a - b) * (a - b))
-    if metric in ("euclidean", "seuclidean", "mahalanobis"):  # the last two after scaled() or whitened()
+    if metric in ("seuclidean", "mahalanobis"):
+        raise ValueError(f"{metric} needs the whole table; use knn_exact")
+    if metric == "euclidean":
         return F.sqrt(_zip(x, y, lambda a, b: (a - b) * (a - b)))
     if metric == "cityblock":
         return _zip(x, y, lambda a, b: F.abs(a - b))
@@ -74,6 +76,8 @@ def knn_exact(points: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFra
     """src, dst, rank (0: nearest other point) and d by all pairs, for small tables; ties by dst."""
     if (n := points.count()) > EXACT_POINTS:
         raise ValueError(f"{n} points; use knn_approximate beyond {EXACT_POINTS}")
+    if metric in ("seuclidean", "mahalanobis"):
+        points, metric = (standardize(points, centre=False) if metric == "seuclidean" else whitened(points)), "euclidean"
     if metric in ("correlation", "spearman"):  # vectors are ranked and centred once, not for each pair
         if metric == "spearman":
             points = points.withColumn("x", _ranks(F.col("x")))
@@ -179,6 +183,29 @@ def standardize(points: DataFrame, centre: bool = True) -> DataFrame:
     return points.join(F.broadcast(stats)).select("id", F.zip_with("x", "stats", lambda v, r: (v - (r["m"] if centre else 0.0)) / r["s"]).alias("x"))  # one row
 
 
+def whitened(points: DataFrame) -> DataFrame:
+    """x times a root of the inverse sample covariance, for mahalanobis; a singular covariance is an error."""
+    if points.isEmpty():
+        return points.select("id", "x")
+    mean = np.array([r["mean"] for r in column_stats(points).orderBy("k").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = 0, np.zeros((len(mean), len(mean)))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, len(mean)) - mean
+            count, total = count + len(x), total + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.ravel().tolist()])], ["n", "products"])
+
+    parts = points.select(F.col("x").cast("array<double>")).mapInArrow(run, "n long, products array<double>").collect()
+    cov = sum(np.array(r.products) for r in parts).reshape(len(mean), -1) / max(1, sum(r.n for r in parts) - 1)
+    scale = np.sqrt(np.diag(cov))
+    if not (scale > 0).all() or np.linalg.eigvalsh(cov / np.outer(scale, scale))[0] <= 1e-12:
+        raise ValueError("mahalanobis needs a covariance of full rank")
+    right = np.linalg.inv(np.linalg.cholesky(cov)).tolist()
+    centred = F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda v, m: v - m)
+    return points.select("id", centred.alias("x")).select("id", F.array(*[_zip(F.col("x"), F.array(*map(F.lit, v)), lambda a, b: a * b) for v in right]).alias("x"))
+
+
 def pca(points: DataFrame, k: int, centre: bool = True) -> DataFrame:
     """The first k components."""
     from pyspark.ml.feature import PCA

@@ -129,8 +129,14 @@ _EITHER = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN p[1]
 _DIFFER = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END))"
 _add("knn_jaccard", lambda spark, sf: _round(neighbors.knn_exact(_signs(points(spark, sf)), 10, "jaccard").withColumn("rank", F.col("rank").cast("long")), "d"), f"WITH {_SIGNS}, {_knn_sql(f'CASE WHEN {_EITHER} > 0 THEN {_DIFFER} / {_EITHER} ELSE 0.0 END', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn")
 _add("knn_spearman", lambda spark, sf: neighbors.knn_exact(points(spark, sf), 5, "spearman"))
-_add("knn_approximate", lambda spark, sf: neighbors.knn_approximate(points(spark, sf), K))
 _COLS = "SELECT k - 1 AS k, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY 1"
+_add(
+    "knn_seuclidean",
+    lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "seuclidean").withColumn("rank", F.col("rank").cast("long")), "d"),
+    f"WITH sd AS (SELECT list(CASE WHEN std > 0 THEN std ELSE 1 END ORDER BY k) AS s FROM ({_COLS})), pt AS (SELECT vec_id AS id, list_transform(list_zip(embedding::DOUBLE[], s), lambda p: p[1] / p[2]) AS x FROM embeddings, sd), {_knn_sql(f'sqrt({D2})', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn",
+)
+_add("knn_mahalanobis", lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "mahalanobis").withColumn("rank", F.col("rank").cast("long")), "d"))
+_add("knn_approximate", lambda spark, sf: neighbors.knn_approximate(points(spark, sf), K))
 _add("column_stats", lambda spark, sf: _round(neighbors.column_stats(points(spark, sf)).withColumn("k", F.col("k").cast("long")), "mean", "std"), f"SELECT k, {_r('mean')} AS mean, {_r('std')} AS std FROM ({_COLS})")
 _add(
     "standardize",

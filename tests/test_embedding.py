@@ -103,6 +103,28 @@ def test_approximate_neighbours_recall(spark, scale):
     assert (far.dst_x == far.dst_y).all() and np.allclose(far.d_x, far.d_y)
 
 
+@pytest.mark.parametrize("metric", ["seuclidean", "mahalanobis"])
+def test_scaled_metrics_against_brute_force(spark, metric):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) @ np.array([[50.0, 3, 0], [0, 1, 0.2], [0, 0, 0.01]])
+    pts = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    cov = np.cov(x.T)
+    inverse = np.linalg.inv(cov if metric == "mahalanobis" else np.diag(np.diag(cov)))
+    diff = x[:, None] - x[None]
+    d = np.sqrt(np.einsum("ijk,kl,ijl->ij", diff, inverse, diff)) + np.diag(np.full(60, np.inf))
+    got = neighbors.knn_exact(pts, 4, metric).toPandas().sort_values(["src", "rank"])
+    assert np.array_equal(got.dst.to_numpy().reshape(60, 4), np.argsort(d, axis=1)[:, :4])
+    assert np.allclose(got.d.to_numpy().reshape(60, 4), np.sort(d, axis=1)[:, :4])
+
+
+def test_seuclidean_twin(spark):
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+        want = db.execute(__spark_entry__.oracle_sql()["knn_seuclidean"]).df()
+    got = __spark_entry__.queries()["knn_seuclidean"](spark, SF).toPandas().merge(want, on=["src", "rank"])
+    assert len(got) == len(want) and (got.dst_x == got.dst_y).all() and np.allclose(got.d_x, got.d_y, atol=2e-6)
+
+
 def test_vector_product(spark):
     e = spark.createDataFrame([(0, 1, 2.0), (1, 1, 3.0)], "src long, dst long, w double")
     v = spark.createDataFrame([(0, 5.0), (1, 7.0)], "id long, x double")
