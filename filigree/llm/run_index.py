@@ -250,9 +250,12 @@ def index_bundles(rows: DataFrame) -> DataFrame:
         return _batch(kind, doc[owner], start[owner] + begin - offsets[owner], stop - begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, start, strings, size, last = [], [], [], 0, None
+        doc, start, strings, size, last, place = [], [], [], 0, None, None
         for batch in batches:
             for a, d, s, x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "bytes")), strict=True):
+                if (a, d, s) == place:  # a repeated row's segment is there once
+                    continue
+                place = a, d, s
                 if a != last and (size > BUNDLE_BYTES or len(strings) > BUNDLE_SEGMENTS // 2):
                     yield solve(np.array(doc), np.array(start), strings)
                     doc, start, strings, size = [], [], [], 0

@@ -61,6 +61,25 @@ def test_run_index_on_periodic_strings():
     assert got.tolist() == want
 
 
+def test_run_index_keeps_first_places_of_repeated_rows():
+    parts = [(5, 1, 0, b"x" * 400 + bytes(range(200))), (5, 2, 0, b"y" * 400 + bytes(range(200)))]
+
+    def marks(found):
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["anchor", "doc_id", "start", "bytes"])
+        out = []
+
+        class Rows:  # what arrow_map() needs of a DataFrame
+            sparkSession = type("S", (), {"conf": type("C", (), {"set": staticmethod(lambda *_: None)})})  # noqa: N815
+
+            def mapInArrow(self, run, _):  # noqa: N802
+                out.extend(r for b in run(iter([batch])) for r in b.to_pylist())
+
+        run_index.index_bundles(Rows())
+        return out
+
+    assert marks([parts[0], *parts]) == marks(parts)
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
