@@ -20,21 +20,9 @@ def random_words(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(n, dtype=np.uint64) + (np.uint64(seed) << np.uint64(32)))
 
 
-_BYTE = random_words(1, 256)
-_ODD = np.uint64(0xD6E8FEB86659FD93)
-_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-#: Bytes that word_hashes works on at a time; slices that are longer have a piece of their own.
-SPAN = 1 << 17
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2**64, and of its inverse."""
-    out = []
-    for base in (_ODD, _ODD_INVERSE):
-        step = np.full(n, base)
-        step[:1] = 1
-        out.append(np.cumprod(step, dtype=np.uint64))
-    return out[0], out[1]
+#: Longer slices are hashed as the hashes of pieces of so many bytes.
+PIECE = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -62,27 +50,50 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(inside & last) + 1, np.searchsorted(starts, offsets)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros past the end) as one number."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every slice (starts ascending), from running sums over pieces of some SPAN bytes. A slice's
-    hash does not depend on where it starts, so neither on the pieces."""
-    out = np.empty(len(starts), np.uint64)
-    up, down = powers(SPAN)
-    k = 0
+    """A 64-bit hash of every slice: eight bytes at a time are mixed into it, so equal hashes of different slices are
+    chance, whatever their structure (sums of powers modulo 2**64 are equal for a Thue-Morse word and its complement)."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64))
+    if not len(out):
+        return out
+    long = np.flatnonzero(sizes > PIECE)
+    live = np.flatnonzero((sizes > 0) & (sizes <= PIECE)) if len(long) else np.flatnonzero(sizes)
+    eights, k = _eights(data), 0
     with np.errstate(over="ignore"):
-        while k < len(starts):
-            first = starts[k]
-            last = int(np.searchsorted(starts, first + SPAN // 2))
-            size = int(ends[k:last].max() - first)
-            if size >= len(up):
-                up, down = powers(size + 1)
-            total = np.zeros(size + 1, np.uint64)
-            np.cumsum(_BYTE[data[first : first + size]] * up[:size], out=total[1:])
-            a, b = starts[k:last] - first, ends[k:last] - first
-            out[k:last] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-            k = last
+        while len(live):
+            out[live] = mix(out[live] ^ (eights[starts[live] + k] & _MASKS[np.minimum(sizes[live] - k, 8)]))
+            k += 8
+            live = live[sizes[live] > k]
+        if len(long):
+            count = -(-sizes[long] // PIECE)
+            at = np.concatenate([[0], np.cumsum(count)])
+            begin = np.repeat(starts[long] - at[:-1] * PIECE, count) + np.arange(at[-1]) * PIECE
+            pieces = word_hashes(data, begin, np.minimum(begin + PIECE, np.repeat(ends[long], count)))
+            out[long] = mix(out[long] ^ word_hashes(pieces.view(np.uint8), 8 * at[:-1], 8 * at[1:]))
     return out
 
 
+def same_slices(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether slices of one are, byte by byte, those of two."""
+    sizes = ends - starts
+    same = sizes == other_ends - others
+    live, k = np.flatnonzero(same & (sizes <= PIECE)), 0
+    a, b = _eights(one), _eights(two)
+    while len(live := live[sizes[live] > k]):
+        differs = ((a[starts[live] + k] ^ b[others[live] + k]) & _MASKS[np.minimum(sizes[live] - k, 8)]) != 0
+        same[live[differs]] = False
+        live, k = live[~differs], k + 8
+    for i in np.flatnonzero(same & (sizes > PIECE)):
+        same[i] = np.array_equal(one[starts[i] : ends[i]], two[others[i] : other_ends[i]])
+    return same
+
+
 _PLACE = random_words(2, 64) | np.uint64(1)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, in_blocks, ragged, utf8
-from .textarrays import lowered, white_space_words, word_hashes
+from .textarrays import lowered, same_slices, white_space_words, word_hashes
 
 #: Text bytes that go into one file.
 FILE_BYTES = 32 << 20
@@ -35,8 +35,9 @@ class WordEncoder:
     """Texts to ids with the tokenizers library.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so each distinct word is encoded
-    once and its ids are kept in one array, found by the word's 64-bit hash. Words are hashed and their ids gathered
-    for a block of texts at once. Words that the normaliser would leave as they are go, cut into runs of
+    once and its ids are kept in one array, found by the word's 64-bit hash. Words are hashed, compared with the known
+    word's bytes, and their ids gathered for a block of texts at once; a word whose hash is that of another one is
+    encoded by itself. Words that the normaliser would leave as they are go, cut into runs of
     letters, single numbers and runs of the rest, through a copy of the tokenizer without its slow normaliser and
     pattern; all others through the tokenizer itself. Only for tokenizers of that kind.
     """
@@ -59,14 +60,18 @@ class WordEncoder:
     def _clear(self) -> None:
         """Place 0 holds the end id."""
         self.known: dict[int, int] = {}
+        self.apart: dict[bytes, int] = {}
         self.ids, self.at, self.sizes = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.words, self.word_at = np.zeros(0, np.uint8), np.zeros(2, np.int64)
 
-    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, hashes: list[int], words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.known.update(zip(hashes, range(len(self.at), len(self.at) + len(hashes)), strict=True))
+        self.words = np.concatenate([self.words, np.frombuffer(b"".join(words), np.uint8)])
+        self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum([len(w) for w in words], dtype=np.int64)])
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
 
-    def _encode(self, tokenizer, hashes: list[int], texts: list[str]) -> None:
+    def _encode(self, tokenizer, hashes: list[int], words: list[bytes], texts: list[str]) -> None:
         made, sizes = [], []
         for k in range(0, len(texts), 1000):
             ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, np.uint32)
@@ -74,27 +79,35 @@ class WordEncoder:
             sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(ids)]])) - 1)
             made.append(ids[~mark])
         if made:
-            self._add(hashes, np.concatenate(made), np.concatenate(sizes))
+            self._add(hashes, words, np.concatenate(made), np.concatenate(sizes))
 
     def learn(self, hashes: list[int], words: list[bytes]) -> None:
         plain, pieces, other, whole = [], [], [], []
         for h, w in zip(hashes, words, strict=True):
             text = w.decode()
             if text.isascii() and text.isalpha():
-                plain.append(h)
+                plain.append((h, w))
                 pieces.append(text)
             elif self.odd(text) or text.lower() != text or not unicodedata.is_normalized("NFC", text):
                 if _MARK in text:
                     ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                    self._add([h], ids, np.array([len(ids)]))
+                    self._add([h], [w], ids, np.array([len(ids)]))
                 else:
-                    other.append(h)
+                    other.append((h, w))
                     whole.append(text)
             else:
-                plain.append(h)
+                plain.append((h, w))
                 pieces.append(" ".join(self.pieces(text)))
-        self._encode(self.plain, plain, pieces)
-        self._encode(self.tokenizer, other, whole)
+        self._encode(self.plain, *([x[k] for x in plain] for k in (0, 1)), pieces)
+        self._encode(self.tokenizer, *([x[k] for x in other] for k in (0, 1)), whole)
+
+    def _own_place(self, word: bytes) -> int:
+        """Where the ids of a word are that shares another one's hash; for the rest of the cache's life it has no hash."""
+        if word not in self.apart:
+            self.apart[word] = len(self.at)
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
+            self._add([], [word], ids, np.array([len(ids)]))
+        return self.apart[word]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and the n + 1 id offsets of the texts."""
@@ -115,6 +128,8 @@ class WordEncoder:
             self.learn([distinct[k] for k in missing], [raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
         place = np.empty(len(hashes), np.int64)
         place[order] = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.cumsum(fresh) - 1]
+        for k in np.flatnonzero(~same_slices(data, starts, ends, self.words, self.word_at[place], self.word_at[place + 1])):
+            place[k] = self._own_place(data[starts[k] : ends[k]].tobytes())
         place = np.insert(place, at[1:], 0)
         sizes = self.sizes[place]
         total = np.cumsum(sizes)
