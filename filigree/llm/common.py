@@ -25,10 +25,13 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only where that is unset and the master is local, where driver
+    and executors are one process, it is set to a temporary one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="filigree-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -40,9 +43,33 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an execution that starts in here are removed when it is over, not when their plan is collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() returned and no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_tables(spark: SparkSession) -> None:
@@ -164,29 +191,35 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return total
 
 
-#: Cells of a Bloom filter of ids: 1 MB as bits, whatever it holds. A full one lets everything pass, which is slower but right.
-FILTER_CELLS = 1 << 23
+#: Cells of a Bloom filter of ids: some sixteen for each id, within these bounds (16 KB to 8 MB as bits). A full one lets
+#: everything pass, which is slower but right.
+LEAST_CELLS, MOST_CELLS = 1 << 17, 1 << 26
+#: Ids that one task puts into a filter.
+FILTER_IDS = 2_000_000
 
 
-def _cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cells(ids: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = mix(ids.astype(np.int64).view(np.uint64))
-    return (h & np.uint64(FILTER_CELLS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (FILTER_CELLS - 1)
+    return (h & np.uint64(cells - 1)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) & (cells - 1)
 
 
 def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     """A Bloom filter of a column of ids, as packed bits."""
+    many = ids.count()
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (16 * many).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(FILTER_CELLS, np.uint8)
+        total = np.zeros(cells, np.uint8)
         for batch in batches:
-            for at in _cells(numbers(batch.column(column).fill_null(0))):
+            for at in _cells(numbers(batch.column(column).fill_null(0)), cells):
                 total[at] = 1
         return total
 
-    return np.packbits(summed(ids.select(column).coalesce(8), count, FILTER_CELLS, 1 << 15) > 0, bitorder="little")
+    own = ids.select(column).repartition(-(-many // FILTER_IDS) or 1)
+    return np.packbits(summed(own, count, cells, 1 << 15) > 0, bitorder="little")
 
 
 def maybe_in(found: np.ndarray, ids: pa.Array) -> np.ndarray:
-    a, b = _cells(numbers(ids.fill_null(0)))
+    a, b = _cells(numbers(ids.fill_null(0)), 8 * len(found))
     return ((found[a >> 3] >> (a & 7).astype(np.uint8)) & (found[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)

@@ -5,40 +5,48 @@
    common order. The order is by a sketch of the shingles' counts (of fixed size; any sketch is right, a good one
    keeps buckets small), so shingles that many documents share come last. Each set goes to the buckets of these
    shingles; buckets that the sketch shows to be large are dealt to several tasks.
-3. Every set is first verified against the one set that is the smallest in most of its buckets. The components of
-   the links found settle most buckets: all their sets are linked already.
+3. Every set is first compared with the one set that is the smallest in most of its buckets: by bitmaps, and where
+   these allow a link, by the whole sets. The components of the links found settle most buckets: all their sets are
+   linked already.
 4. In every other bucket, sets of different components are joined by signature trees: nodes hold the OR of their
    sets' bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap
-   is below what the smallest sizes need. Pairs of sets that are left are verified. Large buckets are cut into blocks
-   of rows, and each pair of blocks is a task of its own.
+   is below what the smallest sizes need. This is done twice: once on bitmaps alone, which leaves the rows that have
+   any possible partner, and then on the whole sets of these, where pairs that are left are verified at once. Only
+   links that join what the task has not joined yet come out, less than one for each row.
+5. Large buckets are cut into blocks of rows. First each block is joined with itself, then, under the components that
+   this gives, each pair of blocks of a bucket that is still open is a task of its own.
 
 So every pair of linked sets is either in one component already or verified: the components are those of all links.
 Shingles are compared by 64-bit hashes. Sets are verified whole.
 
 Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Texts of fewer words
-than a shingle have their whole sequence as one. Rows with equal doc_id count as one document and are all returned.
+than a shingle have their whole sequence as one. Rows with equal doc_id are one document, and are all returned: they are
+linked with one another and each with what its text is linked with. A row of null doc_id has the component of the
+documents with an equal set, if there are any, and else null; it links no others. Further columns, whatever their
+names, are not looked at; one_of_each() returns them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_filter, in_blocks, maybe_in, ragged, summed, utf8, without, written
+from .common import arrow_map, discard, id_filter, in_blocks, maybe_in, numbers, ragged, summed, utf8, without, written
 from .components import components
 from .textarrays import mix, shingle_sets
 
-SKETCH_BITS = 20
+#: Cells of the sketch, as a power of two: the text's bytes less SKETCH_STEP as powers of two, within these bounds.
+LEAST_BITS, MOST_BITS, SKETCH_STEP = 14, 24, 9
 #: Sets of one bucket that go to one task, by the sketch's count.
 HOT = 20_000
 #: Rows of a bucket's block in the tree join.
 BLOCK_ROWS = 2048
 LEAF, FAN = 16, 8
-_SHIFT = np.uint64(64 - SKETCH_BITS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -46,16 +54,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many sets have a shingle in each cell of the sketch."""
+    """How many sets have a shingle in each cell of the sketch. It grows with the texts, up to 64 MB as it is sent."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, size.bit_length() - SKETCH_STEP))
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for block in in_blocks(batches):
             found, _ = shingle_sets(*utf8(block.column("text")), width)
-            total += np.bincount((found >> _SHIFT).astype(np.int64), minlength=len(total))
+            np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
         return total
 
-    return summed(_texts(docs).select("text"), count, 1 << SKETCH_BITS)
+    return summed(_texts(docs).select("text"), count, 1 << bits)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -70,11 +80,13 @@ def described(docs: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
     """doc_id, n, two hashes of the set, its prefix (shingle and number of tasks for its bucket) and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
 
+    shift = np.uint64(65 - len(counts).bit_length())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for block in in_blocks(batches):
             found, at = shingle_sets(*utf8(block.column("text")), width)
-            often = cells[(found >> _SHIFT).astype(np.int64)]
+            often = cells[(found >> shift).astype(np.int64)]
             with np.errstate(over="ignore"):
                 one, two = mix(found), mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             h1, h2, prefix, ways, maps, sizes = [], [], [], [], [], [0]
@@ -240,11 +252,11 @@ def folded(maps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def join_rows(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], side: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of documents of different components that may be linked: all of side 0 with all of side 1, or, if only
-    one side is there, all of it."""
+def join_rows(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i and j, of different documents and components, that may be linked: all of side 0 with all of side 1, or,
+    if only one side is there, all of it."""
     widths = np.array([len(x) for x in maps])
-    out = []
+    out = [np.zeros((2, 0), np.int64)]
     sides = np.unique(side)
     for w in np.unique(widths):
         for wide in (w, 2 * w):
@@ -262,47 +274,137 @@ def join_rows(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: list[
                 i, j = tree_pairs(tree, other, same)
                 a, b = one[i], two[j]
                 keep = (comps[a] != comps[b]) & (ids[a] != ids[b])
-                out += zip(np.minimum(ids[a], ids[b])[keep].tolist(), np.maximum(ids[a], ids[b])[keep].tolist(), strict=True)
+                out.append(np.stack([a[keep], b[keep]]))
+    i, j = np.concatenate(out, 1)
+    return i, j
+
+
+def spanning(ids: np.ndarray, comps: np.ndarray, i: np.ndarray, j: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """Links among the pairs (i, j) of rows that join different components, each component joined by one link only."""
+    label = np.unique(comps, return_inverse=True)[1]
+    place = np.unique(tokens, return_inverse=True)[1]
+    mark, sizes, out = np.zeros(len(tokens) + 1, bool), np.diff(at), []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+        if not len(part):
+            continue
+        a, others = i[part[0]], j[part]
+        others = others[label[others] != label[a]]
+        own = place[at[a] : at[a + 1]]
+        mark[own] = True
+        for k in range(0, len(others), 256):
+            some = others[k : k + 256]
+            some = some[label[some] != label[a]]
+            if not len(some):
+                continue
+            ends = np.cumsum(sizes[some])
+            both = np.add.reduceat(mark[place[np.repeat(at[some] - ends + sizes[some], sizes[some]) + np.arange(ends[-1])]].astype(np.int64), ends - sizes[some])
+            linked = some[100 * both >= 80 * (len(own) + sizes[some] - both)]
+            for b in linked[np.unique(label[linked], return_index=True)[1]]:
+                out.append((int(ids[a]), int(ids[b])))
+                label[label == label[b]] = label[a]
+        mark[own] = False
     return out
 
 
-def open_pairs(buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets that share a bucket, are in different components and may be linked."""
-    known = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
-    known = written(known, "known")
-    totals = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("low <> high")
-    left = totals.groupBy("who", "rows").agg(F.min("token").alias("token"))  # one of the buckets that hold the same sets
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    rows = known.join(left, "token").select("token", "doc_id", "n", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", F.lit(7)), blocks).cast("int").alias("own"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).cast("int").alias("side")))
-    rows = rows.select("token", "doc_id", "n", "comp", F.inline(pairs))
-    full = rows.join(sets.select("doc_id", "bitmap"), "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+_KEYS = ["token", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "i", "j"]
-        held: list[pa.RecordBatch] = []
 
-        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            own = [t.column(c).to_numpy() for c in ("doc_id", "n", "comp", "side")]
-            found = sorted(set(join_rows(own[0], own[1], own[2], t.column("bitmap").to_pylist(), own[3])))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _by_block(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], schema: str, batch_rows: int) -> DataFrame:
+    """solve() on the rows of each pair of blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in names]
+            keys = [numbers(batch.column(c)) for c in _KEYS]
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
                 key = tuple(int(k[a]) for k in keys)
                 if last is not None and key != last:
-                    yield solve(held)
+                    yield solve(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = key
         if held:
-            yield solve(held)
+            yield solve(pa.Table.from_batches(held))
+
+    return arrow_map(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS), run, schema, batch_rows)
+
+
+def hopeful(rows: DataFrame) -> DataFrame:
+    """Of rows with bitmaps, those that have a possible partner in their pair of blocks (token, i, j)."""
+    names = [*_KEYS, "doc_id", "comp", "side"]
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        own = [table.column(c).to_numpy() for c in ("doc_id", "n", "comp", "side")]
+        i, j = join_rows(own[0], own[1], own[2], table.column("bitmap").to_pylist(), own[3])
+        kept = pa.array(np.unique(np.concatenate([i, j])))
+        return pa.RecordBatch.from_arrays([table.column(c).take(kept).combine_chunks() for c in names], names)
+
+    return _by_block(rows.select(*_KEYS, "doc_id", "n", "comp", "side", "bitmap"), solve, "token long, i int, j int, doc_id long, comp long, side int", 4096)
+
+
+def links_in(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components in each pair of blocks, of rows with whole sets."""
 
-    return arrow_map(full.select("token", "i", "j", "doc_id", "n", "comp", "side", "bitmap"), run, "a long, b long", 4096).distinct()
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        ids, comps, side = (table.column(c).to_numpy() for c in ("doc_id", "comp", "side"))
+        lists = table.column("tokens").combine_chunks()
+        tokens, at = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        maps = [bitmap(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        i, j = join_rows(ids, np.diff(at), comps, maps, side)
+        found = spanning(ids, comps, i, j, tokens, at)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_block(rows.select(*_KEYS, "doc_id", "comp", "side", "tokens"), solve, "a long, b long", 256)
+
+
+def possible_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() if c[0] == "m" else numbers(batch.column(c)) for c in ("n_a", "n_b", "map_a", "map_b"))
+            width = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+            keep = np.zeros(batch.num_rows, bool)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                p, q = (folded([z[k] for k in at], int(w)) for z in (x, y))
+                slack = np.minimum(n[at] - _ONES[p].sum(1, dtype=np.int64), m[at] - _ONES[q].sum(1, dtype=np.int64))
+                keep[at] = 9 * (_ONES[p & q].sum(1, dtype=np.int64) + slack) >= 4 * (n[at] + m[at])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return arrow_map(joined, run, "a long, b long", 4096)
+
+
+def _blocks(open_rows: DataFrame, across: bool) -> DataFrame:
+    """Rows of open buckets (token, rows, doc_id, n, comp) by pairs of blocks: each block with itself, or each two blocks."""
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    rows = open_rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), blocks).cast("int"))
+    if not across:
+        return rows.select("token", F.col("own").alias("i"), F.col("own").alias("j"), "doc_id", "n", "comp", F.lit(0).alias("side"))
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda k: k != F.col("own"))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).cast("int").alias("side")))
+    return rows.select("token", "doc_id", "n", "comp", F.inline(pairs)).select("token", "i", "j", "doc_id", "n", "comp", "side")
+
+
+def open_links(docs: DataFrame, buckets: DataFrame, comps: DataFrame, sets: DataFrame, width: int, across: bool) -> DataFrame:
+    """Links (a, b) between sets of different components that share a bucket, enough of them to join all that are linked in
+    blocks of a bucket, or, across, in two blocks of one."""
+    known = written(buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")), "known")
+    who = [F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(38,0)")).alias(f"who{k}") for k in (0, 1)]
+    totals = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), *who)
+    totals = totals.where("low <> high").where(F.col("rows") > BLOCK_ROWS if across else F.lit(True))
+    left = totals.groupBy("who0", "who1", "rows").agg(F.min("token").alias("token"))  # one of the buckets that hold the same sets
+    rows = _blocks(known.join(left.select("token", "rows"), "token"), across)
+    some = written(hopeful(rows.join(sets.select("doc_id", "bitmap"), "doc_id")), "hopeful")
+    out = written(links_in(some.join(candidate_sets(docs, some, width), "doc_id")).distinct(), "links")
+    discard(known, some)
+    return out
 
 
 def components_of(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -315,12 +417,21 @@ def components_of(docs: DataFrame, width: int = 5) -> DataFrame:
     buckets = written(shared_buckets(rows.select("token", "salt", "ways", "doc_id", "n").repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id")), "buckets")
     nearest = buckets.where(F.col("center") != F.col("doc_id")).where(_alike(F.col("n"), F.col("center_n"))).groupBy("doc_id", "center").count().groupBy("doc_id").agg(F.max_by("center", F.struct("count", -F.col("center"))).alias("center"))
     pairs = written(nearest.select(F.col("center").alias("a"), F.col("doc_id").alias("b")), "pairs")
-    whole = written(candidate_sets(docs, buckets.select("doc_id").distinct(), width), "whole")
-    links = written(verified(pairs, whole), "links")
-    more = written(open_pairs(buckets, components(links), sets), "pairs")
-    links = links.unionAll(written(verified(more, whole), "links"))
-    comps = components(links)
-    member = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(classes, ["h1", "h2"], "left")
+    near = written(possible_pairs(pairs, sets.select("doc_id", "n", "bitmap")), "near")
+    ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
+    member = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n", "rep")
+    repeated = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b and doc_id is not null").select("a", "b")
+    links = [written(verified(near, candidate_sets(docs, ids, width)).unionAll(repeated), "links")]
+    discard(pairs, near)
+    comps = components(links[0])
+    for across in (False, True):
+        if across and buckets.groupBy("token").count().where(F.col("count") > BLOCK_ROWS).isEmpty():
+            break
+        links.append(open_links(docs, buckets, comps, sets, width, across))
+        if not links[-1].isEmpty():
+            discard(comps)
+            comps = components(functools.reduce(DataFrame.unionAll, links))
+    discard(buckets, *links)
     return member.join(comps, member["rep"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
