@@ -5,24 +5,25 @@ by their first words (rank doubling in numpy), and binary-searches every suffix
 Only suffixes that begin with a benchmark word are kept in the array; no other can match. Matches that follow one
 another are joined to longest verbatim matches and reported with their places.
 
-The benchmark is sent to the workers in blocks of at most BLOCK_WORDS words (one scan of the documents for
-each block), so its size is bounded whatever the table holds.
+The benchmark is sent to the workers in blocks of at most BLOCK_WORDS words, so what is sent has a bound whatever the
+table holds. The scans of the blocks follow one another on the same rows.
 
 Null and empty texts have no words and match nothing. Items with fewer words than a window are one window, items
-without words none. Repeated items and rows are each answered on their own.
+without words none. Every row is answered on its own, those with a repeated or null doc_id too. Repeated items are
+reported each, items with a null item_id under null. Empty tables give no rows, or no matches. Further columns, whatever
+their names, are not looked at; decontaminate() returns them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_blocks, utf8, without
+from .common import arrow_map, in_blocks, utf8, written
 
 WINDOW = 10
 #: Benchmark words sent to the workers at a time: some 50 MB with their numbers.
@@ -92,49 +93,72 @@ def item_windows(items: list[tuple[int, str]], width: int) -> tuple[dict[bytes,
     return number, windows, sizes, owners
 
 
-def scan(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataFrame:
-    """For each document its n_words, and matches: item, first word and word after the last of each longest match."""
-    number, windows, sizes, owners = item_windows(items, width)
-    item_ids = np.array([x[0] for x in items], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((number, windows, sizes, owners, item_ids))
+class Items:
+    """What a worker needs of a block of items: numbers of their words, windows, and the item_ids."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
+        self.number, self.windows, self.sizes, self.owners = item_windows(items, width)
+        self.owner_at = np.searchsorted(self.owners[:, 0], np.arange(len(self.windows) + 1))
+        self.ids, self.width = pa.array([x[0] for x in items], pa.int64()), width
+
+    def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each text, and the longest matches as rows (text, item, first word, word after the last)."""
+        data, offsets = utf8(texts)
+        raw, get = data.tobytes(), self.number.get
+        parts, counts = [np.zeros(0, np.int64)], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = [get(w, 0) for w in words(raw[a:b])]
+            counts.append(len(own))
+            own.append(0)  # no match crosses documents
+            parts.append(np.array(own, np.int64))
+        ids, counts = np.concatenate(parts), np.array(counts, np.int64)
+        first = np.concatenate([[0], np.cumsum(counts + 1)])
+        order = suffix_array(ids, self.width)
+        found = [np.zeros((0, 4), np.int64)]
+        if len(self.windows) and len(order):
+            low, high = search(ids, order, self.windows, self.sizes)
+            for q in np.flatnonzero(high > low).tolist():
+                starts = order[low[q] : high[q]]
+                for k in self.owners[self.owner_at[q] : self.owner_at[q + 1], 1].tolist():
+                    found.append(np.stack([np.searchsorted(first, starts, "right") - 1, np.full(len(starts), k), starts, starts + self.sizes[q]], 1))
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        if len(rows):  # joins windows of one item that overlap or touch
+            group = rows[:, 0] * (len(self.ids) + 1) + rows[:, 1]
+            far = np.concatenate([[True], (group[1:] != group[:-1]) | (rows[1:, 2] > rows[:-1, 3])])
+            begin = np.flatnonzero(far)
+            rows = np.concatenate([rows[begin, :3], np.maximum.reduceat(rows[:, 3], begin)[:, None]], 1)
+            rows[:, 2:] -= first[rows[:, 0]][:, None]
+        return counts, rows
+
+
+_SPAN = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_MATCHES = "doc_id long, n_words long, matches array<struct<item_id:long,start:long,end:long>>"
+
+
+def scan(rows: DataFrame, items: list[tuple[int | None, str | None]], width: int, more: bool) -> DataFrame:
+    """Rows (doc_id, text, and matches where a scan went before) with their n_words and matches of the items added, and
+    with the text if more scans follow."""
+    shared = rows.sparkSession.sparkContext.broadcast(Items(items, width))
+    again = "matches" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, windows, sizes, owners, item_ids = shared.value
-        owner_at = np.searchsorted(owners[:, 0], np.arange(len(windows) + 1))
-        get = number.get
+        own = shared.value
         for block in in_blocks(batches, limit=SHARD_BYTES):
-            data, offsets = utf8(block.column("text"))
-            raw = data.tobytes()
-            parts, counts = [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = [get(w, 0) for w in words(raw[a:b])]
-                counts.append(len(own))
-                own.append(0)  # no match crosses documents
-                parts.append(np.array(own, np.int64))
-            ids, counts = np.concatenate(parts), np.array(counts, np.int64)
-            first = np.concatenate([[0], np.cumsum(counts + 1)])
-            order = suffix_array(ids, width)
-            low, high = search(ids, order, windows, sizes) if len(windows) and len(order) else (np.zeros(len(windows), np.int64),) * 2
-            hits = np.flatnonzero(high > low)
-            found = []
-            for q in hits.tolist():
-                starts = order[low[q] : high[q]]
-                for k in owners[owner_at[q] : owner_at[q + 1], 1].tolist():
-                    found.append(np.stack([np.searchsorted(first, starts, "right") - 1, np.full(len(starts), k), starts, starts + sizes[q]], 1))
-            rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-            if len(rows):  # joins windows of one item that overlap or touch
-                group = rows[:, 0] * (len(item_ids) + 1) + rows[:, 1]
-                far = np.concatenate([[True], (group[1:] != group[:-1]) | (rows[1:, 2] > rows[:-1, 3])])
-                begin = np.flatnonzero(far)
-                rows = np.concatenate([rows[begin, :3], np.maximum.reduceat(rows[:, 3], begin)[:, None]], 1)
-            at = np.searchsorted(rows[:, 0], np.arange(block.num_rows + 1))
-            base = first[rows[:, 0]]
-            spans = pa.StructArray.from_arrays([pa.array(item_ids[rows[:, 1]]), pa.array(rows[:, 2] - base), pa.array(rows[:, 3] - base)], ["item_id", "start", "end"])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)], ["doc_id", "n_words", "matches"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, n_words long, matches array<struct<item_id:long,start:long,end:long>>")
+            counts, found = own.matches(block.column("text"))
+            at = np.searchsorted(found[:, 0], np.arange(block.num_rows + 1))
+            spans = pa.StructArray.from_arrays([own.ids.take(pa.array(found[:, 1])), pa.array(found[:, 2]), pa.array(found[:, 3])], ["item_id", "start", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)
+            if again:
+                lists = pa.array([x + y for x, y in zip(block.column("matches").to_pylist(), lists.to_pylist(), strict=True)], pa.list_(_SPAN))
+            texts = [block.column("text")] if more else []
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(counts), lists, *texts], ["doc_id", "n_words", "matches", "text"][: 3 + more])
+
+    return arrow_map(rows, run, _MATCHES + ", text string" * more)
+
+
+#: Scans that are chained in one stage before their rows are written.
+CHAINED = 3
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -153,10 +177,15 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, and matches (item_id, start, end in words) against the whole benchmark."""
-    scans = [scan(docs, block, width) for block in item_blocks(benchmark)] or [scan(docs, [], width)]
-    if len(scans) == 1:
-        return scans[0]
-    return reduce(DataFrame.unionByName, scans).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    rows, blocks, n = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), item_blocks(benchmark), 0
+    block = next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
+        rows, n = scan(rows, block, width, following is not None), n + 1
+        if following is not None and n % CHAINED == 0:
+            rows = written(rows, "scanned")
+        block = following
+    return rows
 
 
 def covered(spans):
@@ -168,8 +197,23 @@ def covered(spans):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents without any match, with all their columns."""
-    return without(docs, matches(docs, benchmark, width).where(F.size("matches") > 0).select("doc_id"))
+    """The rows of docs without any match, with all their columns. Each row is judged by its own text."""
+    for block in item_blocks(benchmark):
+        docs = _without_matches(docs, block, width)
+    return docs
+
+
+def _without_matches(docs: DataFrame, items: list[tuple[int | None, str | None]], width: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Items(items, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in in_blocks(batches, limit=SHARD_BYTES):
+            _, found = shared.value.matches(block.column("text"))
+            keep = np.ones(block.num_rows, bool)
+            keep[found[:, 0]] = False
+            yield block.filter(pa.array(keep))
+
+    return arrow_map(docs, run, docs.schema)
 
 
 __all__ = ["covered", "decontaminate", "matches", "suffix_array"]
