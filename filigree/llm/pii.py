@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, words before them adjust their scores.
+"""Personal data: patterns propose spans, checksums confirm them, words on both sides of them adjust their scores.
 
 Everything is a column expression (regular expressions, array functions), so it runs inside the JVM.
 
@@ -7,7 +7,11 @@ pieces give positions in code points. Patterns with a repeated group are applied
 the group's repeats (a dot between labels, a separator between digits) is itself replaced by a mark, so each
 pattern is a plain run of one character class: no recursion and no second look at a long run, whatever its length.
 
-Null and empty texts have no spans. Spans of different kinds may overlap; repeated rows give repeated results.
+Running positions are folded in blocks, so the time does not grow with the square of the number of spans.
+
+Null and empty texts have no spans. Spans of different kinds may overlap. Every row is answered on its own: repeated rows
+give repeated results, rows of null doc_id results of null doc_id, an empty table none. Further columns, whatever their
+names, are not looked at; redact() returns them.
 """
 
 from __future__ import annotations
@@ -82,23 +86,61 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Values that _running() folds at a time. It is even: in blocks of pieces, too, the second is the first inside marks.
+BLOCK = 256
+
+
+def _in_blocks(values: Column) -> Column:
+    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column, step) -> Column:
+    """For each of some whole numbers the fold of all before it, from 0. The step is a sum or a maximum."""
+    zero = F.lit(0)
+
+    def scan(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, state, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    return _let(_in_blocks(values), lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: F.aggregate(b, zero, step)), zero), scan)))
+
+
+#: Pieces on one side of a span that can hold its context: proposals, of at least five characters, and what is between them.
+NEAR = 2 * (CONTEXT_CHARS // 5) + 1
+_SPAN_ARRAY = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+
+
 def _spans(kind: str, marked: Column) -> Column:
     """Spans of a text with marks around the proposals of kind: start, rank, end, kind, score."""
-    pieces = F.split(marked, EDGE)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>").alias("found"))
 
-    def add(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
-        score = F.lit(SCORES[kind]) + F.when(F.lower(F.right(s["before"], F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
-        own = F.struct(s["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
-        kept = F.when(s["inside"] & _confirmed(kind, piece) & (score >= KEPT), F.array_append(s["found"], own)).otherwise(s["found"])
-        return F.struct(end.alias("at"), piece.alias("before"), (~s["inside"]).alias("inside"), kept.alias("found"))
+    def described(pieces: Column) -> Column:
+        starts = _let(F.transform(pieces, F.length), lambda v: _running(v, lambda a, b: a + b))
+        parts = F.struct(pieces.alias("piece"), starts.alias("start"), F.transform(pieces, lambda x: F.right(x, F.lit(CONTEXT_CHARS))).alias("tail"), F.transform(pieces, lambda x: F.left(x, F.lit(CONTEXT_CHARS))).alias("head"))
+        return F.when(F.size(pieces) > 1, _let(parts, found)).otherwise(F.array().cast(_SPAN_ARRAY))
+
+    def found(v: Column) -> Column:
+        def span(k: Column) -> Column:
+            i = 2 * k  # counted from 1, every second piece is inside marks
+            before = F.right(F.array_join(F.slice(v["tail"], F.greatest(i - NEAR, F.lit(1)), F.least(i - 1, F.lit(NEAR))), ""), F.lit(CONTEXT_CHARS))
+            after = F.left(F.array_join(F.slice(v["head"], i + 1, F.lit(NEAR)), ""), F.lit(CONTEXT_CHARS))
+            score = F.lit(SCORES[kind]) + F.when(F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+            piece, start = F.get(v["piece"], i - 1), F.get(v["start"], i - 1)
+            own = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(piece)).alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+            return F.when(_confirmed(kind, piece) & (score >= KEPT), own)
 
-    return F.aggregate(pieces, start, add, lambda s: s["found"])
+        return F.filter(F.transform(F.sequence(F.lit(1), F.floor(F.size(v["piece"]) / 2).cast("int")), span), lambda x: x.isNotNull())
+
+    return _let(F.split(marked, EDGE), described)
 
 
 def _when_has(text: Column, guard: Column, kind: str, marked: Column) -> Column:
-    return F.when(guard, _spans(kind, marked)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>"))
+    return F.when(guard, _spans(kind, marked)).otherwise(F.array().cast(_SPAN_ARRAY))
 
 
 def _mark(text: Column, pattern: str) -> Column:
@@ -137,22 +179,28 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        out = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, out).otherwise(s["out"]).alias("out"))
+    def cut(v: Column) -> Column:
+        first = lambda x: F.struct(x["span"]["start"].alias("to"), x["span"]["kind"].alias("kind"), x["done"].alias("at"))
+        ends = F.transform(v["spans"], lambda x: x["end"])
+        done = _let(ends, lambda e: _running(e, lambda a, b: F.greatest(a, b)))
+        heads = F.transform(F.filter(F.zip_with(v["spans"], done, lambda x, d: F.struct(x.alias("span"), d.alias("done"))), lambda x: x["span"]["start"] >= x["done"]), first)
+        return F.concat(F.array_join(F.transform(_let(heads, _in_blocks), lambda b: block(v["text"], b)), ""), F.substring(v["text"], F.array_max(ends) + 1, F.length(v["text"])))
+
+    def block(whole: Column, b: Column) -> Column:
+        base = b[0]["at"]
+        own = F.struct(b.alias("b"), F.substring(whole, base + 1, F.element_at(b, -1)["to"] - base).alias("text"))
+        piece = lambda w, x: F.concat(F.substring(w["text"], x["at"] - w["b"][0]["at"] + 1, x["to"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return _let(own, lambda w: F.array_join(F.transform(w["b"], lambda x: piece(w, x)), ""))
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.struct(text.alias("text"), spans.alias("spans")), cut))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars (where there is one) as long as the new text."""
     order = docs.columns
-    out = docs.withColumn("_spans", find(F.col("text").cast("string")))
-    out = out.withColumn("text", redacted(F.col("text").cast("string"), F.col("_spans"))).drop("_spans")
+    text = F.col("text").cast("string")
+    out = docs.withColumn("text", _let(find(text), lambda spans: redacted(text, spans)))
     if "n_chars" in order:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in order])
