@@ -6,7 +6,10 @@ once. The share of equal values estimates the Jaccard similarity. near_pairs() j
 Spark and verifies each candidate by the exact similarity of its shingle sets; members() tells which texts have equal ones.
 
 Null and empty texts, and texts without words, have no shingles: all their values are the largest, so they are
-alike one another and unlike all others. Equal texts have equal fingerprints.
+alike one another and unlike all others. Equal texts have equal fingerprints. Rows are documents each: those with one
+doc_id follow one another in the order of their texts, those of null doc_id come first. members() and near_pairs() take
+rows of one doc_id as one document, and leave null doc_ids out of the pairs. An empty table gives no rows. Further
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -120,22 +123,60 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 32, own: Da
     return arrow_map(joined.select("a", "b", "text_a", "text_b"), verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+#: Text bytes of one part of with_next(), and the most parts: beyond these, parts grow. They are read as streams.
+PART_BYTES, MOST_PARTS = 16 << 20, 1 << 15
+_NONE = -(2**63)
+
+
+def part_heads(rows: DataFrame, part_bytes: int) -> np.ndarray:
+    """The least doc_ids (null: the least number) of parts of about part_bytes of text, ascending. Ids and sizes are sorted
+    over ranges, and each range tells its own heads."""
+    sizes = rows.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    dealt = sizes.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in batches:
+            ids, total = batch.column("doc_id").to_numpy(), np.cumsum(batch.column("size").to_numpy())
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = ids[1:] != ids[:-1]
+            heads, at, places = [], -held, np.flatnonzero(fresh)
+            before = total - batch.column("size").to_numpy()
+            if last is None:
+                heads.append(ids[0])
+            while (k := int(np.searchsorted(before[places], at + part_bytes))) < len(places):
+                if ids[places[k]] != last and (not heads or heads[-1] != ids[places[k]]):
+                    heads.append(ids[places[k]])
+                at = int(before[places[k]])
+                places = places[k + 1 :]
+            held, last = int(total[-1]) - at, ids[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64())], ["head"])
+
+    return np.unique(np.array([r.head for r in arrow_map(dealt, run, "head long", 1 << 15).collect()], np.int64))
+
+
+def with_next(docs: DataFrame, part_bytes: int) -> DataFrame:
     """docs dealt by ranges of doc_id into parts, sorted, with the first document of the next part after each part's
-    last one (is_next; after the last part, the first document). Part borders come from quantiles of doc_id alone."""
+    last one (is_next; after the last part, the first document). Each part is a task of its own."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    borders = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    edges = F.array(*[F.lit(float(x)) for x in borders]) if borders else F.array().cast("array<double>")
-    part = F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))).cast("int")
-    heads = [(r.part, r.head) for r in rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("head")).orderBy("part").collect()]
-    previous = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    tail = F.create_map(*[F.lit(x) for kv in previous.items() for x in kv]) if previous else F.lit(None).cast("map<bigint,int>")
-    places = F.array_compact(F.array(F.struct(part.alias("part"), F.lit(False).alias("is_next")), F.when(F.col("doc_id").isin(*previous), F.struct(F.try_element_at(tail, F.col("doc_id")).alias("part"), F.lit(True).alias("is_next")))))
-    dealt = rows.select("doc_id", "text", F.inline(places))
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "is_next", "doc_id")
-
-
-def compare_edited(docs: DataFrame, parts: int) -> DataFrame:
+    heads = part_heads(rows, part_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(heads)  # at most MOST_PARTS and the ranges' own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("doc_id").fill_null(_NONE).to_numpy()
+                part = np.searchsorted(heads, ids, "right") - 1
+                again = np.flatnonzero(heads[part] == ids)
+                for own, parts, following in ((batch, part, False), (batch.take(pa.array(again)), (part[again] - 1) % len(heads), True)):
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), pa.array(parts.astype(np.int32)), pa.array([following] * own.num_rows, pa.bool_())], ["doc_id", "text", "part", "is_next"])
+
+    dealt = arrow_map(rows, run, "doc_id long, text string, part int, is_next boolean")
+    return dealt.repartitionById(max(1, len(heads)), "part").sortWithinPartitions("is_next", "doc_id", "text")
+
+
+def compare_edited(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Each document with the text that has its second half replaced by the start of the next document: both
     signatures, the edited text's hash and the likeness to it and to the next document."""
     import hashlib
@@ -158,13 +199,9 @@ def compare_edited(docs: DataFrame, parts: int) -> DataFrame:
                 pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]),
             )
 
-    return arrow_map(with_next(docs, parts), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-#: Text bytes of one part of with_next(), and the most parts (their borders are literals of the plan).
-PART_BYTES, MOST_PARTS = 16 << 20, 1024
+    return arrow_map(with_next(docs, part_bytes), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def parts_for(docs: DataFrame) -> int:
+def part_bytes_for(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return min(MOST_PARTS, max(1, -(-total // PART_BYTES)))
+    return max(PART_BYTES, -(-total // MOST_PARTS))

@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return fingerprints.compare_edited(docs, fingerprints.parts_for(docs))
+    return fingerprints.compare_edited(docs, fingerprints.part_bytes_for(docs))
 
 
 def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
