@@ -12,35 +12,42 @@ earlier in the same one.
    run its place, the place before it in suffix order and their common length are sampled. From these samples alone
    the common length of every place with its neighbour is streamed over the text; lengths of at least LENGTH join
    places into groups, and all but the earliest of a group are marked.
+   An anchor with very many distinct segments (around a passage that many documents share in contexts of their own) is
+   no single bundle: its segments are cut again by the anchors of another hash family, and again, and settled in between.
 4. Marks of a document are joined with its text. Documents that a Bloom filter shows to have none are not moved.
 
-Null and empty texts, and texts shorter than LENGTH, lose nothing. Rows with equal doc_id should be equal: they count as
-one document and are all returned. A null doc_id counts as -1.
+Null and empty texts, and texts shorter than LENGTH, lose nothing. Equal rows count as one document and are all returned.
+Rows of one doc_id with different texts are different documents, which follow one another by a hash of their texts; so
+are rows of null doc_id, which come before all others. An empty table gives no rows. Further columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, id_filter, in_blocks, maybe_in, numbers, utf8, written
-from .textarrays import random_words, runs, word_hashes
+from .textarrays import mix, random_words, runs, word_hashes
 
 LENGTH, GRAM = 100, 32
 #: Bytes and segments that are indexed together.
 BUNDLE_BYTES, BUNDLE_SEGMENTS = 2 << 20, 30_000
-_BYTE = random_words(21, 256)
+#: Distinct segments of one anchor from which on they get anchors of another family, and how many families there are.
+HOT_SEGMENTS, FAMILIES = 20_000, 6
+_BYTES = [random_words(21 + 100 * k, 256) for k in range(FAMILIES)]
 _STEP = random_words(22, 5) | np.uint64(1)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+def gram_hashes(data: np.ndarray, family: int = 0) -> np.ndarray:
     """A hash of the GRAM bytes from each place on, by doubling (places near the end see zeros)."""
-    h = _BYTE[data]
+    h = _BYTES[family][data]
     width, k = 1, 0
     with np.errstate(over="ignore"):
         while width < GRAM:
@@ -51,9 +58,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         return h * _STEP[0]
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The least gram hash of the window from each place on, and whether it is that of the window's first gram."""
-    grams = gram_hashes(data)
+    grams = gram_hashes(data, family)
     low, width = grams.copy(), 1
     wanted = length - GRAM + 1
     while 2 * width <= wanted:
@@ -65,7 +72,7 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return low, low == grams
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, start in it, number of windows, anchor and hash of each segment."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ends = offsets[1:][owner]
@@ -74,7 +81,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not valid.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    low, leaves = anchors(data)
+    low, leaves = anchors(data, family=family)
     starts, _, _ = runs(valid, offsets)
     fresh = np.zeros(len(data), bool)
     fresh[starts] = True
@@ -270,6 +277,21 @@ def index_bundles(rows: DataFrame) -> DataFrame:
     return arrow_map(rows, run, kind, 1 << 12)
 
 
+def segment_again(strings: DataFrame, family: int) -> DataFrame:
+    """The segments (anchor, doc_id, start, bytes) cut by the anchors of another family. Equal windows have equal anchors in
+    each family, so those of one anchor in all families so far still meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, at, n, anchor, segment = segments(*utf8(batch.column("bytes")), family)
+            before, doc, start = (numbers(batch.column(c)) for c in ("anchor", "doc_id", "start"))
+            with np.errstate(over="ignore"):
+                both = mix(mix(before[which].view(np.uint64)) ^ anchor.view(np.uint64)).view(np.int64)
+            yield _batch(_ROW, both, segment, doc[which], start[which] + at, n)
+
+    return arrow_map(strings, run, _ROW, 1 << 12)
+
+
 def _moved(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs that may be among ids, and docs that are not."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
@@ -330,13 +352,47 @@ def _result(batch: pa.RecordBatch, marks: pa.Array | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, kind)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text) whose doc_id tells texts apart, and, where it had to be replaced, a table of the numbers and the
+    doc_ids they stand for: numbers follow doc_id (null first) and then a hash of the text."""
+    key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    unclear = keys.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b or doc_id is null")
+    if unclear.isEmpty():
+        return docs, None
+    pairs = docs.select(F.col("doc_id").cast("long").alias("own"), key.alias("key")).distinct().repartitionByRange("own", "key").sortWithinPartitions("own", "key")
+    pairs = written(pairs.select("own", "key", F.monotonically_increasing_id().alias("row")), "numbers").withColumn("part", F.shiftright("row", 33))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    bases = pairs.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    numbers_ = written(pairs.join(F.broadcast(bases), "part").select("own", "key", (F.col("base") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")), "numbers")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), key.alias("k"))
+    joined = texts.join(numbers_, F.col("id").eqNullSafe(F.col("own")) & (F.col("k") == F.col("key")))
+    return joined.select(F.col("number").alias("doc_id"), "text"), numbers_.select("number", "own")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Every row's doc_id with its removed spans (in bytes), what is kept, and their sizes."""
-    found = segment_rows(docs).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")
-    settled = written(settle(found), "settled")
-    strings = cut_out(docs, settled.where("open").select("anchor", "doc_id", "start", "n"))
-    more = written(index_bundles(strings.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")), "indexed")
-    marks = settled.where("not open").select("doc_id", "start", "n").unionAll(more)
+    docs, numbers_ = _numbered(docs)
+    out = _without_repeats(written(docs, "numbered") if numbers_ is not None else docs)
+    if numbers_ is None:
+        return out
+    return out.join(numbers_, out["doc_id"] == numbers_["number"]).select(F.col("own").alias("doc_id"), *out.columns[1:])
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    found, family, marks = segment_rows(docs), 0, []
+    while True:
+        settled = written(settle(found.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")), "settled")
+        marks.append(settled.where("not open").select("doc_id", "start", "n"))
+        opened, family = settled.where("open").select("anchor", "doc_id", "start", "n"), family + 1
+        hot = written(opened.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor"), "hot")
+        some = family < FAMILIES and not hot.isEmpty()
+        strings = cut_out(docs, opened.join(hot, "anchor", "left_anti") if some else opened)
+        marks.append(written(index_bundles(strings.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")), "indexed"))
+        if not some:
+            break
+        found = segment_again(cut_out(docs, opened.join(hot, "anchor", "left_semi")), family)
+    marks = reduce(DataFrame.unionAll, marks)
     marked, clean = _moved(docs, marks)
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
