@@ -7,7 +7,9 @@ Gaussian log densities and log priors, from Mahalanobis distances by the cached
 
 Null and empty texts have the statistics of an empty text and are scored like any other. A document with
 contradictory labels is not learned from; repeated equal labels count once. With fewer than two classes to learn
-from, every score is the (smoothed) share of label 1.
+from, every score is the (smoothed) share of label 1. Every row is scored by its own text; repeated rows are learned from
+each, those of null doc_id never. An empty table gives no rows. Further columns, whatever their names, are not looked
+at; keep_good() returns them.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Documents are dealt by ranges of doc_id and sorted, so every file holds one rang
 hold narrow ranges (minimum and maximum of doc_id in the row indexes), and a Bloom filter on doc_id settles
 point reads. ORC stores the ids with its integer run-length encoding. Stripes are read in parallel.
 
-Null and empty texts hold the end id alone. Rows with equal doc_id stay next to each other, in any order.
+Null and empty texts hold the end id alone. Rows with equal doc_id stay next to each other, in any order, and those of
+null doc_id come first. An empty table gives files without rows. Further columns, whatever their names, are not written.
 """
 
 from __future__ import annotations

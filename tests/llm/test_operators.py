@@ -139,7 +139,7 @@ def test_decontamination(spark, docs, empty, monkeypatch):
 
 
 def test_fingerprints(docs, empty):
-    got = rows(fingerprints.compare_edited(docs, 3))
+    got = rows(fingerprints.compare_edited(docs, 3000))
     for k, t in enumerate(TEXTS):
         own, following = t or "", TEXTS[(k + 1) % len(TEXTS)] or ""
         half = len(own) // 2
@@ -147,7 +147,7 @@ def test_fingerprints(docs, empty):
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1.0
     pairs = {(r.a, r.b) for r in fingerprints.near_pairs(docs).collect()}
     assert (0, 3) in pairs
-    assert fingerprints.compare_edited(empty, 1).count() == 0
+    assert fingerprints.compare_edited(empty).count() == 0
 
 
 def test_near_pairs_against_brute_force(spark, monkeypatch):
