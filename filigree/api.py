@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators import descent, forces, graph, neighbors
-from filigree.params import Params, check_points
+from filigree.params import Params, check_points, check_start
 
 
 def joint(edges: DataFrame, params: Params) -> DataFrame:
@@ -15,21 +17,37 @@ def joint(edges: DataFrame, params: Params) -> DataFrame:
     return graph.normalize_joint(graph.symmetrize(graph.rescale(graph.make_stochastic(rows), params.lam, drop_leaf=params.drop_leaf)))
 
 
-def embed_graph(edges: DataFrame, params: Params = Params(), vertices: DataFrame | None = None, y0: DataFrame | None = None) -> DataFrame:
-    """id, coordinates and cost of every vertex; isolated ones need the vertices table. y0 is joined by id."""
-    p = joint(edges, params).cache()
-    ids = p.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select("id")
-    coords = descent.start(ids, params) if y0 is None else ids.join(y0, "id")
-    return descent.fused(p, coords, params)
+def embed_graph(edges: DataFrame, params: Params = Params(), vertices: DataFrame | None = None, y0: DataFrame | None = None, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """id, coordinates and cost of every vertex; isolated ones need the vertices table. y0 is joined by id and must hold
+    every vertex. Graphs of a bounded size descend in one worker, larger ones (and all with on_iteration, which
+    gets the number and the state of each step) as DataFrames."""
+    p = joint(edges, params).persist()
+    ids = p.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select("id").distinct()
+    coords = descent.start(ids, params) if y0 is None else ids.join(check_start(y0, params), "id", "left")
+    descent.checked(p, coords)
+    if on_iteration is None and descent.fits(p, coords):
+        return descent.fused(p, coords, params)
+    out = descent.with_cost(p, descent.descend(p, coords, params, on_iteration=on_iteration), params)
+    return out
+
+
+def embed_points(points: DataFrame, perplexity: float | None = None, params: Params = Params(), y0: DataFrame | None = None, exact: bool | None = None, metric: neighbors.Metric = "sqeuclidean", components: int = 0, scaled: bool = False, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """The same for feature vectors, by their nearest neighbours at a perplexity: exact ones up to EXACT_POINTS points,
+    unless exact says otherwise. Columns can be scaled, and reduced to principal components, before."""
+    points = neighbors.clean(points).persist()
+    u = check_points(points.count(), (points.select(F.size("x")).first() or [0])[0], perplexity, components, params.dims)
+    exact = points.count() <= EXACT_POINTS if exact is None else exact
+    rows = neighbors.standardize(points) if scaled else points
+    if components:
+        rows = neighbors.pca(rows, components, centre=scaled)
+    knn = (neighbors.knn_exact if exact else neighbors.knn_approximate)(rows, neighbors.neighbour_count(u), metric)
+    if metric != "sqeuclidean":
+        knn = knn.withColumn("d", F.col("d") * F.col("d"))
+    return embed_graph(neighbors.perplexity_edges(knn, u), params.with_(lam=1.0), points.select("id"), y0, on_iteration)
 
 
-def embed_points(points: DataFrame, perplexity: float | None = None, params: Params = Params(), y0: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """The same for feature vectors, by their nearest neighbours at a perplexity."""
-    points = neighbors.clean(points).cache()
-    u = check_points(points.count(), 1, perplexity)
-    k = -int(-3 * u // 1)
-    knn = neighbors.knn_exact(points, k) if exact else neighbors.knn_approximate(points, k)
-    return embed_graph(neighbors.perplexity_edges(knn, u), params.with_(lam=1.0), points.select("id"), y0)
+#: Points whose neighbours embed_points() finds by all pairs.
+EXACT_POINTS = 50_000
 
 
 class GradientService:
@@ -42,7 +60,7 @@ class GradientService:
         return forces.gradient(self.edges, coords, alpha, self.step, scale)
 
     def kl(self, coords: DataFrame, alpha: float = 1.0, stale_zeta: float | None = None) -> float:
-        return forces.kl_cost(self.edges, coords, alpha, stale_zeta).first().cost
+        return forces.kl_cost(self.edges, coords, alpha, stale_zeta, self.step).first().cost
 
     def close(self) -> None:
         self.edges.unpersist()

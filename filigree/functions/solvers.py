@@ -15,7 +15,13 @@ def _total(values: Column, f) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
 
 
-def perplexity_beta(d2: Column, perplexity: float, steps: int = 200, tolerance: float = 1e-5) -> Column:
+def perplexity_beta_normalised(d2: Column, perplexity: float) -> Column:
+    """The vector front end's search: the entropy is taken of the normalised weights, a hundred steps at most, and the last
+    precision counts, evaluated or not."""
+    return perplexity_beta(d2, perplexity, steps=100, result="b")
+
+
+def perplexity_beta(d2: Column, perplexity: float, steps: int = 200, tolerance: float = 1e-5, result: str = "used") -> Column:
     """The precision at which exp(-beta * d2), normalised, has the entropy ln(perplexity): bracket from 1 by doubling or
     halving, then bisection. The result is the last precision whose entropy was evaluated."""
     target = F.ln(F.lit(float(perplexity)))
@@ -37,7 +43,7 @@ def perplexity_beta(d2: Column, perplexity: float, steps: int = 200, tolerance:
 
         return F.when(st["done"], st).otherwise(_let(entropy(st["b"]) - target, moved))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda st: st["used"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda st: st[result])
 
 
 def rescaling_exponent(delta: Column, lam: float, steps: int = 100, tolerance: float = 1e-5) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators import forces
+from filigree.operators import forces, graph
 from filigree.params import Params
 
 #: Vertices and edges that the fused descent takes in one worker.
@@ -47,21 +47,49 @@ def schedule(i: int, params: Params) -> tuple[float, float]:
     return params.alpha if i <= params.early_iter else 1.0, params.momentum[0 if i <= params.momentum_switch else 1]
 
 
-def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = True, checkpoint_every: int = 5, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
-    """params.max_iter steps over DataFrames, for graphs of any size; the state is checkpointed where a checkpoint
-    folder is set."""
-    state, edges = with_state(coords).cache(), edges.cache()
+def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """params.max_iter steps over DataFrames, for graphs of any size; forces are by the grid, or, exact, by all pairs.
+    Every step's state is checkpointed (on a local master without a checkpoint folder, persisted), and the one before it
+    is released. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
+    spark, edges = edges.sparkSession, edges.persist()
+    state = graph.cut(spark, with_state(coords))
     for i in range(params.max_iter):
         alpha, momentum = schedule(i, params)
         own = state.select("id", *[f"y{k}" for k in range(params.dims)])
-        state = update(state, forces.gradient(edges, own, alpha, None if exact else params.grid_step), momentum, params).cache()
-        if (i + 1) % checkpoint_every == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        grad = forces.gradient(edges, own, alpha, None if exact else params.grid_step)
+        if params.tolerance:
+            grad = grad.persist()
+            most = grad.agg(F.max(sum((F.abs(f"d{k}") for k in range(params.dims)), F.lit(0.0))).alias("most")).first().most
+        after = graph.cut(spark, update(state, grad, momentum, params))
+        state.unpersist()
+        if params.tolerance:
+            grad.unpersist()
+        state = after
         if on_iteration:
             on_iteration(i, state)
+        if params.tolerance and (most is None or most < params.tolerance):
+            break
+    edges.unpersist()
     return state.select("id", *[f"y{k}" for k in range(params.dims)])
 
 
+def with_cost(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False) -> DataFrame:
+    """coords with the cost on every row."""
+    cost = forces.kl_cost(edges, coords, step=None if exact else params.grid_step)
+    return coords.join(F.broadcast(cost))  # one row
+
+
+def checked(edges: DataFrame, coords: DataFrame) -> None:
+    """ValueError where an edge ends at no vertex, or a vertex has no or no finite coordinates."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    lost = ends.join(coords, "id", "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"edges end at {', '.join(str(r.id) for r in lost)}, which the vertices lack")
+    bad = coords.where(~F.coalesce(sum((F.abs(f"y{k}") for k in range(forces.dims(coords))), F.lit(0.0)) < float("inf"), F.lit(False))).limit(3).collect()
+    if bad:
+        raise ValueError(f"no coordinates for {', '.join(str(r.id) for r in bad)}")
+
+
 def repulsion(y: np.ndarray, step: float) -> tuple[np.ndarray, float]:
     """Gridded forces times zeta, and zeta, of an array of points."""
     n, d = y.shape
@@ -86,11 +114,15 @@ def repulsion(y: np.ndarray, step: float) -> tuple[np.ndarray, float]:
     return z * got[:, :1] - got[:, 1:], zeta
 
 
+def fits(edges: DataFrame, coords: DataFrame) -> bool:
+    """Whether the graph is small enough for fused()."""
+    return coords.count() <= FUSED_POINTS and edges.count() <= FUSED_EDGES
+
+
 def fused(edges: DataFrame, coords: DataFrame, params: Params) -> DataFrame:
     """The whole gridded descent of a bounded graph in one worker: id, coordinates, and cost (KL) on every row."""
-    n, m = coords.count(), edges.count()
-    if n > FUSED_POINTS or m > FUSED_EDGES:
-        raise ValueError(f"{n} vertices and {m} edges; use descend()")
+    if not fits(edges, coords):
+        raise ValueError(f"more than {FUSED_POINTS} vertices or {FUSED_EDGES} edges; use descend()")
     d = params.dims
     rows = edges.select(F.lit(1).alias("kind"), "src", "dst", "w", *[F.lit(0.0).alias(f"y{k}") for k in range(d)]).unionByName(coords.select(F.lit(0).alias("kind"), F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.0).alias("w"), *[f"y{k}" for k in range(d)]))
 

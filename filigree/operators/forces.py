@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +27,11 @@ def _square(d: int) -> Column:
     return sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in range(d)), F.lit(0.0))
 
 
-def attract(edges: DataFrame, coords: DataFrame) -> DataFrame:
-    """id and sum over its edges of w (y_src - y_dst) / (1 + |y_src - y_dst|^2)."""
+def attract(edges: DataFrame, coords: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """id and sum over its edges of w (y_src - y_dst) / (1 + |y_src - y_dst|^2). In a bipartite graph the coordinates of dst
+    are those of a table of their own, others."""
     d = dims(coords)
-    rows = edges.join(_side(coords, "src", "a"), "src").join(_side(coords, "dst", "b"), "dst").withColumn("q", F.col("w") / (1 + _square(d)))
+    rows = edges.join(_side(coords, "src", "a"), "src").join(_side(coords if others is None else others, "dst", "b"), "dst").withColumn("q", F.col("w") / (1 + _square(d)))
     return rows.groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("q") * (F.col(f"a{k}") - F.col(f"b{k}"))).alias(f"f{k}") for k in range(d)])
 
 
@@ -41,24 +46,24 @@ def repulse_exact(coords: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(zeta)).select("id", *[(F.col(f"g{k}") / F.col("zeta")).alias(f"f{k}") for k in range(d)], "zeta")  # one row
 
 
+#: The lengths of transforms that grids have.
+LENGTHS = (
+    8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 25, 26, 28, 32, 33, 35, 36, 39, 40, 42, 44, 45, 48, 49, 50, 52, 54, 55, 56, 60, 63, 64, 65, 66, 70, 72, 75, 77, 78, 80, 84, 88, 90, 91, 96,
+    98, 99, 100, 104, 105, 108, 110, 112, 117, 120, 125, 126, 130, 132, 135, 140, 144, 147, 150, 154, 156, 160, 165, 168, 175, 176, 180, 182, 189, 192, 195, 196, 198, 200, 208, 210,
+    216, 220, 224, 225, 231, 234, 240, 245, 250, 252, 260, 264, 270, 273, 275, 280, 288, 294, 297, 300, 308, 312, 315, 320, 325, 330, 336, 343, 350, 351, 352, 360, 364, 375, 378, 385,
+    390, 392, 396, 400, 416, 420, 432, 440, 441, 448, 450, 455, 462, 468, 480, 490, 495, 500, 504, 512,
+)
+
+
 def smooth_size(n: int) -> int:
-    """Cells for n wanted: two less than the least length of at least n + 2 whose prime factors are 2, 3, 5 and 7, from 16 to 512."""
-    length = max(16, n + 2)
-    while length < 512:
-        rest = length
-        for p in (2, 3, 5, 7):
-            while rest % p == 0:
-                rest //= p
-        if rest == 1:
-            break
-        length += 1
-    return min(length, 512) - 2
-
-
-def weights(t):
-    """Cubic Lagrange weights of the four cells around a fraction t."""
-    near = lambda x: x * x * x / 2 - x * x - x / 2 + 1
-    far = lambda x: -(x * x * x) / 6 + x * x - 11 * x / 6 + 1
+    """Cells for n wanted: two less than the least of LENGTHS that is at least n + 2, or than the last."""
+    return LENGTHS[min(bisect.bisect_left(LENGTHS, n + 2), len(LENGTHS) - 1)] - 2
+
+
+def weights(t, smooth: bool = False):
+    """Cubic weights of the four cells around a fraction t: Lagrange's, or, smooth, those of cubic convolution."""
+    near = lambda x: 1.5 * x * x * x - 2.5 * x * x + 1 if smooth else x * x * x / 2 - x * x - x / 2 + 1
+    far = lambda x: -(x * x * x) / 2 + 2.5 * x * x - 4 * x + 2 if smooth else -(x * x * x) / 6 + x * x - 11 * x / 6 + 1
     return [far(1 + t), near(t), near(1 - t), far(2 - t)]
 
 
@@ -84,24 +89,30 @@ def cells(coords: DataFrame, low: list[float], extent: float, n: int) -> DataFra
     return out
 
 
-def _spread(placed: DataFrame, d: int) -> DataFrame:
+def _spread(placed: DataFrame, d: int, smooth: bool = False) -> DataFrame:
     """A row for each of the 4^d cells around a point: g0.. and the weight."""
     out, weight = placed, F.lit(1.0)
     for k in range(d):
-        out = out.select("*", F.posexplode(F.array(*weights(F.col(f"t{k}")))).alias(f"o{k}", f"w{k}")).withColumn(f"g{k}", F.col(f"c{k}") + F.col(f"o{k}"))
+        out = out.select("*", F.posexplode(F.array(*weights(F.col(f"t{k}"), smooth))).alias(f"o{k}", f"w{k}")).withColumn(f"g{k}", F.col(f"c{k}") + F.col(f"o{k}"))
         weight = weight * F.col(f"w{k}")
     return out.withColumn("weight", weight)
 
 
-def scatter(placed: DataFrame, d: int) -> DataFrame:
+def scatter(placed: DataFrame, d: int, smooth: bool = False) -> DataFrame:
     """Grid cells with the charges 1, z0, .. of the points around them."""
     charges = [F.lit(1.0), *[F.col(f"z{k}") for k in range(d)]]
-    return _spread(placed, d).groupBy(*[f"g{k}" for k in range(d)]).agg(*[F.sum(F.col("weight") * c).alias(f"v{m}") for m, c in enumerate(charges)])
+    return _spread(placed, d, smooth).groupBy(*[f"g{k}" for k in range(d)]).agg(*[F.sum(F.col("weight") * c).alias(f"v{m}") for m, c in enumerate(charges)])
+
+
+#: Cells of a grid that convolve_cells() takes, and sends to every executor.
+CONVOLVE_CELLS = 100_000
 
 
 def convolve_cells(grid: DataFrame, d: int, n: int, h: float) -> DataFrame:
     """The grid convolved with 1 / (1 + h^2 r^2)^2 by all pairs of cells: for small grids."""
     spark = grid.sparkSession
+    if (n + 2) ** d > CONVOLVE_CELLS:
+        raise ValueError(f"{(n + 2) ** d} cells; all pairs are for at most {CONVOLVE_CELLS}")
     target = spark.range((n + 2) ** d)
     for k in range(d):
         target = target.withColumn(f"p{k}", (F.floor(F.col("id") / (n + 2) ** k) % (n + 2)).cast("int"))
@@ -111,35 +122,60 @@ def convolve_cells(grid: DataFrame, d: int, n: int, h: float) -> DataFrame:
 
 
 def convolve_fft(values: np.ndarray, h: float) -> np.ndarray:
-    """The same for arrays (channels, cells, ..) by a zero-padded FFT."""
+    """The same for arrays (channels, cells, ..), without padding. A transform of twice the length falls into transforms of
+    the single length for its even and its odd places in each dimension, so a channel needs as many as there are
+    corners, one after another, and the memory of one."""
     shape = values.shape[1:]
-    wide = [2 * s for s in shape]
-    axes = np.meshgrid(*[np.minimum(np.arange(w), w - np.arange(w)) for w in wide], indexing="ij")
-    r2 = sum(a.astype(float) ** 2 for a in axes)
-    kernel = np.fft.rfftn(1 / (1 + h * h * r2) ** 2)
-    around = tuple(range(1, values.ndim))
-    out = np.fft.irfftn(np.fft.rfftn(values, s=wide, axes=around) * kernel, s=wide, axes=around)
-    return out[(slice(None), *[slice(0, s) for s in shape])]
+    d = len(shape)
+    out = np.zeros(values.shape)
+    r2 = [np.minimum(np.arange(2 * n), 2 * n - np.arange(2 * n)).astype(float) ** 2 for n in shape]
+
+    def along(x: np.ndarray, k: int) -> np.ndarray:
+        return x.reshape([-1 if m == k else 1 for m in range(d)])
+
+    for odd in np.ndindex(*[2] * d):
+        turn = np.ones([1] * d)
+        for k in range(d):
+            if odd[k]:
+                turn = turn * along(np.exp(-1j * np.pi * np.arange(shape[k]) / shape[k]), k)
+        kernel = np.zeros(shape)
+        for half in np.ndindex(*[2] * d):
+            far = sum(along(r2[k][half[k] * shape[k] : (half[k] + 1) * shape[k]], k) for k in range(d))
+            kernel += (-1) ** sum(a & b for a, b in zip(odd, half, strict=True)) / (1 + h * h * far) ** 2
+        spectrum = np.fft.fftn(kernel * turn)
+        for m in range(len(values)):
+            out[m] += (np.fft.ifftn(np.fft.fftn(values[m] * turn) * spectrum) * np.conj(turn)).real / 2**d
+    return out
+
+
+def convolve_grid(grid: DataFrame, d: int, n: int, h: float) -> DataFrame:
+    """The grid convolved by convolve_fft(), in one task on an executor: its size has a bound, whatever that of the data."""
+    names = [f"g{k}" for k in range(d)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.zeros((d + 1, *[n + 2] * d))
+        for batch in batches:
+            where = tuple(batch.column(c).to_numpy() for c in names)
+            for m in range(d + 1):
+                values[m][where] = batch.column(f"v{m}").to_numpy()
+        out = convolve_fft(values, h).reshape(d + 1, -1)
+        for k in range(0, out.shape[1], 1 << 16):
+            own = np.arange(k, min(k + (1 << 16), out.shape[1]))
+            cells_ = np.unravel_index(own, [n + 2] * d)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cells_] + [pa.array(out[m, own]) for m in range(d + 1)], names + [f"phi{m}" for m in range(d + 1)])
+
+    kind = ", ".join([f"{c} int" for c in names] + [f"phi{m} double" for m in range(d + 1)])
+    return grid.coalesce(1).mapInArrow(run, kind)
 
 
 def repulse_grid(coords: DataFrame, step: float, by_cells: bool = False) -> DataFrame:
-    """id, forces and zeta by the grid. The driver holds the grid (at most 512 cells a side) for its FFT, or, by cells,
-    the convolution too is a join. The potentials return to the points by a join on their cells."""
+    """id, forces and zeta by the grid (at most 512 cells a side): its convolution is one task, or, by cells, a join. The
+    potentials return to the points by a join on their cells."""
     d = dims(coords)
     low, extent, n, h = grid_of(coords, step)
     placed = cells(coords, low, extent, n)
     grid = scatter(placed, d)
-    if by_cells:
-        phi = convolve_cells(grid, d, n, h)
-    else:
-        values = np.zeros((d + 1, *[n + 2] * d))
-        for r in grid.toLocalIterator():
-            values[(slice(None), *[r[f"g{k}"] for k in range(d)])] = [r[f"v{m}"] for m in range(d + 1)]
-        out = convolve_fft(values, h)
-        where = np.indices(out.shape[1:]).reshape(d, -1)
-        import pandas as pd
-
-        phi = coords.sparkSession.createDataFrame(pd.DataFrame({f"g{k}": where[k].astype(np.int32) for k in range(d)} | {f"phi{m}": out[m].ravel() for m in range(d + 1)}))
+    phi = convolve_cells(grid, d, n, h) if by_cells else convolve_grid(grid, d, n, h)
     got = _spread(placed, d).join(phi, [f"g{k}" for k in range(d)]).groupBy("id", *[f"z{k}" for k in range(d)]).agg(*[F.sum(F.col("weight") * F.col(f"phi{m}")).alias(f"phi{m}") for m in range(d + 1)])
     norm = sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(d)), F.lit(0.0))
     inner = sum((F.col(f"z{k}") * F.col(f"phi{k + 1}") for k in range(d)), F.lit(0.0))
@@ -155,12 +191,14 @@ def gradient(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, step: floa
     return push.join(pull, "id", "left").select("id", *[(scale * (alpha * F.coalesce(f"p{k}", F.lit(0.0)) - F.col(f"f{k}"))).alias(f"d{k}") for k in range(d)], "zeta")
 
 
-def kl_cost(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, zeta: float | None = None) -> DataFrame:
-    """Sum of alpha p ln(alpha p / (q / zeta)) over the edges; zeta is that of coords unless an older one is given."""
+def kl_cost(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, zeta: float | None = None, step: float | None = None) -> DataFrame:
+    """Sum of alpha p ln(alpha p / (q / zeta)) over the edges; zeta is that of coords, by the grid where there is a step,
+    unless an older one is given."""
     d = dims(coords)
     rows = edges.join(_side(coords, "src", "a"), "src").join(_side(coords, "dst", "b"), "dst").withColumn("q", 1 / (1 + _square(d)))
     if zeta is None:
-        rows = rows.join(F.broadcast(repulse_exact(coords).agg(F.first("zeta").alias("zeta"))))  # one row
+        push = repulse_exact(coords) if step is None else repulse_grid(coords, step)
+        rows = rows.join(F.broadcast(push.agg(F.first("zeta").alias("zeta"))))  # one row
     else:
         rows = rows.withColumn("zeta", F.lit(zeta))
     p = F.col("w") * alpha

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.solvers import rescaling_exponent
@@ -13,36 +13,81 @@ def dedup_sum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def _with_sums(edges: DataFrame, *sums) -> DataFrame:
+    """edges with aggregates over their source. Sums are made in parts before they are shuffled, so a hub is no single task."""
+    return edges.join(edges.groupBy("src").agg(*sums), "src")
+
+
 def make_stochastic(edges: DataFrame) -> DataFrame:
     """Weights divided by their source's sum; sums within 1e-12 of 1, and 0, are left alone."""
-    s = F.sum("w").over(Window.partitionBy("src"))
-    return edges.withColumn("w", F.when((F.abs(s - 1) > 1e-12) & (s != 0), F.col("w") / F.when(s != 0, s)).otherwise(F.col("w")))
+    s = F.col("_sum")
+    scaled = F.when((F.abs(s - 1) > 1e-12) & (s != 0), F.col("w") / F.when(s != 0, s)).otherwise(F.col("w"))
+    return _with_sums(edges, F.sum("w").alias("_sum")).withColumn("w", scaled).drop("_sum").select(*edges.columns)
 
 
 def stochastic_count(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("w").alias("s")).agg(F.count(F.when(F.abs(F.col("s") - 1) <= 1e-12, 1)).alias("n_stochastic"))
 
 
+#: Neighbours of one source that are folded in one row; sources with more are bisected over tables.
+ROW_NEIGHBOURS = 100_000
+
+
+def _delta(distances: bool):
+    return F.col("w") if distances else -F.ln("w")
+
+
 def rescaling(edges: DataFrame, lam: float, distances: bool = False) -> DataFrame:
     """src and the exponent g with sum(w ** g) = lam over its positive weights, its degree and whether that is at most lam."""
-    delta = F.col("w") if distances else -F.ln("w")
-    rows = edges.where("w > 0").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", delta.alias("d")))).alias("a"))
-    return rows.select("src", rescaling_exponent(F.transform("a", lambda x: x["d"]), lam).alias("g"), F.size("a").cast("long").alias("degree"), (F.size("a") <= F.lit(lam)).alias("short"))
+    rows = edges.where("w > 0").select("src", "dst", _delta(distances).alias("d"))
+    own = rows.groupBy("src").agg(F.count("*").alias("degree"))
+    hubs = own.where(F.col("degree") > ROW_NEIGHBOURS).select("src")
+    some = not hubs.isEmpty()
+    short = (rows.join(hubs, "src", "left_anti") if some else rows).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "d"))).alias("a"))
+    out = short.select("src", rescaling_exponent(F.transform("a", lambda x: x["d"]), lam).alias("g"), F.size("a").cast("long").alias("degree"))
+    if some:
+        out = out.unionByName(rescaling_of_hubs(rows.join(hubs, "src", "left_semi"), lam))
+    return out.withColumn("short", F.col("degree") <= F.lit(lam))
+
+
+def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
+    """src, g and degree by the same bisection, each step one sum over rows(src, d): for sources of any degree."""
+    spark = rows.sparkSession
+    rows = rows.select("src", "d").persist()
+    start = rows.groupBy("src").agg(F.count("*").alias("degree"), (F.sum(F.exp(-F.col("d"))) - lam).alias("f"))
+    state = start.select("src", "degree", F.lit(1.0).alias("g"), F.lit(-1000.0).alias("lo"), F.lit(None).cast("double").alias("hi"), "f").persist()
+    for _ in range(steps):
+        if state.where(F.abs("f") > tolerance).isEmpty():
+            break
+        more, on = F.col("f") > 0, F.abs("f") > tolerance
+        g = F.when(~on, F.col("g")).when(more, F.when(F.col("hi").isNull(), F.col("g") * 2).otherwise((F.col("g") + F.col("hi")) / 2)).otherwise((F.col("lo") + F.col("g")) / 2)
+        moved = state.select("src", "degree", g.alias("g"), F.when(on & more, F.col("g")).otherwise(F.col("lo")).alias("lo"), F.when(on & ~more, F.col("g")).otherwise(F.col("hi")).alias("hi"))
+        sums = rows.join(moved.select("src", "g"), "src").groupBy("src").agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
+        after = cut(spark, moved.join(sums, "src"))
+        state.unpersist()
+        state = after
+    return state.select("src", "g", "degree")
+
+
+def cut(spark, state: DataFrame) -> DataFrame:
+    """state without its plan: checkpointed into the shared folder where there is one; persisted on a local master else."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir() and context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+    return state.checkpoint() if context.getCheckpointDir() else state.persist()
 
 
 def rescale(edges: DataFrame, lam: float, distances: bool = False, drop_leaf: bool = False) -> DataFrame:
     """Weights raised to their source's exponent and normalised to 1; zero weights stay. lam 1 changes nothing."""
     if lam == 1:
         return edges
-    delta = F.col("w") if distances else -F.ln("w")
-    w = F.exp(-F.col("g") * F.when(F.col("w") > 0, delta))
-    by_src = Window.partitionBy("src")
-    out = edges.join(rescaling(edges, lam, distances).select("src", "g"), "src", "left").withColumn("p", F.coalesce(w, F.lit(0.0)))
-    s = F.sum("p").over(by_src)
+    w = F.exp(-F.col("g") * F.when(F.col("w") > 0, _delta(distances)))
+    out = edges.join(rescaling(edges, lam, distances).select("src", "g"), "src", "left").select("src", "dst", F.coalesce(w, F.lit(0.0)).alias("p"))
+    s = F.col("_sum")
     scaled = F.when(s > 0, F.col("p") / F.when(s > 0, s)).otherwise(0.0)
     if drop_leaf:
-        scaled = F.when(F.count("*").over(by_src) == 1, 0.0).otherwise(scaled)
-    return out.select("src", "dst", scaled.alias("w"))
+        scaled = F.when(F.col("_count") == 1, 0.0).otherwise(scaled)
+    return _with_sums(out, F.sum("p").alias("_sum"), F.count("*").alias("_count")).select("src", "dst", scaled.alias("w"))
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -115,11 +160,40 @@ def banded(ids: DataFrame, width: int) -> DataFrame:
     return rows.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", (1.0 / (1 + F.abs(F.col("src") - F.col("dst")))).alias("w"))
 
 
+def banded_limited(ids: DataFrame, width: int, limit: int) -> DataFrame:
+    """Of the entries of a banded matrix below the diagonal (band by band from the farthest, by vertex), the first limit."""
+    rows = banded(ids, width).where("dst < src").orderBy(F.col("dst") - F.col("src"), "src").limit(limit)
+    return rows.select("src", "dst", "w")
+
+
+def uniform(seed: int, *keys: Column) -> Column:
+    """Numbers from 0 up to 1 that look random, by whole numbers: a Lehmer generator run over the keys."""
+    x = F.lit(seed + 1).cast("long")
+    for k in keys:
+        for factor in (48271, 69621):
+            x = F.pmod((x + F.pmod(k.cast("long"), F.lit(MODULUS)) + 1) * factor, F.lit(MODULUS))
+    return x / float(MODULUS)
+
+
+#: The prime of the generator.
+MODULUS = 2**31 - 1
+
+
+def banded_symmetric(ids: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """A symmetric banded matrix with weights from 0.5 to 1.5 that depend on the two ids."""
+    rows = banded(ids, width)
+    return rows.withColumn("w", 0.5 + uniform(seed, F.least("src", "dst"), F.greatest("src", "dst")))
+
+
+def random_coordinates(ids: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+    """Uniform coordinates y0 .. in the unit cube, by id."""
+    return ids.select("id", *[uniform(seed, F.col("id"), F.lit(k)).alias(f"y{k}") for k in range(dims)])
+
+
 def random_graph(spark, n: int, seed: int = 0) -> DataFrame:
     """2 to 11 entries for each vertex, with uniform ends and weights; repeats and loops can occur."""
-    rows = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(2) + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)))).alias("k"))
-    u = lambda k: F.pmod(F.xxhash64("src", "k", F.lit(seed + k)), F.lit(1 << 30))
-    return rows.select("src", (u(1) % n).alias("dst"), ((u(2) + 1) / (1 << 30)).alias("w"))
+    rows = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(2) + F.floor(10 * uniform(seed, F.col("id"))).cast("int"))).alias("k"))
+    return rows.select("src", F.floor(n * uniform(seed + 1, F.col("src"), F.col("k"))).alias("dst"), uniform(seed + 2, F.col("src"), F.col("k")).alias("w"))
 
 
 def describe(edges: DataFrame) -> DataFrame:

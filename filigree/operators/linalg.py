@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,68 @@ def morton(x, y, bits: int = 16):
     return out
 
 
+def top_level(edges: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """The dense table of entries by block: a row bi, a column for each bj below blocks."""
+    return block_counts(edges, bits).groupBy("bi").pivot("bj", list(range(blocks))).agg(F.sum("nnz")).fillna(0).select("bi", *[F.col(str(k)).alias(f"b{k}") for k in range(blocks)])
+
+
+def dense(edges: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The leading rows and columns of a matrix as a table: a row dst, a column c0 .. for each src."""
+    own = edges.where((F.col("dst") < rows) & (F.col("src") < columns))
+    return own.groupBy("dst").pivot("src", list(range(columns))).agg(F.sum("w")).fillna(0.0).select("dst", *[F.col(str(k)).alias(f"c{k}") for k in range(columns)])
+
+
+def next_power_of_two(x: Column) -> Column:
+    """The least power of two that is at least x; 1 for x below 1."""
+    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), highest_bit(x - 1) + 1))
+
+
+def highest_bit(x: Column) -> Column:
+    """The place of the highest bit of x that is set; -1 for 0."""
+    return F.when(x > 0, F.length(F.bin(x.cast("long"))) - 1).otherwise(-1)
+
+
+def whole_power(x: Column, power: int) -> Column:
+    out = F.lit(1).cast("long")
+    for _ in range(power):
+        out = out * x.cast("long")
+    return out
+
+
+def popcount(x: Column) -> Column:
+    return F.bit_count(x.cast("long")).cast("long")
+
+
+def running_sums(v: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """id and the sum of x up to and with it, in two levels: inside blocks of ids, and over blocks."""
+    own = v.select("id", "x", F.floor(F.col("id") / block).alias("block"))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of ids
+    blocks = own.groupBy("block").agg(F.sum("x").alias("s")).select("block", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.withColumn("run", F.sum("x").over(inside)).join(blocks, "block").select("id", (F.col("base") + F.col("run")).alias("x"))
+
+
+def histogram(v: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """bin (0: below low, bins + 1: from high on) and its number of values."""
+    return v.groupBy(F.width_bucket("x", F.lit(float(low)), F.lit(float(high)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def first_dimensions(points: DataFrame, d: int) -> DataFrame:
+    return points.select("id", F.slice("x", 1, d).alias("x"))
+
+
+def permute(v: DataFrame, mapping: DataFrame) -> DataFrame:
+    """v(id, ..) under the new ids of mapping(old, new)."""
+    return v.join(mapping.select(F.col("old").alias("id"), "new"), "id").drop("id").withColumnRenamed("new", "id").select(*v.columns)
+
+
+def differing(a: DataFrame, b: DataFrame, relative: float = 2.0**-26) -> DataFrame:
+    """id and both values where two vectors differ by more than relative times the larger of 1 and their size, or one is missing."""
+    both = a.select("id", F.col("x").alias("p")).join(b.select("id", F.col("x").alias("q")), "id", "full")
+    near = F.abs(F.col("p") - F.col("q")) <= relative * F.greatest(F.lit(1.0), F.abs("p"), F.abs("q"))
+    return both.where(~F.coalesce(near, F.lit(False)))
+
+
 def largest_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("id", F.col("x").alias("p")).join(b.select("id", F.col("x").alias("q")), "id", "full")
     return both.agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("difference"))

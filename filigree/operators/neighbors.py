@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.functions.solvers import perplexity_beta
+from filigree.functions.solvers import perplexity_beta, perplexity_beta_normalised
+from filigree.operators import graph
 
 
 def _sum(x: Column) -> Column:
@@ -68,40 +69,73 @@ def clean(points: DataFrame) -> DataFrame:
     return points.where(~F.exists("x", lambda v: F.isnan(v))).withColumn("x", F.when(bad, F.raise_error(F.lit("infinite feature"))).otherwise(F.col("x")))
 
 
-#: Points that knn_exact() takes: all pairs of them are compared.
-EXACT_POINTS = 50_000
+#: Numbers of a block of rows; two blocks meet in one call of numpy.
+BLOCK_VALUES = 1 << 16
+#: Pairs whose differences are in memory at once.
+_STEP_VALUES = 1 << 22
 
+Metric = str | Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def knn_exact(points: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFrame:
-    """src, dst, rank (0: nearest other point) and d by all pairs, for small tables; ties by dst."""
-    if (n := points.count()) > EXACT_POINTS:
-        raise ValueError(f"{n} points; use knn_approximate beyond {EXACT_POINTS}")
+
+def _spread(x: np.ndarray, y: np.ndarray, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """f of all rows of x with all of y, some rows of x at a time."""
+    step = max(1, _STEP_VALUES // max(1, y.size))
+    return np.concatenate([f(x[k : k + step, None, :], y[None, :, :]) for k in range(0, len(x), step)])
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    either = ((a != 0) | (b != 0)).sum(2)
+    return np.divide(((a != b) & ((a != 0) | (b != 0))).sum(2), either, out=np.zeros(either.shape), where=either > 0)
+
+
+def block_distances(metric: Metric, x: np.ndarray, y: np.ndarray, p: float = 3.0) -> np.ndarray:
+    """distance() of all rows of x and y. A function gets one row and all rows of y, and returns their distances."""
+    if callable(metric):
+        return np.stack([np.asarray(metric(row, y), float) for row in x])
+    if metric == "cosine":
+        return 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+    each = {
+        "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(2),
+        "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(2)),
+        "cityblock": lambda a, b: np.abs(a - b).sum(2),
+        "minkowski": lambda a, b: (np.abs(a - b) ** p).sum(2) ** (1 / p),
+        "chebychev": lambda a, b: np.abs(a - b).max(2),
+        "hamming": lambda a, b: (a != b).mean(2),
+        "jaccard": _jaccard,
+    }
+    if metric not in each:
+        raise ValueError(f"unknown metric {metric}")
+    return _spread(x, y, each[metric])
+
+
+def prepared(points: DataFrame, metric: Metric) -> tuple[DataFrame, Metric]:
+    """points and a metric of block_distances(): scaling, whitening, ranking and centring are done once, not for each pair."""
     if metric in ("seuclidean", "mahalanobis"):
-        points, metric = (standardize(points, centre=False) if metric == "seuclidean" else whitened(points)), "euclidean"
-    if metric in ("correlation", "spearman"):  # vectors are ranked and centred once, not for each pair
+        return (standardize(points, centre=False) if metric == "seuclidean" else whitened(points)), "euclidean"
+    if metric in ("correlation", "spearman"):
         if metric == "spearman":
             points = points.withColumn("x", _ranks(F.col("x")))
-        points, metric = points.withColumn("x", _centred(F.col("x"))), "cosine"
-    others = points.select(F.col("id").alias("dst"), F.col("x").alias("z"))
-    others = others.repartition(points.sparkSession.sparkContext.defaultParallelism)
-    pairs = points.select(F.col("id").alias("src"), "x").join(F.broadcast(others), F.col("src") != F.col("dst"))
-    pairs = pairs.select("src", "dst", distance(metric, F.col("x"), F.col("z")).alias("d"))
-    order = Window.partitionBy("src").orderBy("d", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("src", "dst", "rank", "d")
+        return points.withColumn("x", _centred(F.col("x"))), "cosine"
+    return points, metric
 
 
-#: Rows of a block of knn_blocks().
-BLOCK_ROWS = 1024
-#: Points whose exact neighbours tell knn_approximate() the scale of the data.
-SCALE_POINTS = 128
+def knn_exact(points: DataFrame, k: int, metric: Metric = "sqeuclidean") -> DataFrame:
+    """src, dst, rank (0: nearest other point) and d by all pairs, in blocks; ties by dst. It takes any number of points,
+    at a cost that grows with its square."""
+    return knn_blocks(points, points, k, metric)
 
 
-def knn_blocks(some: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """src, dst, rank and squared distance d of the k nearest points of some of them, exactly, whatever their number:
-    blocks of rows meet in numpy, and the k best of each pair of blocks are merged."""
+def knn_blocks(some: DataFrame, points: DataFrame, k: int, metric: Metric = "sqeuclidean") -> DataFrame:
+    """The k nearest points of some of them: blocks of rows meet in numpy, and the k best of each pair of blocks are merged."""
+    if some is points:
+        some = points = prepared(points, metric)[0]
+    elif isinstance(metric, str) and metric in ("seuclidean", "mahalanobis", "correlation", "spearman"):
+        raise ValueError(f"{metric} needs the whole table")
+    metric = {"seuclidean": "euclidean", "mahalanobis": "euclidean", "correlation": "cosine", "spearman": "cosine"}.get(metric, metric) if isinstance(metric, str) else metric
 
     def blocked(rows: DataFrame, i: str, x: str) -> DataFrame:
-        n = max(1, -(-rows.count() // BLOCK_ROWS))
+        seen = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+        n = max(1, -(-seen.n * max(1, seen.d or 1) // BLOCK_VALUES))
         return rows.groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows")).select(F.col("rows.id").alias(i), F.col("rows.x").alias(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,19 +143,18 @@ def knn_blocks(some: DataFrame, points: DataFrame, k: int) -> DataFrame:
             for r in range(batch.num_rows):
                 src, dst = (batch.column(c)[r].values.to_numpy() for c in ("i", "j"))
                 x, y = (batch.column(c)[r].values.flatten().to_numpy().reshape(n, -1) for c, n in (("x", len(src)), ("y", len(dst))))
-                step = max(1, (1 << 22) // max(1, y.size))
-                for a in range(0, len(src), step):
-                    d = ((x[a : a + step, None, :] - y[None, :, :]) ** 2).sum(2)
-                    d[src[a : a + step, None] == dst[None, :]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # dst ascends, so ties are by dst
-                    d = np.take_along_axis(d, best, 1).ravel()
-                    own = np.repeat(src[a : a + step], best.shape[1])
-                    keep = np.isfinite(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(dst[best.ravel()[keep]]), pa.array(d[keep])], ["src", "dst", "d"])
-
-    some, points = (df.select(F.col("id").cast("long"), "x") for df in (some, points))
-    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a pair of blocks
-    pairs = blocked(some, "i", "x").crossJoin(blocked(points, "j", "y").repartition(points.sparkSession.sparkContext.defaultParallelism))
+                d = block_distances(metric, x, y)
+                d[src[:, None] == dst[None, :]] = np.inf
+                if k < d.shape[1]:  # dst ascends, so ties are by dst; those at the edge are all kept
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    own, best = np.nonzero((d <= edge) & np.isfinite(d))
+                else:
+                    own, best = np.nonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array(src[own]), pa.array(dst[best]), pa.array(d[own, best])], ["src", "dst", "d"])
+
+    one = blocked(some.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x")), "i", "x")
+    two = blocked(points.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x")), "j", "y")
+    pairs = one.crossJoin(two).repartition(points.sparkSession.sparkContext.defaultParallelism)
     return _nearest(pairs.mapInArrow(run, "src long, dst long, d double"), k)
 
 
@@ -130,49 +163,87 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("src", "dst", "rank", "d")
 
 
-def knn_approximate(points: DataFrame, k: int, length: float | None = None, tables: int = 8, radius: float | None = None) -> DataFrame:
-    """The same by random projections into buckets of a length; pairs beyond radius are not looked for there. Points
-    with fewer than k neighbours in it get exact ones from all points.
-
-    By default the radius is one that nearly all of a sample have k neighbours in, and the length lets a pair that is
-    the radius apart share a bucket of one table with a probability of some 0.6.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Random-projection trees of knn_approximate(), and the rows of a leaf.
+TREES, LEAF_ROWS = 16, 512
+
+
+def leaves(points: DataFrame, trees: int, rows: int, seed: int = 7) -> DataFrame:
+    """tree, leaf, id and x: each tree halves its nodes at the distributed median of a random projection until they hold
+    at most that many rows. Copies, which no projection parts, are dealt to leaves by a hash of their id."""
+    size = (points.select(F.size("x").alias("d")).first() or [1])[0]
+    now = points.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id", "x")
+    level, done = 0, None
+    while True:
+        counts = now.groupBy("tree", "leaf").agg(F.count("*").alias("rows"))
+        now = now.join(counts, ["tree", "leaf"])
+        small = now.where(F.col("rows") <= rows).drop("rows")
+        done = small if done is None else done.unionByName(small)
+        large = now.where(F.col("rows") > rows)
+        if level > 64 or large.isEmpty():
+            break
+        rng = np.random.default_rng(seed + level)
+        ways = F.array(*[F.array(*map(F.lit, v)) for v in rng.normal(size=(trees, size)).tolist()])
+        large = large.withColumn("p", F.aggregate(F.zip_with("x", F.get(ways, F.col("tree")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        middle = large.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("m"), F.min("p").alias("low"), F.max("p").alias("high"))
+        side = F.when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("id", "tree", F.lit(level)), F.lit(2))).otherwise(F.when(F.col("m") == F.col("low"), F.col("p") > F.col("m")).otherwise(F.col("p") >= F.col("m")).cast("long"))
+        now = large.join(middle, ["tree", "leaf"]).select("tree", (F.col("leaf") * 2 + 1 + side).alias("leaf"), "id", "x").persist()
+        level += 1
+    return done
+
+
+def knn_approximate(points: DataFrame, k: int, metric: Metric = "sqeuclidean", trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """The same by a forest of random projections: exact neighbours inside the leaves of all trees, merged; the work grows
+    with trees * leaf_rows for each point. Points that meet fewer than k others get exact neighbours from all points."""
+    points, metric = prepared(points.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x")), metric)
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+        ids = ids[order]
+        d = block_distances(metric, x, x)
+        np.fill_diagonal(d, np.inf)
+        best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
+        return pa.table({"src": np.repeat(ids, best.shape[1]), "dst": ids[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()})
 
     total = points.count()
-    if radius is None:
-        sample = points.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SCALE_POINTS)
-        far = sorted(r.d for r in knn_blocks(sample, points, k).groupBy("src").agg(F.max("d").alias("d")).collect())
-        radius = 1.001 * far[int(0.95 * (len(far) - 1))] ** 0.5 if far else 0.0
-    radius = radius or 1e-9  # all the sample's neighbours are copies
-    dims = ((points.select(F.size("x")).first() or [0])[0]) + 1
-    length = length or 2 * radius / dims**0.5
-    # A constant column shifts each table's bucket borders by a random offset; distances stay as they are.
-    rows = points.select("id", array_to_vector(F.concat("x", F.array(F.lit(1000 * length * dims**0.5)))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, "r").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (F.col("r") * F.col("r")).alias("d")).where("src <> dst")
-    found = _nearest(pairs, k).persist()
+    met = leaves(points, trees, max(leaf_rows, 2 * k)).groupBy("tree", "leaf").applyInArrow(solve, "src long, dst long, d double")
+    found = _nearest(met.groupBy("src", "dst").agg(F.min("d").alias("d")), k).persist()
     whole = found.groupBy("src").count().where(F.col("count") >= min(k, total - 1)).select(F.col("src").alias("id"))
     short = points.join(whole, "id", "left_anti").persist()
     if short.isEmpty():
         return found
-    exact = knn_blocks(short, points, k)
+    exact = knn_blocks(short, points, k, metric)
     return found.join(short.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "rank", "d").unionByName(exact)
 
 
-def perplexity(knn: DataFrame, u: float) -> DataFrame:
-    """src, its precision and its neighbours with squared distances."""
+def perplexity(knn: DataFrame, u: float, normalised: bool = False) -> DataFrame:
+    """src, its precision and its neighbours with squared distances; normalised is the search of the vector front end."""
     rows = knn.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "d"))).alias("a"))
-    return rows.select("src", perplexity_beta(F.transform("a", lambda x: x["d"]), u).alias("beta"), "a")
+    search = perplexity_beta_normalised if normalised else perplexity_beta
+    return rows.select("src", search(F.transform("a", lambda x: x["d"]), u).alias("beta"), "a")
 
 
-def perplexity_edges(knn: DataFrame, u: float) -> DataFrame:
+def perplexity_edges(knn: DataFrame, u: float, normalised: bool = False) -> DataFrame:
     """edges whose weights are each source's normalised exp(-beta * d)."""
-    rows = perplexity(knn, u).withColumn("total", F.aggregate("a", F.lit(0.0), lambda s, x: s + F.exp(-F.col("beta") * x["d"])))
+    rows = perplexity(knn, u, normalised).withColumn("total", F.aggregate("a", F.lit(0.0), lambda s, x: s + F.exp(-F.col("beta") * x["d"])))
     return rows.select("src", "beta", "total", F.inline("a")).select("src", "dst", (F.exp(-F.col("beta") * F.col("d")) / F.col("total")).alias("w"))
 
 
+def neighbour_count(u: float) -> int:
+    """Neighbours for a perplexity: the least whole number that is at least three times as large."""
+    return -int(-3 * u // 1)
+
+
+def joint_exact(points: DataFrame, u: float, metric: Metric = "sqeuclidean") -> DataFrame:
+    """The joint distribution (P + P') / 2n over all pairs of points, for small tables."""
+    n = points.count()
+    rows = knn_exact(points, max(1, n - 1), metric)
+    if metric != "sqeuclidean":
+        rows = rows.withColumn("d", F.col("d") * F.col("d"))
+    return graph.joint_by_count(perplexity_edges(rows, u, normalised=True), n)
+
+
 def column_stats(points: DataFrame) -> DataFrame:
     return points.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
 
@@ -189,40 +260,58 @@ def whitened(points: DataFrame) -> DataFrame:
         return points.select("id", "x")
     mean = np.array([r["mean"] for r in column_stats(points).orderBy("k").collect()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = 0, np.zeros((len(mean), len(mean)))
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, len(mean)) - mean
-            count, total = count + len(x), total + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.ravel().tolist()])], ["n", "products"])
-
-    parts = points.select(F.col("x").cast("array<double>")).mapInArrow(run, "n long, products array<double>").collect()
-    cov = sum(np.array(r.products) for r in parts).reshape(len(mean), -1) / max(1, sum(r.n for r in parts) - 1)
+    total, n = _gram(points, mean)
+    cov = total / max(1, n - 1)
     scale = np.sqrt(np.diag(cov))
     if not (scale > 0).all() or np.linalg.eigvalsh(cov / np.outer(scale, scale))[0] <= 1e-12:
         raise ValueError("mahalanobis needs a covariance of full rank")
     right = np.linalg.inv(np.linalg.cholesky(cov)).tolist()
     centred = F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda v, m: v - m)
-    return points.select("id", centred.alias("x")).select("id", F.array(*[_zip(F.col("x"), F.array(*map(F.lit, v)), lambda a, b: a * b) for v in right]).alias("x"))
+    return _projected(points.select("id", centred.alias("x")), right)
 
 
-def pca(points: DataFrame, k: int, centre: bool = True) -> DataFrame:
-    """The first k components."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def _gram(points: DataFrame, mean: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """The sum of the outer products of all rows (less mean), and the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) - (0.0 if mean is None else mean)
+                count, total = count + len(x), x.T @ x if total is None else total + x.T @ x
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total.ravel().tolist()])], ["n", "products"])
 
+    parts = points.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "n long, products array<double>")
+    each = parts.select("n", F.posexplode("products").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("k").collect()
+    return np.array([r.v for r in each]).reshape(int(len(each) ** 0.5), -1), each[0].n if each else 0
+
+
+def pca(points: DataFrame, k: int, centre: bool = True) -> DataFrame:
+    """The first k components, each with the sign that makes its largest loading positive. The table of products is summed
+    in parts; its size depends on the columns alone."""
     if centre:
         means = column_stats(points).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean"))), lambda r: r["mean"]).alias("means"))
-        points = points.join(F.broadcast(means)).select("id", F.zip_with("x", "means", lambda v, m: v - m).alias("x"))
-        rows = points.select("id", array_to_vector("x").alias("v"))
-        return PCA(k=k, inputCol="v", outputCol="c").fit(rows).transform(rows).select("id", vector_to_array("c").alias("x"))
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+        points = points.join(F.broadcast(means)).select("id", F.zip_with("x", "means", lambda v, m: v - m).alias("x"))  # one row
+    total, _ = _gram(points, None)
+    values, vectors = np.linalg.eigh(total)
+    right = vectors[:, np.argsort(values)[::-1][:k]].T
+    return _projected(points, (right * np.sign(right[np.arange(len(right)), np.abs(right).argmax(1)])[:, None]).tolist())
 
-    right = RowMatrix(points.select("x").rdd.map(lambda r: Vectors.dense(r.x))).computeSVD(k).V.toArray().T.tolist()
+
+def _projected(points: DataFrame, right: list[list[float]]) -> DataFrame:
     return points.select("id", F.array(*[_zip(F.col("x"), F.array(*map(F.lit, v)), lambda a, b: a * b) for v in right]).alias("x"))
 
 
+def scrambled(key: Column, seed: int, size: int = 2**31 - 1) -> Column:
+    """Whole numbers from 0 to size - 1 that look random, from the 31 low bits of a key: a Lehmer generator run from it."""
+    modulus = 2**31 - 1
+    x = F.pmod(key.cast("long") * 69621 + (seed * 7919 + 12345), F.lit(modulus))
+    for factor in (48271, 69621, 48271):
+        x = F.pmod((x + 1) * factor, F.lit(modulus))
+    return F.pmod(x, F.lit(size))
+
+
 def subsample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n points without replacement."""
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return points.orderBy(scrambled(F.col("id"), seed), "id").limit(n)

@@ -9,7 +9,8 @@ DEFAULT_STEP = {1: 0.5, 2: 0.7, 3: 1.2}
 
 @dataclass(frozen=True)
 class Params:
-    """dims 1 to 3; lam rescales degrees (1: not at all); alpha is the early exaggeration of iterations 0 to early_iter."""
+    """dims 1 to 3; lam rescales degrees (1: not at all); alpha is the early exaggeration of iterations 0 to early_iter;
+    theta is checked and else unused: there is no tree code."""
 
     dims: int = 2
     lam: float = 1.0
@@ -27,12 +28,15 @@ class Params:
     gain_floor: float = 0.01
     recenter: bool = True
     tolerance: float | None = None
+    theta: float = 0.5
 
     def __post_init__(self) -> None:
         if self.dims not in DEFAULT_STEP:
             raise ValueError("dims must be 1, 2 or 3")
         if self.lam <= 0 or self.alpha < 1 or self.rate <= 0 or self.max_iter < 0:
             raise ValueError("lam and rate must be positive, alpha at least 1, max_iter at least 0")
+        if not 0 <= self.theta <= 1:
+            raise ValueError("theta must lie between 0 and 1")
 
     @property
     def grid_step(self) -> float:
@@ -47,6 +51,14 @@ class Params:
 CUSTOM = Params(alpha=4.0, rate=500.0, gain_up=0.15, gain_down=0.85, momentum_switch=250, recenter=False, tolerance=1e-10)
 
 
+def check_start(y0, params: Params):
+    """y0 with its id and coordinates, or ValueError where it has not as many as the embedding has dimensions."""
+    own = [c for c in ("y0", "y1", "y2") if c in y0.columns]
+    if len(own) != params.dims or "id" not in y0.columns:
+        raise ValueError(f"the start needs id and {params.dims} coordinates")
+    return y0.select("id", *own)
+
+
 def check_points(n: int, n_features: int, perplexity: float | None, pca: int = 0, dims: int = 2) -> float:
     """The perplexity to use for n points, or ValueError."""
     u = min((n + 1) // 2, 30) if perplexity is None else perplexity

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree import api
 from filigree.operators import descent, forces, graph, linalg, neighbors
-from filigree.params import Params
+from filigree.params import CUSTOM, Params
+from filigree.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,23 +133,95 @@ _add("knn_hamming", lambda spark, sf: _round(neighbors.knn_exact(_signs(points(s
 _EITHER = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN p[1] <> 0 OR p[2] <> 0 THEN 1.0 ELSE 0.0 END))"
 _DIFFER = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END))"
 _add("knn_jaccard", lambda spark, sf: _round(neighbors.knn_exact(_signs(points(spark, sf)), 10, "jaccard").withColumn("rank", F.col("rank").cast("long")), "d"), f"WITH {_SIGNS}, {_knn_sql(f'CASE WHEN {_EITHER} > 0 THEN {_DIFFER} / {_EITHER} ELSE 0.0 END', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn")
-_add("knn_spearman", lambda spark, sf: neighbors.knn_exact(points(spark, sf), 5, "spearman"))
+_RANK = "list_transform(x, lambda v: len(list_filter(x, lambda u: u < v)) + (len(list_filter(x, lambda u: u = v)) + 1) / 2.0)"
+_add(
+    "knn_spearman",
+    lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 5, "spearman").withColumn("rank", F.col("rank").cast("long")), "d"),
+    f"WITH rk AS (SELECT id, {_RANK} AS x FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)), pt AS (SELECT id, list_transform(x, lambda v: v - list_avg(x)) AS c FROM rk), {_knn_sql(_METRICS['correlation'], 5)} SELECT src, dst, rank, {_r('d')} AS d FROM kn",
+)
+
+
+def canberra(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A distance as a user would give it: of one vector to all rows of an array."""
+    both = np.abs(x) + np.abs(y)
+    return np.divide(np.abs(x - y), both, out=np.zeros_like(both), where=both > 0).sum(1)
+
+
+_add(
+    "knn_function",
+    lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, canberra).withColumn("rank", F.col("rank").cast("long")), "d"),
+    f"WITH {PT}, {_knn_sql('list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN abs(p[1]) + abs(p[2]) > 0 THEN abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) ELSE 0 END))', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn",
+)
+_add("neighbour_count", lambda spark, sf: spark.createDataFrame([(k, neighbors.neighbour_count((k + 1) / 2)) for k in range(90)], "id long, k long"), "SELECT id, ceil(3 * (id + 1) / 2.0)::BIGINT AS k FROM (SELECT unnest(range(90)) AS id)")
+_HOLES = "CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > 0.2 THEN 'NaN'::DOUBLE ELSE v END) ELSE embedding::DOUBLE[] END"
+_add(
+    "clean_points",
+    lambda spark, sf: neighbors.clean(points(spark, sf).withColumn("x", F.when(F.col("id") % 7 == 0, F.transform("x", lambda v: F.when(v > 0.2, float("nan")).otherwise(v))).otherwise(F.col("x")))).select("id", (F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6) + 0.0).alias("total")),
+    f"SELECT id, {_r('list_sum(x)')} AS total FROM (SELECT vec_id AS id, {_HOLES} AS x FROM embeddings) WHERE len(list_filter(x, lambda v: isnan(v))) = 0",
+)
+_M31 = 2**31 - 1
+
+
+def _scrambled_sql(key: str, seed: int) -> str:
+    x = f"(({key} * 69621 + {seed * 7919 + 12345}) % {_M31})"
+    for factor in (48271, 69621, 48271):
+        x = f"((({x} + 1) * {factor}) % {_M31})"
+    return x
+
+
+def _uniform_sql(seed: int, *keys: str) -> str:
+    x = str(seed + 1)
+    for k in keys:
+        for factor in (48271, 69621):
+            x = f"((({x} + {k} % {_M31} + 1) * {factor}) % {_M31})"
+    return f"({x} / {float(_M31)})"
+
+
+_add("subsample", lambda spark, sf: neighbors.subsample(points(spark, sf), 100, 3).select("id"), f"SELECT vec_id AS id FROM embeddings ORDER BY {_scrambled_sql('vec_id', 3)}, vec_id LIMIT 100")
 _COLS = "SELECT k - 1 AS k, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY 1"
 _add(
     "knn_seuclidean",
     lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "seuclidean").withColumn("rank", F.col("rank").cast("long")), "d"),
     f"WITH sd AS (SELECT list(CASE WHEN std > 0 THEN std ELSE 1 END ORDER BY k) AS s FROM ({_COLS})), pt AS (SELECT vec_id AS id, list_transform(list_zip(embedding::DOUBLE[], s), lambda p: p[1] / p[2]) AS x FROM embeddings, sd), {_knn_sql(f'sqrt({D2})', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn",
 )
-_add("knn_mahalanobis", lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "mahalanobis").withColumn("rank", F.col("rank").cast("long")), "d"))
-_add("knn_approximate", lambda spark, sf: neighbors.knn_approximate(points(spark, sf), K))
+
+
+def _mahalanobis_sql(steps: int = 24) -> str:
+    """Neighbours under the inverse covariance, which Newton's iteration finds."""
+    out = "va AS MATERIALIZED (SELECT vec_id AS id, unnest(range(len(embedding))) AS k, unnest(embedding::DOUBLE[]) AS v FROM embeddings), ce AS MATERIALIZED (SELECT id, k, v - avg(v) OVER (PARTITION BY k) AS v FROM va)"
+    out += ", cv AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) / (count(*) - 1) AS v FROM ce a JOIN ce b USING (id) GROUP BY 1, 2), x0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(s) * max(s) FROM (SELECT sum(abs(v)) AS s FROM cv GROUP BY i)) AS v FROM cv)"
+    for t in range(steps):
+        out += f", p{t} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM cv a JOIN x{t} b ON a.j = b.i GROUP BY 1, 2)"
+        out += f", x{t + 1} AS MATERIALIZED (SELECT q.i AS i, q.j AS j, 2 * q.v - r.v AS v FROM x{t} q JOIN (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM x{t} a JOIN p{t} b ON a.j = b.i GROUP BY 1, 2) r USING (i, j))"
+    out += f", pt AS MATERIALIZED (SELECT id, list(x ORDER BY i) AS x, list(z ORDER BY i) AS z, sum(x * z) AS q FROM (SELECT id, i, sum(m.v * ce.v) AS z, sum(CASE WHEN i = j THEN ce.v ELSE 0 END) AS x FROM x{steps} m JOIN ce ON j = k GROUP BY 1, 2) GROUP BY id)"
+    d = "sqrt(greatest(a.q + b.q - 2 * list_sum(list_transform(list_zip(a.x, b.z), lambda p: p[1] * p[2])), 0))"
+    return f"WITH {out}, {_knn_sql(d, 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn"
+
+
+_add("knn_mahalanobis", lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "mahalanobis").withColumn("rank", F.col("rank").cast("long")), "d"), _mahalanobis_sql())
+#: So few points are one leaf, whose neighbours are the exact ones; tests measure the recall of several.
+_add("knn_approximate", lambda spark, sf: _round(neighbors.knn_approximate(points(spark, sf), K).withColumn("rank", F.col("rank").cast("long")), "d"), f"WITH {KN} SELECT src, dst, rank, {_r('d')} AS d FROM kn")
 _add("column_stats", lambda spark, sf: _round(neighbors.column_stats(points(spark, sf)).withColumn("k", F.col("k").cast("long")), "mean", "std"), f"SELECT k, {_r('mean')} AS mean, {_r('std')} AS std FROM ({_COLS})")
 _add(
     "standardize",
     lambda spark, sf: neighbors.standardize(points(spark, sf)).select("id", F.posexplode("x").alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), (F.round("v", 6) + 0.0).alias("v")),
     f"WITH s AS ({_COLS}) SELECT id, e.k AS k, {_r('(v - mean) / CASE WHEN std > 0 THEN std ELSE 1 END')} AS v FROM (SELECT vec_id AS id, unnest(range(len(embedding))) AS k, unnest(embedding::DOUBLE[]) AS v FROM embeddings) e JOIN s ON e.k = s.k",
 )
-_add("pca", lambda spark, sf: neighbors.pca(points(spark, sf), 8))
-_add("pca_uncentred", lambda spark, sf: neighbors.pca(points(spark, sf), 4, centre=False))
+
+
+def _pca_sql(centred: bool, squarings: int = 16) -> str:
+    """The first component: a column of a high power of the table of products, by squaring it again and again."""
+    values = "SELECT vec_id AS id, unnest(range(len(embedding))) AS k, unnest(embedding::DOUBLE[]) AS v FROM embeddings"
+    out = f"va AS MATERIALIZED (SELECT id, k, v - {'avg(v) OVER (PARTITION BY k)' if centred else '0'} AS v FROM ({values})), c0 AS MATERIALIZED (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS v FROM va a JOIN va b USING (id) GROUP BY 1, 2)"
+    for t in range(squarings):
+        out += f", c{t + 1} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) / (SELECT sum(v) * sum(v) FROM c{t} WHERE i = j) AS v FROM c{t} a JOIN c{t} b ON a.j = b.i GROUP BY 1, 2)"
+    last = f"c{squarings}"
+    out += f", co AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)), un AS MATERIALIZED (SELECT i, v * sign((SELECT arg_max(v, abs(v)) FROM co)) / sqrt((SELECT sum(v * v) FROM co)) AS v FROM co)"
+    return f"WITH {out} SELECT id, {_r('sum(va.v * un.v)', 5)} AS first FROM va JOIN un ON k = i GROUP BY id"
+
+
+for _name, _n, _centred in (("pca", 8, True), ("pca_uncentred", 4, False)):
+    _add(_name, lambda spark, sf, n=_n, c=_centred: neighbors.pca(points(spark, sf), n, centre=c).select("id", (F.round(F.col("x")[0], 5) + 0.0).alias("first")), _pca_sql(_centred))
 
 _BETA = f"""nb AS (SELECT src, list(d ORDER BY dst) AS a FROM kn GROUP BY src),
 it AS (SELECT src, 1 AS n, 1.0::DOUBLE AS b, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, 1.0::DOUBLE AS used, false AS done FROM nb
@@ -156,8 +233,11 @@ be AS (SELECT src, arg_max(used, n) AS beta FROM it GROUP BY src)"""
 _PE = f"WITH RECURSIVE {KN}, {_BETA}, pe AS (SELECT src, dst, exp(-beta * d) / sum(exp(-beta * d)) OVER (PARTITION BY src) AS w FROM kn JOIN be USING (src))"
 _add("perplexity_beta", lambda spark, sf: _round(neighbors.perplexity(knn(spark, sf), U).select("src", "beta"), "beta", digits=5), f"WITH RECURSIVE {KN}, {_BETA} SELECT src, {_r('beta', 5)} AS beta FROM be")
 _add("perplexity_edges", lambda spark, sf: _round(neighbors.perplexity_edges(knn(spark, sf), U), "w"), f"{_PE} SELECT src, dst, {_r('w')} AS w FROM pe")
-_add("perplexity_joint", lambda spark, sf: _round(graph.joint_by_count(neighbors.perplexity_edges(knn(spark, sf), U), 500), "w", scale=1e3), f"{_PE} SELECT src, dst, {_r('sum(w) / 1000', 6, 1e3)} AS w FROM (SELECT src, dst, w FROM pe UNION ALL SELECT dst, src, w FROM pe) GROUP BY 1, 2")
-_add("perplexity_check", lambda spark, sf: neighbors.perplexity_edges(knn(spark, sf), U).groupBy("src").agg((F.round(F.exp(-F.sum(F.col("w") * F.ln("w"))), 3) + 0.0).alias("perplexity")), f"WITH {PT} SELECT id AS src, {U}::DOUBLE AS perplexity FROM pt")
+_add("perplexity_beta_normalised", lambda spark, sf: _round(neighbors.perplexity(knn(spark, sf), 4.0, normalised=True).select("src", "beta"), "beta", digits=5), f"WITH RECURSIVE {KN}, {_BETA.replace(f'ln({U})', 'ln(4.0)').replace('n <= 200', 'n <= 100').replace('arg_max(used, n)', 'arg_max(b, n)')} SELECT src, {_r('beta', 5)} AS beta FROM be")
+_ALL = f"WITH RECURSIVE {PT}, {_knn_sql(D2, 100_000)}, {_BETA.replace('n <= 200', 'n <= 100')}, pe AS (SELECT src, dst, exp(-beta * d) / sum(exp(-beta * d)) OVER (PARTITION BY src) AS w FROM kn JOIN be USING (src))"
+_add("joint_exact", lambda spark, sf: _round(neighbors.joint_exact(points(spark, sf), U), "w", scale=1e3), f"{_ALL} SELECT src, dst, {_r('sum(w) / (2 * (SELECT count(*) FROM pt))', 6, 1e3)} AS w FROM (SELECT src, dst, w FROM pe UNION ALL SELECT dst, src, w FROM pe) GROUP BY 1, 2")
+_add("perplexity_joint", lambda spark, sf: _round(graph.joint_by_count(neighbors.perplexity_edges(knn(spark, sf), U), points(spark, sf).count()), "w", scale=1e3), f"{_PE} SELECT src, dst, {_r('sum(w) / (2 * (SELECT count(*) FROM pt))', 6, 1e3)} AS w FROM (SELECT src, dst, w FROM pe UNION ALL SELECT dst, src, w FROM pe) GROUP BY 1, 2")
+_add("perplexity_check", lambda spark, sf: neighbors.perplexity_edges(knn(spark, sf), U).groupBy("src").agg((F.round(F.exp(-F.sum(F.col("w") * F.ln("w"))), 3) + 0.0).alias("perplexity")), f"{_PE} SELECT src, {_r('exp(-sum(w * ln(w)))', 3)} AS perplexity FROM pe GROUP BY src")
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
 _add("bought_together", bought_together, f"WITH {CO} SELECT * FROM co")
@@ -172,16 +252,32 @@ _add("symmetric_half", lambda spark, sf: _round(graph.symmetric_half(graph.make_
 _add("symmetric_keep_diagonal", lambda spark, sf: graph.symmetric_keep_diagonal(bought(spark, sf)), f"WITH {BU} SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM bu UNION ALL SELECT dst, src, w FROM bu WHERE src <> dst) GROUP BY 1, 2")
 _add("normalize_joint", lambda spark, sf: _round(part_joint(spark, sf), "w", scale=1e6), f"WITH {PJ} SELECT src, dst, {_r('w', 6, 1e6)} AS w FROM pj")
 _add("one_way_edges", lambda spark, sf: graph.one_way(knn(spark, sf).select("src", "dst")), f"WITH {KN} SELECT src, dst FROM kn WHERE NOT EXISTS (SELECT 1 FROM kn r WHERE r.src = kn.dst AND r.dst = kn.src)")
-_add("isolated_vertices", lambda spark, sf: graph.isolated(_table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), bought(spark, sf)), f"WITH {BU} SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT src FROM bu) AND c_custkey NOT IN (SELECT dst FROM bu)")
+_THIRD = "src % 3 = 0 AND dst % 3 = 0"
+_add("isolated_vertices", lambda spark, sf: graph.isolated(_table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), bought(spark, sf).where(_THIRD)), f"WITH {BU}, th AS (SELECT * FROM bu WHERE {_THIRD}) SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT src FROM th) AND c_custkey NOT IN (SELECT dst FROM th)")
 _add("upper_triangle", lambda spark, sf: graph.upper(bought_together(spark, sf)), f"WITH {CO} SELECT * FROM co WHERE src >= dst")
 _add("transpose", lambda spark, sf: graph.transpose(bought(spark, sf)), f"WITH {BU} SELECT dst AS src, src AS dst, w FROM bu")
 _add("relabel", lambda spark, sf: graph.relabel(bought_together(spark, sf), parts(spark, sf).select(F.col("id").alias("old"), (F.col("id") * 7919 + 13).alias("new"))), f"WITH {CO} SELECT src * 7919 + 13 AS src, dst * 7919 + 13 AS dst, w FROM co JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey")
 _add("describe_graph", lambda spark, sf: graph.describe(bought_together(spark, sf)), f"WITH {CO} SELECT count(DISTINCT src) AS n_src, count(*) AS nnz, min(w) AS least, max(w) AS most, sum(w) AS total FROM co")
 _add("banded", lambda spark, sf: _round(graph.banded(parts(spark, sf), 3), "w"), f"SELECT a.p_partkey AS src, b.p_partkey AS dst, {_r('1.0 / (1 + abs(a.p_partkey - b.p_partkey))')} AS w FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 3")
 
+_PT1 = "SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey)"
+_add("banded_limited", lambda spark, sf: _round(graph.banded_limited(parts(spark, sf), 3, 250), "w"), f"SELECT src, dst, {_r('1.0 / (1 + src - dst)')} AS w FROM (SELECT * FROM ({_PT1} <= 3) WHERE dst < src ORDER BY dst - src, src LIMIT 250)")
+_add("banded_symmetric", lambda spark, sf: _round(graph.banded_symmetric(parts(spark, sf), 2, 5), "w"), f"SELECT src, dst, {_r('0.5 + ' + _uniform_sql(5, 'least(src, dst)', 'greatest(src, dst)'))} AS w FROM ({_PT1} <= 2)")
+_add("random_graph", lambda spark, sf: _round(graph.random_graph(spark, parts(spark, sf).count(), 4), "w"), f"WITH k AS (SELECT src, unnest(range(1, 3 + floor(10 * {_uniform_sql(4, 'src')})::BIGINT)) AS k FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS src)) SELECT src, floor((SELECT count(*) FROM part) * {_uniform_sql(5, 'src', 'k')})::BIGINT AS dst, {_r(_uniform_sql(6, 'src', 'k'))} AS w FROM k")
+_add("random_coordinates", lambda spark, sf: _round(graph.random_coordinates(parts(spark, sf), 3, 2), "y0", "y1", "y2"), "SELECT p_partkey AS id, " + ", ".join(f"{_r(_uniform_sql(2, 'p_partkey', str(k)))} AS y{k}" for k in range(3)) + " FROM part")
+_MAP = "mp AS (SELECT p_partkey AS old, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) * 2 AS new FROM part)"
+
 
-def _rescaling_sql(lam: float) -> str:
-    return f"""WITH RECURSIVE {ST}, nb AS (SELECT src, list(-ln(w) ORDER BY dst) AS a FROM st GROUP BY src),
+def _mapping(spark: SparkSession, sf: str) -> DataFrame:
+    n = parts(spark, sf).count()
+    return parts(spark, sf).select(F.col("id").alias("old"), ((F.col("id") * 7 + 3) % n * 2).alias("new"))
+
+
+_add("relabel_and_back", lambda spark, sf: graph.relabel(graph.relabel(bought_together(spark, sf), _mapping(spark, sf)), _mapping(spark, sf).toDF("new", "old")), f"WITH {CO} SELECT * FROM co")
+
+
+def _rescaling_sql(lam: float, delta: str = "-ln(w)") -> str:
+    return f"""WITH RECURSIVE {ST}, nb AS (SELECT src, list({delta} ORDER BY dst) AS a FROM st GROUP BY src),
 it AS (SELECT src, 1 AS n, 1.0::DOUBLE AS g, -1000.0::DOUBLE AS lo, NULL::DOUBLE AS hi, list_sum(list_transform(a, lambda x: exp(-x))) - {lam} AS f FROM nb
 UNION ALL SELECT src, n + 1, g, lo, hi, list_sum(list_transform(a, lambda x: exp(-g * x))) - {lam} FROM (
   SELECT src, n, a, CASE WHEN f > 0 THEN CASE WHEN hi IS NULL THEN g * 2 ELSE (g + hi) / 2 END ELSE (lo + g) / 2 END AS g, CASE WHEN f > 0 THEN g ELSE lo END AS lo, CASE WHEN f > 0 THEN hi ELSE g END AS hi
@@ -193,6 +289,9 @@ for _lam in (0.5, 2.0, 10.0):
     _name = f"{_lam:g}".replace(".", "_")
     _add(f"rescaling_exponent_{_name}", lambda spark, sf, lam=_lam: _round(graph.rescaling(graph.make_stochastic(bought_together(spark, sf)), lam).select("src", "g"), "g", digits=5), f"{_rescaling_sql(_lam)} SELECT src, {_r('g', 5)} AS g FROM ga")
 _add("rescale_10", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0)} SELECT src, dst, {_r('exp(g * ln(w)) / sum(exp(g * ln(w))) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
+_add("rescale_distances", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0, distances=True), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0, 'w')} SELECT src, dst, {_r('exp(-g * w) / sum(exp(-g * w)) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
+_add("rescale_1", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 1, drop_leaf=True), "w", scale=1e3), f"WITH {ST} SELECT src, dst, {_r('w', 6, 1e3)} AS w FROM st")
+_add("rescaling_of_hubs", lambda spark, sf: _round(graph.rescaling_of_hubs(graph.make_stochastic(bought_together(spark, sf)).select("src", (-F.ln("w")).alias("d")), 10.0).select("src", "g"), "g", digits=5), f"{_rescaling_sql(10.0)} SELECT src, {_r('g', 5)} AS g FROM ga")
 _add("rescale_drop_leaf", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(user_events(spark, sf).groupBy("src", "dst").agg(F.sum("w").alias("w"))), 2.0, drop_leaf=True).groupBy("src").agg(F.sum("w").alias("total")), "total"), f"WITH {_EV} SELECT src, CASE WHEN count(*) = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS total FROM ev GROUP BY src")
 
 # --- linear algebra --------------------------------------------------------------------------------------------------
@@ -226,7 +325,16 @@ for _s, _n in (("dst", "row"), ("src", "column")):
 _add("block_diagonal", lambda spark, sf: _round(linalg.block_diagonal(bought_together(spark, sf), 6, 1), "imbalance"), f"WITH {CO} SELECT sum(n)::BIGINT AS nnz, {_r('max(n) / avg(n)')} AS imbalance FROM (SELECT count(*) AS n FROM co WHERE (dst >> 6) - (src >> 6) = 1 GROUP BY src >> 6)")
 _BITS = " + ".join(f"(((l_partkey >> {k}) & 1) << {2 * k}) + (((l_suppkey >> {k}) & 1) << {2 * k + 1})" for k in range(16))
 _add("morton_order", lambda spark, sf: _table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("code", linalg.morton(F.col("l_partkey"), F.col("l_suppkey"))), f"SELECT DISTINCT l_partkey, l_suppkey, {_BITS} AS code FROM lineitem")
-_add("verify_spmv", lambda spark, sf: _round(linalg.largest_difference(linalg.spmv(bought_together(spark, sf), _part_vector(spark, sf)), linalg.spmv_t(bought_together(spark, sf), _part_vector(spark, sf))), "difference"), "SELECT 0.0::DOUBLE AS difference")
+_add("verify_spmv", lambda spark, sf: _round(linalg.largest_difference(linalg.spmv(graph.make_stochastic(bought_together(spark, sf)), _part_vector(spark, sf)), linalg.spmv_t(graph.make_stochastic(bought_together(spark, sf)), _part_vector(spark, sf))), "difference"), f"WITH {ST}, {_PV}, p AS (SELECT dst AS id, sum(w * x) AS x FROM st JOIN pv ON src = pv.id GROUP BY 1), q AS (SELECT src AS id, sum(w * x) AS x FROM st JOIN pv ON dst = pv.id GROUP BY 1) SELECT {_r('max(abs(coalesce(p.x, 0) - coalesce(q.x, 0)))')} AS difference FROM p FULL JOIN q USING (id)")
+_add("differing", lambda spark, sf: linalg.differing(_part_vector(spark, sf), _part_vector(spark, sf).withColumn("x", F.when(F.col("id") % 5 == 0, F.col("x") + F.col("id") * 1e-9).otherwise(F.col("x"))).where("id % 11 <> 0")).select("id"), f"WITH {_PV}, q AS (SELECT id, CASE WHEN id % 5 = 0 THEN x + id * 1e-9 ELSE x END AS y FROM pv WHERE id % 11 <> 0) SELECT id FROM pv LEFT JOIN q USING (id) WHERE y IS NULL OR abs(x - y) > pow(2.0, -26) * greatest(1.0, abs(x), abs(y))")
+_add("permute", lambda spark, sf: linalg.permute(_part_vector(spark, sf), _mapping(spark, sf)), f"WITH {_PV}, {_MAP} SELECT new AS id, x FROM pv JOIN mp ON id = old")
+_add("first_dimensions", lambda spark, sf: linalg.first_dimensions(points(spark, sf), 3).select("id", *[(F.round(F.col("x")[k], 6) + 0.0).alias(f"x{k}") for k in range(3)]), "SELECT vec_id AS id, " + ", ".join(f"{_r(f'embedding[{k + 1}]::DOUBLE')} AS x{k}" for k in range(3)) + " FROM embeddings")
+_add("dense_corner", lambda spark, sf: linalg.dense(bought_together(spark, sf), 40, 6), f"WITH {CO} SELECT dst, " + ", ".join(f"sum(CASE WHEN src = {k} THEN w ELSE 0 END) AS c{k}" for k in range(6)) + " FROM co WHERE dst < 40 AND src < 6 GROUP BY dst")
+_add("top_level", lambda spark, sf: linalg.top_level(bought_together(spark, sf), 6, 4), f"WITH {CO} SELECT src >> 6 AS bi, " + ", ".join(f"count(CASE WHEN dst >> 6 = {k} THEN 1 END) AS b{k}" for k in range(4)) + " FROM co GROUP BY 1")
+_add("banded_spmm", lambda spark, sf: _round(linalg.spmv(graph.banded_symmetric(parts(spark, sf), 4, 1), _part_vector(spark, sf).withColumn("z", F.col("id") % 10 + 0.5), "x", "z"), "x", "z"), f"WITH {_PV}, ba AS (SELECT src, dst, 0.5 + {_uniform_sql(1, 'least(src, dst)', 'greatest(src, dst)')} AS w FROM ({_PT1} <= 4)) SELECT dst AS id, {_r('sum(w * x)')} AS x, {_r('sum(w * (id % 10 + 0.5))')} AS z FROM ba JOIN pv ON src = id GROUP BY dst")
+_add("running_sums", lambda spark, sf: linalg.running_sums(_part_vector(spark, sf), 64), f"WITH {_PV} SELECT id, sum(x) OVER (ORDER BY id) AS x FROM pv")
+_add("histogram", lambda spark, sf: linalg.histogram(_customers(spark, sf), 0.0, 9000.0, 18), f"WITH {_V} SELECT CASE WHEN x < 0 THEN 0 WHEN x >= 9000 THEN 19 ELSE floor(x / 500)::BIGINT + 1 END AS bin, count(*) AS n FROM v GROUP BY 1")
+_add("bit_helpers", lambda spark, sf: parts(spark, sf).select("id", linalg.next_power_of_two(F.col("id")).alias("ceiling"), linalg.highest_bit(F.col("id")).cast("long").alias("highest"), linalg.whole_power(F.col("id"), 3).alias("cube"), linalg.popcount(F.col("id")).alias("ones")), "SELECT p_partkey AS id, CASE WHEN p_partkey <= 1 THEN 1 ELSE (1::BIGINT << ceil(log2(p_partkey))::INT) END AS ceiling, CASE WHEN p_partkey = 0 THEN -1 ELSE floor(log2(p_partkey))::BIGINT END AS highest, (p_partkey * p_partkey * p_partkey)::BIGINT AS cube, bit_count(p_partkey)::BIGINT AS ones FROM part")
 
 # --- forces and steps ------------------------------------------------------------------------------------------------
 _YP, _YS = _y_sql("part", "p_partkey"), _y_sql("supplier", "s_suppkey")
@@ -249,10 +357,9 @@ for _d in (1, 2, 3):
     _f = [f"f{k}" for k in range(_d)]
     _add(f"attract_{_d}d", lambda spark, sf, d=_d, f=tuple(_f): _round(forces.attract(part_joint(spark, sf), placed(parts(spark, sf), d)), *f, scale=1e5, digits=5), f"WITH {PJ}, {_YP}, {_attract_sql(_d)} SELECT id, " + ", ".join(f"{_r(c, 5, 1e5)} AS {c}" for c in _f) + " FROM pull")
     _add(f"repulse_exact_{_d}d", lambda spark, sf, d=_d, f=tuple(_f): _round(_round(forces.repulse_exact(placed(suppliers(spark, sf), d)), *f, scale=1e4), "zeta", digits=4), f"WITH {_YS}, {_repulse_sql(_d)} SELECT id, {_r('zeta', 4)} AS zeta, " + ", ".join(f"{_r(c, 6, 1e4)} AS {c}" for c in _f) + " FROM push")
-    _add(f"repulse_grid_fft_{_d}d", lambda spark, sf, d=_d: forces.repulse_grid(placed(suppliers(spark, sf), d), {1: 0.05, 2: 0.2, 3: 0.5}[d]))
 
 
-def _grid_sql(d: int) -> str:
+def _grid_sql(d: int, smooth: bool = False) -> str:
     """Cells, scattered charges, their convolution and the potentials at the points, for 14 cells a side."""
     n = 14
     eps = 2.220446049250313e-16
@@ -262,6 +369,9 @@ def _grid_sql(d: int) -> str:
     scaled = lambda k: f"(CASE WHEN (y{k} - m{k}) / extent >= 1 THEN (y{k} - m{k}) / extent - {eps} ELSE (y{k} - m{k}) / extent END * {n - 1})"
     far = lambda x: f"(-({x}) * ({x}) * ({x}) / 6 + ({x}) * ({x}) - 11 * ({x}) / 6 + 1)"
     near = lambda x: f"(({x}) * ({x}) * ({x}) / 2 - ({x}) * ({x}) - ({x}) / 2 + 1)"
+    if smooth:
+        far = lambda x: f"(-0.5 * ({x}) * ({x}) * ({x}) + 2.5 * ({x}) * ({x}) - 4 * ({x}) + 2)"
+        near = lambda x: f"(1.5 * ({x}) * ({x}) * ({x}) - 2.5 * ({x}) * ({x}) + 1)"
     out = f"ex AS (SELECT {lows}, {span} AS extent FROM y), ce AS (SELECT id, " + ", ".join(f"y{k} - m{k} AS z{k}, floor({scaled(k)})::INT AS c{k}, {scaled(k)} - floor({scaled(k)}) AS t{k}" for k in range(d)) + " FROM y, ex)"
     pieces = [f"CASE o{k}.o WHEN 0 THEN {far(f'1 + t{k}')} WHEN 1 THEN {near(f't{k}')} WHEN 2 THEN {near(f'1 - t{k}')} ELSE {far(f'2 - t{k}')} END" for k in range(d)]
     out += ", sp AS (SELECT ce.*, " + ", ".join(f"(c{k} + o{k}.o)::INT AS g{k}" for k in range(d)) + ", " + " * ".join(f"({p})" for p in pieces) + " AS weight FROM ce, " + ", ".join(f"(SELECT unnest(range(4)) AS o) o{k}" for k in range(d)) + ")"
@@ -281,6 +391,9 @@ def _placed_cells(spark: SparkSession, sf: str, d: int) -> DataFrame:
     return forces.cells(coords, low, extent, n)
 
 
+for _d in (1, 2, 3):
+    _add(f"repulse_grid_fft_{_d}d", lambda spark, sf, d=_d: _round(_round(forces.repulse_grid(placed(suppliers(spark, sf), d), 1.0), *[f"f{k}" for k in range(d)], digits=5, scale=1e4), "zeta", digits=4), f"WITH {_YS}, {_grid_sql(_d)} SELECT id, {_r('zeta', 4)} AS zeta, " + ", ".join(f"{_r(f'(z{k} * phi0 - phi{k + 1}) / zeta', 5, 1e4)} AS f{k}" for k in range(_d)) + " FROM po, ze")
+_add("scatter_smooth", lambda spark, sf: _round(forces.scatter(_placed_cells(spark, sf, 2), 2, smooth=True), "v0", "v1", "v2"), f"WITH {_YS}, {_grid_sql(2, smooth=True)} SELECT g0, g1, {_r('v0')} AS v0, {_r('v1')} AS v1, {_r('v2')} AS v2 FROM gr")
 for _d in (1, 2):
     _g = [f"g{k}" for k in range(_d)]
     _add(f"scatter_{_d}d", lambda spark, sf, d=_d: _round(forces.scatter(_placed_cells(spark, sf, d), d), *[f"v{m}" for m in range(d + 1)]), f"WITH {_YS}, {_grid_sql(_d)} SELECT {', '.join(_g)}, " + ", ".join(f"{_r(f'v{m}')} AS v{m}" for m in range(_d + 1)) + " FROM gr")
@@ -290,6 +403,10 @@ _KL = f"WITH {PJ}, {_YP}, {_repulse_sql(2)} SELECT {_r('sum(w * ln((w + 1.175494
 _add("kl_cost", lambda spark, sf: _round(forces.kl_cost(part_joint(spark, sf), placed(parts(spark, sf), 2)), "cost"), _KL)
 _GRAD = f"{PJ}, {_YP}, {_attract_sql(2)}, {_repulse_sql(2)}, gd AS (SELECT push.id AS id, 12.0 * coalesce(pull.f0, 0) - push.f0 AS d0, 12.0 * coalesce(pull.f1, 0) - push.f1 AS d1 FROM push LEFT JOIN pull USING (id))"
 _add("gradient", lambda spark, sf: _round(forces.gradient(part_joint(spark, sf), placed(parts(spark, sf), 2), 12.0).drop("zeta"), "d0", "d1", scale=1e4, digits=4), f"WITH {_GRAD} SELECT id, {_r('d0', 4, 1e4)} AS d0, {_r('d1', 4, 1e4)} AS d1 FROM gd")
+_add("gradient_dense", lambda spark, sf: _round(forces.gradient(part_joint(spark, sf), placed(parts(spark, sf), 2), scale=4.0).drop("zeta"), "d0", "d1", scale=1e4, digits=4), f"WITH {_GRAD.replace('12.0 *', '1.0 *')} SELECT id, {_r('4 * d0', 4, 1e4)} AS d0, {_r('4 * d1', 4, 1e4)} AS d1 FROM gd")
+_YC = "yc AS (SELECT c_custkey AS id, sin(1.7 * c_custkey) AS y0, cos(2.3 * c_custkey) AS y1 FROM customer)"
+_add("attract_bipartite", lambda spark, sf: _round(forces.attract(bought(spark, sf), placed(_customers(spark, sf), 2), placed(parts(spark, sf), 2)), "f0", "f1", digits=4), f"WITH {BU}, {_YP}, {_YC} SELECT src AS id, " + ", ".join(f"{_r(f'sum(w * (a.y{k} - b.y{k}) / (1 + {_dist(2)}))', 4)} AS f{k}" for k in range(2)) + " FROM bu JOIN yc a ON src = a.id JOIN y b ON dst = b.id GROUP BY src")
+_add("kl_cost_grid", lambda spark, sf: _round(forces.kl_cost(part_joint(spark, sf), placed(parts(spark, sf), 2), step=0.05), "cost", digits=4), f"WITH {PJ}, {_YP}, {_repulse_sql(2)} SELECT {_r('sum(w * ln((w + 1.1754943508222875e-38) / (1 / (1 + ' + _dist(2) + ') / (SELECT max(zeta) FROM push) + 1.1754943508222875e-38)))', 4)} AS cost FROM pj JOIN y a ON src = a.id JOIN y b ON dst = b.id")
 _add("gradient_norm", lambda spark, sf: _round(forces.gradient(part_joint(spark, sf), placed(parts(spark, sf), 2), 12.0).agg(F.max(F.abs("d0") + F.abs("d1")).alias("norm")), "norm"), f"WITH {_GRAD} SELECT {_r('max(abs(d0) + abs(d1))')} AS norm FROM gd")
 
 
@@ -301,8 +418,160 @@ def _one_step(spark: SparkSession, sf: str) -> DataFrame:
 _UP = ", ".join(f"greatest(CASE WHEN sign(d{k}) <> 0 THEN 1.2 ELSE 0.8 END, 0.01)::DOUBLE AS g{k}" for k in range(2))
 _STEP = f"{_GRAD}, up AS (SELECT gd.id AS id, y0, y1, d0, d1, {_UP} FROM gd JOIN y USING (id)), mv AS (SELECT id, g0, g1, -200.0 * g0 * d0 AS u0, -200.0 * g1 * d1 AS u1, y0 - 200.0 * g0 * d0 AS p0, y1 - 200.0 * g1 * d1 AS p1 FROM up)"
 _add("update_step", lambda spark, sf: _round(_one_step(spark, sf), "y0", "y1", "u0", "u1", "g0", "g1", digits=5), f"WITH {_STEP} SELECT id, {_r('p0 - (SELECT avg(p0) FROM mv)', 5)} AS y0, {_r('p1 - (SELECT avg(p1) FROM mv)', 5)} AS y1, {_r('u0', 5)} AS u0, {_r('u1', 5)} AS u1, {_r('g0', 5)} AS g0, {_r('g1', 5)} AS g1 FROM mv")
-_add("descend_3_steps", lambda spark, sf: descent.descend(neighbors.perplexity_edges(knn(spark, sf), U), placed(points(spark, sf).select("id"), 2), Params(max_iter=3)))
-_add("embed_points", lambda spark, sf: api.embed_points(points(spark, sf), U, Params(max_iter=300, early_iter=100)))
-_add("embed_graph", lambda spark, sf: api.embed_graph(bought_together(spark, sf), Params(max_iter=50, lam=10.0), parts(spark, sf), placed(parts(spark, sf), 2)))
+
+
+def _steps_sql(ctes: str, steps: int, params: Params, grid: bool, cost: bool = False, recursive: bool = False) -> str:
+    """Whole steps of the descent of the edges pj from the coordinates y, each of them a few tables."""
+    out = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}, s0 AS MATERIALIZED (SELECT id, y0, y1, 0.0::DOUBLE AS u0, 0.0::DOUBLE AS u1, 1.0::DOUBLE AS g0, 1.0::DOUBLE AS g1 FROM y)"
+
+    def push(t: int) -> str:
+        """The repulsion of step t as the tables zt (zeta) and ft (id and forces)."""
+        if not grid:
+            q = f"(1 / (1 + {_dist(2)}))"
+            own = f", r{t} AS MATERIALIZED (SELECT a.id AS id, sum({q}) AS s, " + ", ".join(f"sum({q} * {q} * (a.y{k} - b.y{k})) AS f{k}" for k in range(2)) + f" FROM s{t} a JOIN s{t} b ON a.id <> b.id GROUP BY 1), z{t} AS MATERIALIZED (SELECT sum(s) AS zeta FROM r{t})"
+            return own + f", f{t} AS MATERIALIZED (SELECT id, f0 / zeta AS f0, f1 / zeta AS f1 FROM r{t}, z{t})"
+        own = re.sub(r"\b(FROM|JOIN) y\b", rf"\1 s{t}", _grid_sql(2))
+        own = re.sub(r"\b(ex|ce|sp|gr|ph|po|ze)\b(?!\()", rf"\1_{t}", own).replace(" AS (", " AS MATERIALIZED (")
+        return f", {own}, z{t} AS MATERIALIZED (SELECT zeta FROM ze_{t}), f{t} AS MATERIALIZED (SELECT id, (z0 * phi0 - phi1) / zeta AS f0, (z1 * phi0 - phi2) / zeta AS f1 FROM po_{t}, z{t})"
+
+    for t in range(steps):
+        alpha, momentum = descent.schedule(t, params)
+        out += push(t) + f", p{t} AS MATERIALIZED (SELECT src AS id, " + ", ".join(f"sum(w * (a.y{k} - b.y{k}) / (1 + {_dist(2)})) AS p{k}" for k in range(2)) + f" FROM pj JOIN s{t} a ON src = a.id JOIN s{t} b ON dst = b.id GROUP BY src)"
+        out += f", d{t} AS MATERIALIZED (SELECT s.*, " + ", ".join(f"{alpha} * coalesce(p{k}, 0) - f{k} AS d{k}" for k in range(2)) + f" FROM s{t} s JOIN f{t} USING (id) LEFT JOIN p{t} USING (id))"
+        out += f", n{t} AS MATERIALIZED (SELECT id, y0, y1, u0, u1, d0, d1, " + ", ".join(f"greatest(CASE WHEN sign(d{k}) <> sign(u{k}) THEN g{k} + {params.gain_up} ELSE g{k} * {params.gain_down} END, {params.gain_floor})::DOUBLE AS g{k}" for k in range(2)) + f" FROM d{t})"
+        out += f", m{t} AS MATERIALIZED (SELECT id, g0, g1, " + ", ".join(f"{momentum} * u{k} - {params.rate} * g{k} * d{k} AS u{k}, y{k} + {momentum} * u{k} - {params.rate} * g{k} * d{k} AS q{k}" for k in range(2)) + f" FROM n{t})"
+        out += f", s{t + 1} AS MATERIALIZED (SELECT id, " + ", ".join(f"q{k} - {f'(SELECT avg(q{k}) FROM m{t})' if params.recenter else '0'} AS y{k}" for k in range(2)) + f", u0, u1, g0, g1 FROM m{t})"
+    if not cost:
+        return out + f" SELECT id, {_r('y0', 4)} AS y0, {_r('y1', 4)} AS y1 FROM s{steps}"
+    out += push(steps)
+    kl = f"SELECT sum(w * ln((w + 1.1754943508222875e-38) / (1 / (1 + {_dist(2)}) / (SELECT zeta FROM z{steps}) + 1.1754943508222875e-38))) FROM pj JOIN s{steps} a ON src = a.id JOIN s{steps} b ON dst = b.id"
+    return out + f" SELECT id, {_r('y0', 4)} AS y0, {_r('y1', 4)} AS y1, {_r(f'({kl})', 4)} AS cost FROM s{steps}"
+
+
+_YV = "y AS (SELECT vec_id AS id, sin(1.7 * vec_id) AS y0, cos(2.3 * vec_id) AS y1 FROM embeddings)"
+_PN = f"{KN}, {_BETA}, pe AS (SELECT src, dst, exp(-beta * d) / sum(exp(-beta * d)) OVER (PARTITION BY src) AS w FROM kn JOIN be USING (src)), sy AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM pe UNION ALL SELECT dst, src, w FROM pe) GROUP BY 1, 2), pj AS MATERIALIZED (SELECT src, dst, w / (SELECT sum(w) FROM sy) AS w FROM sy)"
+#: A step beyond any extent: the grid has its least number of cells.
+_COARSE = 1e6
+
+
+def _point_joint(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.normalize_joint(graph.symmetrize(neighbors.perplexity_edges(knn(spark, sf), U)))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return placed(points(spark, sf).select("id"), 2)
+
+
+for _name, _params, _exact in (("descend_3_steps", Params(max_iter=3), True), ("descend_grid", Params(max_iter=3, step=_COARSE), False), ("descend_custom", CUSTOM.with_(max_iter=3), True)):
+    _add(_name, lambda spark, sf, p=_params, e=_exact: _round(descent.descend(_point_joint(spark, sf), _vectors(spark, sf), p, exact=e), "y0", "y1", digits=4), _steps_sql(f"{_PN}, {_YV}", 3, _params, not _exact, recursive=True))
+_SHORT = Params(max_iter=2, step=_COARSE)
+_add("embed_points", lambda spark, sf: _round(api.embed_points(points(spark, sf), U, _SHORT, _vectors(spark, sf)), "y0", "y1", "cost", digits=4), _steps_sql(f"{_PN}, {_YV}", 2, _SHORT, True, cost=True, recursive=True))
+_add("embed_graph", lambda spark, sf: _round(api.embed_graph(bought_together(spark, sf), _SHORT, parts(spark, sf), placed(parts(spark, sf), 2)), "y0", "y1", "cost", digits=4), _steps_sql(f"{PJ.replace('pj AS (', 'pj AS MATERIALIZED (')}, {_YP}", 2, _SHORT, True, cost=True))
+_add("embed_graph_50", lambda spark, sf: api.embed_graph(bought_together(spark, sf), Params(max_iter=50, lam=10.0), parts(spark, sf), placed(parts(spark, sf), 2)))
+_add("start", lambda spark, sf: _starts(descent.start(parts(spark, sf), Params(dims=3))), "SELECT count(*) AS n, true AS small, true AS centred, true AS spread FROM part")
+
+
+def _starts(y: DataFrame) -> DataFrame:
+    """Whether start coordinates look normal with a deviation of 1e-4."""
+    return y.agg(F.count("*").alias("n"), (F.max(F.greatest(*[F.abs(f"y{k}") for k in range(3)])) < 7e-4).alias("small"), (F.abs(F.avg("y0")) < 2e-5).alias("centred"), F.stddev("y1").between(0.8e-4, 1.2e-4).alias("spread"))
+
+
+def _gradient_service(spark: SparkSession, sf: str) -> DataFrame:
+    service = api.GradientService(part_joint(spark, sf))
+    coords = placed(parts(spark, sf), 2)
+    return _round(service.gradient(coords, 12.0).drop("zeta"), "d0", "d1", scale=1e4, digits=4).withColumn("cost", F.round(F.lit(service.kl(coords)), 6) + 0.0)
+
+
+_add("gradient_service", _gradient_service, f"WITH {_GRAD} SELECT id, {_r('d0', 4, 1e4)} AS d0, {_r('d1', 4, 1e4)} AS d1, ({_KL.split(f'{_repulse_sql(2)} ')[1]}) AS cost FROM gd")
+
+# --- files: each is written into the shared folder and read back -------------------------------------------------------
+
+
+def _new_file(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder; on a local master without one, in a temporary folder."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="filigree-"))
+        found = context.getCheckpointDir()
+    return f"{found.rstrip('/')}/filigree-files/{uuid.uuid4().hex}-{name}"
+
+
+def _file_query(name: str, file: str):
+    def add(query: Callable[[SparkSession, str, str], DataFrame], sql: str) -> None:
+        _add(name, lambda spark, sf: query(spark, sf, _new_file(spark, file)), sql)
+
+    return add
+
+
+def _matrix_market(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_matrix_market(bought_together(spark, sf), path, parts(spark, sf).count())
+    return files.read_matrix_market(spark, path)
+
+
+def _dense(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_dense(points(spark, sf), path)
+    return _values(files.read_dense(spark, path))
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.posexplode("x").alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _features(spark: SparkSession, sf: str) -> np.ndarray:
+    return np.array([r.x for r in points(spark, sf).orderBy("id").collect()])
+
+
+def _problem(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_problem(spark, _features(spark, sf), path, perplexity=U, seed=7)
+    head, rows = files.read_problem(spark, path)
+    return _values(rows).withColumn("perplexity", F.lit(head["perplexity"])).withColumn("seed", F.lit(head["seed"]))
+
+
+def _coords(df: DataFrame) -> DataFrame:
+    return _round(df, "y0", "y1")
+
+
+def _result(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_result(spark, files.ordered(_vectors(spark, sf)), path)
+    return _coords(files.read_result(spark, path))
+
+
+def _binary(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_binary(spark, files.ordered(_vectors(spark, sf)), path)
+    return _coords(files.read_binary(spark, path, 2))
+
+
+def _text(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    files.write_text(_vectors(spark, sf), path)
+    return _coords(files.read_text(spark, path, 2))
+
+
+def _mat(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """Neighbours through a MATLAB file, as the weights of (C + C') / 2."""
+    rows = knn(spark, sf).orderBy("src", "rank").toPandas()
+    n = rows.src.nunique()
+    files.write_mat(spark, {"IDX": rows.dst.to_numpy().reshape(n, -1) + 1.0, "D": rows.d.to_numpy().reshape(n, -1)}, path)
+    return _round(graph.symmetric_half(files.read_mat_neighbours(spark, path).withColumnRenamed("d", "w")), "w")
+
+
+def _embed_file(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """A graph from a file to the coordinates of its embedding."""
+    files.write_matrix_market(bought_together(spark, sf), path, parts(spark, sf).count())
+    return _round(api.embed_graph(files.read_matrix_market(spark, path), _SHORT, parts(spark, sf), placed(parts(spark, sf), 2)), "y0", "y1", "cost", digits=4)
+
+
+_YID = f"(SELECT row_number() OVER (ORDER BY id) - 1 AS id, {_r('y0')} AS y0, {_r('y1')} AS y1 FROM y)"
+_XV = f"SELECT vec_id AS id, unnest(range(len(embedding))) AS k, {_r('unnest(embedding::DOUBLE[])')} AS v"
+_file_query("file_matrix_market", "graph.mtx")(_matrix_market, f"WITH {CO} SELECT * FROM co")
+_file_query("file_dense", "points.txt")(_dense, f"{_XV} FROM embeddings")
+_file_query("file_problem", "data.dat")(_problem, f"{_XV}, {U}::DOUBLE AS perplexity, 7 AS seed FROM embeddings")
+_file_query("file_result", "result.dat")(_result, f"WITH {_YV} SELECT id, y0, y1, id::INT AS landmark, 0.0::DOUBLE AS cost FROM {_YID}")
+_file_query("file_binary", "embedding.bin")(_binary, f"WITH {_YV} SELECT * FROM {_YID}")
+_file_query("file_text", "embedding.txt")(_text, f"WITH {_YV} SELECT * FROM {_YID}")
+_file_query("file_mat", "knn.mat")(_mat, f"WITH {KN} SELECT src, dst, {_r('sum(d) / 2')} AS w FROM (SELECT src, dst, d FROM kn UNION ALL SELECT dst, src, d FROM kn) GROUP BY 1, 2")
+_file_query("embed_file", "graph.mtx")(_embed_file, ORACLES["embed_graph"])
 
 assert math.isclose(sum(forces.weights(0.3)), 1.0)
