@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from .textarrays import mix
 
-#: Rows of one Arrow batch. Texts may be very long, so a batch stays short.
-BATCH_ROWS = 256
+#: Rows of one Arrow batch, if they are narrow: a batch ends with BLOCK_BYTES, as one row may hold megabytes.
+BATCH_ROWS = 1 << 15
 #: Text bytes that a Python worker gathers before it works on them as one block.
 BLOCK_BYTES = 1 << 20
 
@@ -78,10 +78,9 @@ def remove_tables(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with short batches, as one row may hold megabytes. Narrow rows can come in longer ones; write such
-    a step at once, as the setting holds for the session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of a bounded number of bytes. The setting is the session's, and the same for all steps."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +164,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
-def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, rows: int = BATCH_ROWS) -> np.ndarray:
+def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
     """The sum over all partitions of an array of fixed size that counts() makes of each. Chunks of it are added up
     in two rounds, so no task and not the driver holds more than a few hundred chunks."""
     chunk = min(size, 1 << 14)
@@ -184,7 +183,7 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     kind = "chunk int, counts binary"
-    parts = arrow_map(df, local, kind, rows)
+    parts = arrow_map(df, local, kind)
     total = np.zeros(size, np.uint64)
     for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind).collect():
         total[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, "<u8")
@@ -217,7 +216,7 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
         return total
 
     own = ids.select(column).repartition(-(-many // FILTER_IDS) or 1)
-    return np.packbits(summed(own, count, cells, 1 << 15) > 0, bitorder="little")
+    return np.packbits(summed(own, count, cells) > 0, bitorder="little")
 
 
 def maybe_in(found: np.ndarray, ids: pa.Array) -> np.ndarray:

@@ -141,7 +141,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             keep = np.array([begun]) | (held["ways"] > 1)
             yield out(held, keep, keep, np.array([center]), np.array([center_n]))
 
-    return arrow_map(rows, run, "token long, doc_id long, n long, center long, center_n long", 1 << 15)
+    return arrow_map(rows, run, "token long, doc_id long, n long, center long, center_n long")
 
 
 def _alike(n, m):
@@ -311,7 +311,7 @@ def spanning(ids: np.ndarray, comps: np.ndarray, i: np.ndarray, j: np.ndarray, t
 _KEYS = ["token", "i", "j"]
 
 
-def _by_block(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], schema: str, batch_rows: int) -> DataFrame:
+def _by_block(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """solve() on the rows of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def _by_block(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], sche
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return arrow_map(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS), run, schema, batch_rows)
+    return arrow_map(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS), run, schema)
 
 
 def hopeful(rows: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def hopeful(rows: DataFrame) -> DataFrame:
         kept = pa.array(np.unique(np.concatenate([i, j])))
         return pa.RecordBatch.from_arrays([table.column(c).take(kept).combine_chunks() for c in names], names)
 
-    return _by_block(rows.select(*_KEYS, "doc_id", "n", "comp", "side", "bitmap"), solve, "token long, i int, j int, doc_id long, comp long, side int", 4096)
+    return _by_block(rows.select(*_KEYS, "doc_id", "n", "comp", "side", "bitmap"), solve, "token long, i int, j int, doc_id long, comp long, side int")
 
 
 def links_in(rows: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def links_in(rows: DataFrame) -> DataFrame:
         found = spanning(ids, comps, i, j, tokens, at)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return _by_block(rows.select(*_KEYS, "doc_id", "comp", "side", "tokens"), solve, "a long, b long", 256)
+    return _by_block(rows.select(*_KEYS, "doc_id", "comp", "side", "tokens"), solve, "a long, b long")
 
 
 def possible_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def possible_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[at] = 9 * (_ONES[p & q].sum(1, dtype=np.int64) + slack) >= 4 * (n[at] + m[at])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return arrow_map(joined, run, "a long, b long", 4096)
+    return arrow_map(joined, run, "a long, b long")
 
 
 def _blocks(open_rows: DataFrame, across: bool) -> DataFrame:
@@ -409,7 +409,12 @@ def open_links(docs: DataFrame, buckets: DataFrame, comps: DataFrame, sets: Data
 
 def components_of(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links lead to, its own included) of every row."""
-    sets = written(described(docs, shingle_counts(docs, width), width), "sets")
+    return joined(docs, described(docs, shingle_counts(docs, width), width), width)
+
+
+def joined(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """The components of the links between sets (rows of described()) that share an entry of their prefixes."""
+    sets = written(sets, "sets")
     classes = written(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = reps.select("doc_id", "n", F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("ways").alias("ways"))))
