@@ -167,7 +167,7 @@ def settle(rows: DataFrame) -> DataFrame:
             row = lambda k: tuple(x[c][k] for c in names)  # noqa: B023, E731
             held = (row(anchor_head[-1]), int(distinct[-1]), row(head[-1]))
 
-    return arrow_map(rows, run, _SETTLED, 1 << 15)
+    return arrow_map(rows, run, _SETTLED)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -274,7 +274,7 @@ def index_bundles(rows: DataFrame) -> DataFrame:
         if strings:
             yield solve(np.array(doc), np.array(start), strings)
 
-    return arrow_map(rows, run, kind, 1 << 12)
+    return arrow_map(rows, run, kind)
 
 
 def segment_again(strings: DataFrame, family: int) -> DataFrame:
@@ -289,7 +289,7 @@ def segment_again(strings: DataFrame, family: int) -> DataFrame:
                 both = mix(mix(before[which].view(np.uint64)) ^ anchor.view(np.uint64)).view(np.int64)
             yield _batch(_ROW, both, segment, doc[which], start[which] + at, n)
 
-    return arrow_map(strings, run, _ROW, 1 << 12)
+    return arrow_map(strings, run, _ROW)
 
 
 def _moved(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -385,8 +385,9 @@ def _without_repeats(docs: DataFrame) -> DataFrame:
         settled = written(settle(found.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")), "settled")
         marks.append(settled.where("not open").select("doc_id", "start", "n"))
         opened, family = settled.where("open").select("anchor", "doc_id", "start", "n"), family + 1
-        hot = written(opened.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor"), "hot")
+        hot = opened.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor")
         some = family < FAMILIES and not hot.isEmpty()
+        hot = written(hot, "hot") if some else hot
         strings = cut_out(docs, opened.join(hot, "anchor", "left_anti") if some else opened)
         marks.append(written(index_bundles(strings.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")), "indexed"))
         if not some:
