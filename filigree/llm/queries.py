@@ -49,12 +49,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(docs, fingerprints.part_bytes_for(docs))
 
 
-def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near pairs of class representatives, and each other member of a class with its representative (1.0)."""
-    docs = _table(spark, sf_dir, "documents")
-    own = common.written(fingerprints.members(docs), "members")
-    equal = own.where("n > 0 and doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return fingerprints.near_pairs(docs, own=own).unionByName(equal.distinct())
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_copies(_table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +78,6 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_run_index, op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op5_near_pairs, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
+QUERIES = {f.__name__: f for f in (op1_run_index, op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op5_near_copies, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -58,4 +58,4 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM tx LEFT JOIN ns USING (doc_id) JOIN kt USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_run_index": repeated_bytes(), "op4_decontaminate": decontamination(), "op8_jaccard_join": jaccard_components()}
+ORACLE_SQL = {"op1_run_index": repeated_bytes(), "op4_decontaminate": decontamination(), "op5_near_copies": jaccard_components(), "op8_jaccard_join": jaccard_components()}
