@@ -5,10 +5,10 @@ earlier in the same one.
 
 1. Every window of LENGTH bytes has an anchor: its least hash of GRAM bytes. Neighbouring windows with the same
    anchor at the same place make a segment, so no window occurs twice in a segment. Equal windows have equal anchors, so only segments of one anchor can share a window.
-2. Segments meet by anchor. Equal segments are settled at once, in each worker's block of texts before they are
-   moved and then across workers: all but the first repeat earlier text. An anchor with one distinct segment is done.
-3. The distinct segments of all other anchors are the repetitive part that is not plain. They are indexed in bundles
-   of whole anchors: suffixes are sorted, the Burrows-Wheeler transform is run-compressed, and for the head of each
+2. Segments meet by anchor. Equal segments are one string of the index: all but the first, in each worker's block of
+   texts before they are moved and then across workers, repeat earlier text. An anchor with a single segment is done.
+3. The distinct segments of all anchors with several segments, equal or not, are the repetitive part of the corpus. They
+   are indexed in bundles of whole anchors: suffixes are sorted, the Burrows-Wheeler transform is run-compressed, and for the head of each
    run its place, the place before it in suffix order and their common length are sampled. From these samples alone
    the common length of every place with its neighbour is streamed over the text; lengths of at least LENGTH join
    places into groups, and all but the earliest of a group are marked.
@@ -93,6 +93,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, family: int = 0) -> tuple[np
     return text, begin - offsets[text], n, low[begin].view(np.int64), word_hashes(data, begin, begin + n + LENGTH - 1).view(np.int64)
 
 
+#: A bit of a segment's number of windows.
+COPIED = 1 << 20
 _ROW = "anchor long, segment long, doc_id long, start int, n int"
 
 
@@ -107,7 +109,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """All segments; n is negative where the block of texts holds an equal segment that starts earlier."""
+    """All segments; n is negative where the block of texts holds an equal segment that starts earlier, and has COPIED where
+    it holds such copies of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in in_blocks(batches, limit=1 << 20):
@@ -119,8 +122,9 @@ def segment_rows(docs: DataFrame) -> DataFrame:
             again[1:] = (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1])
             head = np.maximum.accumulate(np.where(again, 0, np.arange(len(n))))
             again &= (doc != doc[head]) | (start != start[head])
+            n[np.unique(head[again])] |= COPIED
             # what is settled here goes on under a key of its own
-            yield _batch(_ROW, np.where(again, doc * 31 + start, anchor), segment, doc, start, np.where(again, -n, n))
+            yield _batch(_ROW, np.where(again, doc * 31 + start, anchor), segment, doc, start, np.where(again, -(n & ~COPIED), n))
 
     return arrow_map(_texts(docs), run, _ROW)
 
@@ -130,7 +134,8 @@ _SETTLED = "anchor long, doc_id long, start int, n int, open boolean"
 
 def settle(rows: DataFrame) -> DataFrame:
     """Of segments sorted by anchor, segment and place: those that repeat an earlier one (open is false), and the first of
-    each distinct segment where its anchor has several (open). Memory does not grow with an anchor."""
+    each distinct segment where its anchor has several, or copies of it (open). Memory does not grow with an anchor; the
+    first one can come out more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("anchor", "segment", "doc_id", "start", "n")
@@ -162,8 +167,10 @@ def settle(rows: DataFrame) -> DataFrame:
             repeats = own & ~new_segment & ((x["doc_id"] != x["doc_id"][head]) | (x["start"] != x["start"][head]))
             opened = own & new_segment & (distinct >= 2)
             heads = anchor_head[own & new_segment & (distinct == 2)]
+            copied = repeats & (distinct == 1) & ((np.arange(size) - anchor_head == 1) | (np.arange(size) == lead))
+            heads = np.concatenate([heads, anchor_head[copied], np.flatnonzero(own & new_anchor & (x["n"] >= COPIED))])
             at = np.concatenate([np.flatnonzero(repeats), np.flatnonzero(opened), heads])
-            yield _batch(_SETTLED, x["anchor"][at], x["doc_id"][at], x["start"][at], x["n"][at], np.arange(len(at)) >= repeats.sum())
+            yield _batch(_SETTLED, x["anchor"][at], x["doc_id"][at], x["start"][at], x["n"][at] & ~COPIED, np.arange(len(at)) >= repeats.sum())
             row = lambda k: tuple(x[c][k] for c in names)  # noqa: B023, E731
             held = (row(anchor_head[-1]), int(distinct[-1]), row(head[-1]))
 
@@ -171,25 +178,28 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of symbols, by prefix doubling from four symbols on, or from two if they are many."""
+    """The suffix array of symbols, by prefix doubling from four symbols on, or from two if they are many. Only suffixes
+    that are not told apart yet are sorted again; a rank is the place of the first suffix that begins alike."""
     n = len(symbols)
     width = 4 if symbols.max() < (1 << 15) - 1 else 2
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(4, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = key << (64 // width) | padded[k : k + n]
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if fresh.all():
+    order, rank = np.argsort(key), np.empty(n, np.int64)
+    at, key = np.arange(n), key[order]
+    while True:  # key is that of the suffixes at those places of the order
+        fresh = np.ones(len(at) + 1, bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(at)), 0))]
+        at = at[~(fresh[:-1] & fresh[1:])]
+        if not len(at):
             return order
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:]
-        key = rank << 32 | ahead
+        own = order[at]
+        ahead = np.minimum(own + width, n)
+        key = rank[own] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        again = np.argsort(key)
+        order[at], key = own[again], key[again]
         width *= 2
 
 
@@ -201,7 +211,7 @@ class RunIndex:
         ends = np.cumsum([len(x) + 1 for x in strings]) - 1
         symbols = joined.astype(np.int64) + len(strings)
         symbols[ends] = np.arange(len(strings))  # all ends differ, so no match runs over one
-        self.n = len(symbols)
+        self.n, self.strings = len(symbols), len(strings)
         order = suffix_array(symbols)
         before = symbols[order - 1]
         heads = np.ones(self.n, bool)
@@ -222,6 +232,28 @@ class RunIndex:
         by_place = np.argsort(places)
         self.places, self.previous, self.common = places[by_place], previous[by_place], common[by_place]
 
+    def occurrences(self, pattern: bytes) -> int:
+        """How often a pattern occurs, by backward search over the runs."""
+        low, high = 0, self.n
+        ends = np.cumsum(self.lengths)
+        by_letter = np.lexsort((np.arange(len(self.letters)), self.letters))
+        letters = self.letters[by_letter]
+        before = np.cumsum(self.lengths[by_letter]) - self.lengths[by_letter]  # letters that sort before, and earlier ones alike
+        for c in reversed(pattern):
+            a, b = np.searchsorted(letters, [c + self.strings, c + self.strings + 1])
+            if a == b:
+                return 0
+            runs_, base = by_letter[a:b], before[a]
+
+            def rank(row: int) -> int:
+                k = int(np.searchsorted(ends[runs_] - self.lengths[runs_], row))  # noqa: B023
+                return int(base + (0 if k == 0 else before[a + k - 1] - base + min(self.lengths[runs_[k - 1]], row - (ends[runs_[k - 1]] - self.lengths[runs_[k - 1]]))))  # noqa: B023
+
+            low, high = rank(low), rank(high)
+            if low >= high:
+                return 0
+        return high - low
+
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For every place the one before it in suffix order (-1: none) and their common length, from the samples."""
         every = np.arange(self.n)

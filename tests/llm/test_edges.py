@@ -400,3 +400,14 @@ def test_quality_against_brute_force(spark):
     kept = quality.keep_good(table, labels.unionByName(extra))
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, s in score.items() if s >= quality.THRESHOLD}
     assert quality.keep_good(table.limit(0), labels).count() == 0
+
+
+def test_suffixes_and_backward_search():
+    rng = np.random.default_rng(4)
+    for strings in ([b"abcabcabcabcabc", b"xxabcabcx", b"", b"zzzzzzzzzzzz"], [bytes(rng.choice(list(b"ab"), int(n)).tolist()) for n in rng.integers(0, 60, 40)]):
+        index = run_index.RunIndex(strings)
+        assert index.lengths.sum() == index.n == sum(map(len, strings)) + len(strings)
+        for pattern in (b"abc", b"a", b"bb", b"zz", b"xa", b"abab", b"q", b"cabcabcabcabc"):
+            assert index.occurrences(pattern) == sum(x.startswith(pattern, k) for x in strings for k in range(len(x))), pattern
+    symbols = np.concatenate([rng.integers(5, 8, 300), [0], rng.integers(5, 8, 300), [1]])
+    assert run_index.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda k: symbols[k:].tolist())
