@@ -38,7 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/filigree/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/filigree/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -73,8 +77,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def remove_tables(spark: SparkSession) -> None:
-    """Delete every table that the operators have written. Call it when their results are no longer needed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/filigree")
+    """Delete every table that the operators have written in this application. Call it when their results are no longer needed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 

@@ -1,5 +1,6 @@
 """Edge cases of the corpus operators: colliding words, repeated and null doc_ids, hot groups cut into blocks."""
 
+import base64
 import hashlib
 import html
 import re
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from filigree.llm import bpe, common, decontaminate, fingerprints, jaccard_join, kd_sharding, pii, quality, run_index, token_orc, wrappers
 from filigree.llm.textarrays import word_hashes
 
@@ -26,6 +28,19 @@ def shingle_set(text, width=5):
     return {tuple(own[k : k + width]) for k in range(len(own) - width + 1)} if len(own) >= width else {tuple(own)} if own else set()
 
 
+def brute_hits(text, windows, width=10):
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return any(tuple(own[a : a + n]) in windows for n in range(1, width + 1) for a in range(len(own) - n + 1))
+
+
+def brute_windows(texts, width=10):
+    out = set()
+    for t in texts:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out |= {tuple(own[a : a + width]) for a in range(max(1, len(own) - width + 1))} if own else set()
+    return out
+
+
 def brute_components(texts):
     sets = [shingle_set(t) for t in texts]
     comp = list(range(len(texts)))
@@ -411,3 +426,35 @@ def test_suffixes_and_backward_search():
             assert index.occurrences(pattern) == sum(x.startswith(pattern, k) for x in strings for k in range(len(x))), pattern
     symbols = np.concatenate([rng.integers(5, 8, 300), [0], rng.integers(5, 8, 300), [1]])
     assert run_index.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda k: symbols[k:].tolist())
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages one after the other in Python, by the scores and spans that other tests hold against brute force."""
+    import tiktoken
+
+    sf = "/root/testdata/sf0.001"
+    docs = common.documents(spark, sf)
+    scores = {r.doc_id: r.score for r in quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id] >= quality.THRESHOLD)
+    comps = brute_components([t for _, t in rows])
+    rows = [r for k, r in enumerate(rows) if comps[k] == k]
+    windows = brute_windows([r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    rows = [r for r in rows if not brute_hits(r[1], windows)]
+    spans = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, TWO)).collect()}
+    assert 0 < len(rows) < docs.count() and any(spans.values())
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, text in rows:
+        out, at = "", 0
+        for x in spans[i]:
+            if x.start >= at:
+                out += text[at : x.start] + f"[{x.kind.upper()}]"
+            at = max(at, x.end)
+        out += text[at:]
+        ids = exact.encode_ordinary(out)
+        want[i] = (len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(out.encode()).hexdigest())
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id: (r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in got} == want and len(got) == len(want)
