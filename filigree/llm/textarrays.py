@@ -57,7 +57,8 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every slice: eight bytes at a time are mixed into it, so equal hashes of different slices are
-    chance, whatever their structure (sums of powers modulo 2**64 are equal for a Thue-Morse word and its complement)."""
+    chance, whatever their structure (sums of powers modulo 2**64 are equal for a Thue-Morse word and its complement).
+    Different slices of one size up to eight bytes never have one hash: each step is one-to-one."""
     sizes = ends - starts
     out = mix(sizes.astype(np.uint64))
     if not len(out):

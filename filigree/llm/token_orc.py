@@ -129,7 +129,10 @@ class WordEncoder:
             self.learn([distinct[k] for k in missing], [raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
         place = np.empty(len(hashes), np.int64)
         place[order] = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.cumsum(fresh) - 1]
-        for k in np.flatnonzero(~same_slices(data, starts, ends, self.words, self.word_at[place], self.word_at[place + 1])):
+        sizes, known = ends - starts, self.word_at[place + 1] - self.word_at[place]
+        unsure = np.flatnonzero((sizes != known) | (sizes > 8))  # of words of one size up to eight bytes, no two have one hash
+        at_known = place[unsure]
+        for k in unsure[~same_slices(data, starts[unsure], ends[unsure], self.words, self.word_at[at_known], self.word_at[at_known + 1])]:
             place[k] = self._own_place(data[starts[k] : ends[k]].tobytes())
         place = np.insert(place, at[1:], 0)
         sizes = self.sizes[place]
