@@ -49,10 +49,9 @@ def schedule(i: int, params: Params) -> tuple[float, float]:
 
 def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """params.max_iter steps over DataFrames, for graphs of any size; forces are by the grid, or, exact, by all pairs.
-    Every step's state is checkpointed (on a local master without a checkpoint folder, persisted), and the one before it
-    is released. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
-    spark, edges = edges.sparkSession, edges.persist()
-    state = graph.cut(spark, with_state(coords))
+    Every step's state is checkpointed, and the one before it is no longer held. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
+    edges = edges.persist()
+    state = graph.cut(with_state(coords))
     for i in range(params.max_iter):
         alpha, momentum = schedule(i, params)
         own = state.select("id", *[f"y{k}" for k in range(params.dims)])
@@ -60,11 +59,9 @@ def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = F
         if params.tolerance:
             grad = grad.persist()
             most = grad.agg(F.max(sum((F.abs(f"d{k}") for k in range(params.dims)), F.lit(0.0))).alias("most")).first().most
-        after = graph.cut(spark, update(state, grad, momentum, params))
-        state.unpersist()
+        state = graph.cut(update(state, grad, momentum, params))
         if params.tolerance:
             grad.unpersist()
-        state = after
         if on_iteration:
             on_iteration(i, state)
         if params.tolerance and (most is None or most < params.tolerance):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,31 +52,42 @@ def rescaling(edges: DataFrame, lam: float, distances: bool = False) -> DataFram
     return out.withColumn("short", F.col("degree") <= F.lit(lam))
 
 
+#: Steps between two checkpoints of the bisection.
+CHAINED = 5
+
+
 def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
     """src, g and degree by the same bisection, each step one sum over rows(src, d): for sources of any degree."""
-    spark = rows.sparkSession
     rows = rows.select("src", "d").persist()
     start = rows.groupBy("src").agg(F.count("*").alias("degree"), (F.sum(F.exp(-F.col("d"))) - lam).alias("f"))
-    state = start.select("src", "degree", F.lit(1.0).alias("g"), F.lit(-1000.0).alias("lo"), F.lit(None).cast("double").alias("hi"), "f").persist()
-    for _ in range(steps):
-        if state.where(F.abs("f") > tolerance).isEmpty():
-            break
+    state = start.select("src", "degree", F.lit(1.0).alias("g"), F.lit(-1000.0).alias("lo"), F.lit(None).cast("double").alias("hi"), "f")
+    for i in range(steps):
+        if i % CHAINED == 0:
+            state = cut(state)
+            if state.where(F.abs("f") > tolerance).isEmpty():
+                break
         more, on = F.col("f") > 0, F.abs("f") > tolerance
         g = F.when(~on, F.col("g")).when(more, F.when(F.col("hi").isNull(), F.col("g") * 2).otherwise((F.col("g") + F.col("hi")) / 2)).otherwise((F.col("lo") + F.col("g")) / 2)
         moved = state.select("src", "degree", g.alias("g"), F.when(on & more, F.col("g")).otherwise(F.col("lo")).alias("lo"), F.when(on & ~more, F.col("g")).otherwise(F.col("hi")).alias("hi"))
         sums = rows.join(moved.select("src", "g"), "src").groupBy("src").agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
-        after = cut(spark, moved.join(sums, "src"))
-        state.unpersist()
-        state = after
+        state = moved.join(sums, "src")
     return state.select("src", "g", "degree")
 
 
-def cut(spark, state: DataFrame) -> DataFrame:
-    """state without its plan: checkpointed into the shared folder where there is one; persisted on a local master else."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir() and context.getConf().get("spark.checkpoint.dir"):
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
-    return state.checkpoint() if context.getCheckpointDir() else state.persist()
+def shared_folder(context) -> str:
+    """The checkpoint folder. Only on a local master, where driver and executors are one process, it is set to a temporary one."""
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="filigree-"))
+    return (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(state: DataFrame) -> DataFrame:
+    """state without its plan, checkpointed into the shared folder."""
+    shared_folder(state.sparkSession.sparkContext)
+    return state.checkpoint()
 
 
 def rescale(edges: DataFrame, lam: float, distances: bool = False, drop_leaf: bool = False) -> DataFrame:

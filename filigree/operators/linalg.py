@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators.graph import uniform
+
 
 def _products(edges: DataFrame, v: DataFrame) -> DataFrame:
     return edges.join(v.withColumnRenamed("id", "src"), "src")
@@ -84,6 +86,12 @@ def morton(x, y, bits: int = 16):
     return out
 
 
+def vector(ids: DataFrame, fill: str | float, seed: int = 0) -> DataFrame:
+    """v(id, x) over ids(id): a number everywhere, or "iota" (the id), or "random" (uniform in the unit interval, by id)."""
+    x = F.col("id").cast("double") if fill == "iota" else uniform(seed, F.col("id")) if fill == "random" else F.lit(float(fill))
+    return ids.select("id", x.alias("x"))
+
+
 def top_level(edges: DataFrame, bits: int, blocks: int) -> DataFrame:
     """The dense table of entries by block: a row bi, a column for each bj below blocks."""
     return block_counts(edges, bits).groupBy("bi").pivot("bj", list(range(blocks))).agg(F.sum("nnz")).fillna(0).select("bi", *[F.col(str(k)).alias(f"b{k}") for k in range(blocks)])

@@ -186,7 +186,7 @@ def leaves(points: DataFrame, trees: int, rows: int, seed: int = 7) -> DataFrame
         large = large.withColumn("p", F.aggregate(F.zip_with("x", F.get(ways, F.col("tree")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
         middle = large.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("m"), F.min("p").alias("low"), F.max("p").alias("high"))
         side = F.when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("id", "tree", F.lit(level)), F.lit(2))).otherwise(F.when(F.col("m") == F.col("low"), F.col("p") > F.col("m")).otherwise(F.col("p") >= F.col("m")).cast("long"))
-        now = large.join(middle, ["tree", "leaf"]).select("tree", (F.col("leaf") * 2 + 1 + side).alias("leaf"), "id", "x").persist()
+        now = graph.cut(large.join(middle, ["tree", "leaf"]).select("tree", (F.col("leaf") * 2 + 1 + side).alias("leaf"), "id", "x"))
         level += 1
     return done
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -332,6 +331,7 @@ _add("first_dimensions", lambda spark, sf: linalg.first_dimensions(points(spark,
 _add("dense_corner", lambda spark, sf: linalg.dense(bought_together(spark, sf), 40, 6), f"WITH {CO} SELECT dst, " + ", ".join(f"sum(CASE WHEN src = {k} THEN w ELSE 0 END) AS c{k}" for k in range(6)) + " FROM co WHERE dst < 40 AND src < 6 GROUP BY dst")
 _add("top_level", lambda spark, sf: linalg.top_level(bought_together(spark, sf), 6, 4), f"WITH {CO} SELECT src >> 6 AS bi, " + ", ".join(f"count(CASE WHEN dst >> 6 = {k} THEN 1 END) AS b{k}" for k in range(4)) + " FROM co GROUP BY 1")
 _add("banded_spmm", lambda spark, sf: _round(linalg.spmv(graph.banded_symmetric(parts(spark, sf), 4, 1), _part_vector(spark, sf).withColumn("z", F.col("id") % 10 + 0.5), "x", "z"), "x", "z"), f"WITH {_PV}, ba AS (SELECT src, dst, 0.5 + {_uniform_sql(1, 'least(src, dst)', 'greatest(src, dst)')} AS w FROM ({_PT1} <= 4)) SELECT dst AS id, {_r('sum(w * x)')} AS x, {_r('sum(w * (id % 10 + 0.5))')} AS z FROM ba JOIN pv ON src = id GROUP BY dst")
+_add("vectors", lambda spark, sf: _round(linalg.axpy(linalg.vector(parts(spark, sf), "random", 3), graph.banded(parts(spark, sf), 2), linalg.vector(parts(spark, sf), "iota")).join(linalg.vector(parts(spark, sf), 1).withColumnRenamed("x", "one"), "id"), "x"), f"SELECT a.p_partkey AS id, {_r(_uniform_sql(3, 'a.p_partkey') + ' + sum(b.p_partkey / (1.0 + abs(a.p_partkey - b.p_partkey)))')} AS x, 1.0::DOUBLE AS one FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 2 GROUP BY a.p_partkey")
 _add("running_sums", lambda spark, sf: linalg.running_sums(_part_vector(spark, sf), 64), f"WITH {_PV} SELECT id, sum(x) OVER (ORDER BY id) AS x FROM pv")
 _add("histogram", lambda spark, sf: linalg.histogram(_customers(spark, sf), 0.0, 9000.0, 18), f"WITH {_V} SELECT CASE WHEN x < 0 THEN 0 WHEN x >= 9000 THEN 19 ELSE floor(x / 500)::BIGINT + 1 END AS bin, count(*) AS n FROM v GROUP BY 1")
 _add("bit_helpers", lambda spark, sf: parts(spark, sf).select("id", linalg.next_power_of_two(F.col("id")).alias("ceiling"), linalg.highest_bit(F.col("id")).cast("long").alias("highest"), linalg.whole_power(F.col("id"), 3).alias("cube"), linalg.popcount(F.col("id")).alias("ones")), "SELECT p_partkey AS id, CASE WHEN p_partkey <= 1 THEN 1 ELSE (1::BIGINT << ceil(log2(p_partkey))::INT) END AS ceiling, CASE WHEN p_partkey = 0 THEN -1 ELSE floor(log2(p_partkey))::BIGINT END AS highest, (p_partkey * p_partkey * p_partkey)::BIGINT AS cube, bit_count(p_partkey)::BIGINT AS ones FROM part")
@@ -488,15 +488,7 @@ _add("gradient_service", _gradient_service, f"WITH {_GRAD} SELECT id, {_r('d0',
 
 
 def _new_file(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder; on a local master without one, in a temporary folder."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="filigree-"))
-        found = context.getCheckpointDir()
-    return f"{found.rstrip('/')}/filigree-files/{uuid.uuid4().hex}-{name}"
+    return f"{graph.shared_folder(spark.sparkContext)}/filigree-files/{uuid.uuid4().hex}-{name}"
 
 
 def _file_query(name: str, file: str):

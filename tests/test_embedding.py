@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from filigree import api
 from filigree.operators import descent, forces, graph, linalg, neighbors
-from filigree.params import CUSTOM, Params
+from filigree.params import CUSTOM, Params, check_points
 from filigree.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -128,13 +128,13 @@ def ring(spark, n):
 
 
 def test_descent_over_tables_equals_the_fused_one(spark):
-    p, params = api.joint(ring(spark, 60), Params()), Params(max_iter=12, early_iter=5, step=0.1)
+    p, params = api.joint(ring(spark, 60), Params()), Params(max_iter=6, early_iter=3, step=0.3, rate=2.0)
     y = coords_frame(spark, np.random.default_rng(1).normal(size=(60, 2)))
     one = descent.fused(p, y, params).toPandas().sort_values("id")
     seen = []
     two = descent.with_cost(p, descent.descend(p, y, params, on_iteration=lambda i, state: seen.append((i, state.count()))), params).toPandas().sort_values("id")
     assert np.allclose(one[["y0", "y1", "cost"]], two[["y0", "y1", "cost"]], atol=1e-7)
-    assert seen == [(k, 60) for k in range(12)]
+    assert seen == [(k, 60) for k in range(6)]
     stopped = []
     descent.descend(p, y, CUSTOM.with_(max_iter=9, tolerance=1e9), on_iteration=lambda i, _: stopped.append(i))
     assert stopped == [0]
@@ -142,7 +142,7 @@ def test_descent_over_tables_equals_the_fused_one(spark):
 
 def test_large_graphs_descend_over_tables(spark, monkeypatch):
     edges, y = ring(spark, 30), coords_frame(spark, np.random.default_rng(2).normal(size=(30, 2)))
-    params = Params(max_iter=4)
+    params = Params(max_iter=4, rate=2.0)
     one = api.embed_graph(edges, params, y0=y).toPandas().sort_values("id")
     monkeypatch.setattr(descent, "FUSED_POINTS", 10)
     two = api.embed_graph(edges, params, y0=y).toPandas().sort_values("id")
@@ -163,6 +163,36 @@ def test_vertices_and_starts_are_checked(spark):
         Params(theta=2.0)
 
 
+def test_parameters_are_checked(spark):
+    assert "max_iter=1000" in repr(Params()) and Params().with_(dims=None, lam=3.0) == Params(lam=3.0)
+    assert check_points(9, 4, None) == 5 and check_points(100, 4, None) == 30
+    for bad in ({"dims": 4}, {"lam": 0.0}, {"alpha": 0.5}, {"rate": 0.0}, {"max_iter": -1}, {"theta": -0.1}):
+        with pytest.raises(ValueError):
+            Params(**bad)
+    for n, features, u, parts in ((10, 4, 11.0, 0), (10, 4, 0.0, 0), (10, 4, 3.0, 5), (10, 4, 3.0, 1)):
+        with pytest.raises(ValueError):
+            check_points(n, features, u, parts)
+    pts = spark.createDataFrame([(0, [1.0, float("nan")]), (1, [1.0, 2.0]), (2, [float("inf"), 1.0])], "id long, x array<double>")
+    assert [r.id for r in neighbors.clean(pts.where("id < 2")).collect()] == [1]
+    with pytest.raises(Exception, match="infinite"):
+        neighbors.clean(pts).collect()
+
+
+def test_front_end_of_points(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(20, 6)), rng.normal(size=(20, 6)) + 8])
+    pts = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    seen = []
+    got = api.embed_points(pts, 4.0, CUSTOM.with_(max_iter=3), scaled=True, components=3, metric="cityblock", on_iteration=lambda i, state: seen.append(i))
+    assert got.count() == 40 and seen == [0, 1, 2] and got.columns == ["id", "y0", "y1", "cost"]
+    assert api.embed_points(pts, 4.0, Params(max_iter=2), exact=False).count() == 40
+
+
+def test_timings_file(spark, tmp_path):
+    files.write_timings(spark, [("attract", 0.5), ("repulse", 1.25)], str(tmp_path / "t.csv"))
+    assert spark.read.csv(str(tmp_path / "t.csv"), header=True, inferSchema=True).collect()[1].seconds == 1.25
+
+
 def test_matlab_files(spark, tmp_path):
     x = {"IDX": np.array([[2.0, 3], [1, 3], [1, 2]]), "D": np.array([[0.1, 0.2], [0.1, 0.3], [0.2, 0.3]])}
     for compressed in (False, True):
@@ -203,7 +233,7 @@ def test_vector_product(spark):
     assert [tuple(r) for r in linalg.spmv(e, v).collect()] == [(1, 31.0)]
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_spearman", "knn_function", "pca", "perplexity_beta", "perplexity_beta_normalised", "joint_exact", "normalize_joint", "rescale_distances", "rescaling_of_hubs", "offsets", "random_graph", "banded_limited", "banded_symmetric", "bit_helpers", "top_level", "attract_2d", "attract_bipartite", "repulse_grid_2d", "repulse_grid_fft_3d", "scatter_smooth", "update_step", "kl_cost", "descend_grid", "descend_custom", "embed_points", "embed_graph", "file_matrix_market", "file_dense", "file_problem", "file_result", "file_binary", "file_text", "file_mat"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_spearman", "knn_function", "pca", "perplexity_beta", "perplexity_beta_normalised", "joint_exact", "normalize_joint", "rescale_distances", "rescaling_of_hubs", "offsets", "random_graph", "banded_limited", "banded_symmetric", "bit_helpers", "vectors", "top_level", "knn_mahalanobis", "attract_2d", "attract_bipartite", "repulse_grid_2d", "repulse_grid_fft_3d", "scatter_smooth", "update_step", "kl_cost", "descend_grid", "descend_custom", "embed_points", "embed_graph", "file_matrix_market", "file_dense", "file_problem", "file_result", "file_binary", "file_text", "file_mat"])
 def test_sql_twin(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
