@@ -168,9 +168,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
-def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all partitions of an array of fixed size that counts() makes of each. Chunks of it are added up
-    in two rounds, so no task and not the driver holds more than a few hundred chunks."""
+def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, kind=np.uint64) -> np.ndarray:
+    """The sum over all partitions of an array of fixed size that counts() makes of each, or, of kind bool, where it is not
+    0. Chunks of it are added up in two rounds, so no task holds more than a few hundred chunks."""
     chunk = min(size, 1 << 14)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +186,10 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
             total += np.frombuffer(x, "<u2" if len(x) == 2 * chunk else "<u8")
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    kind = "chunk int, counts binary"
-    parts = arrow_map(df, local, kind)
-    total = np.zeros(size, np.uint64)
-    for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind).collect():
+    schema = "chunk int, counts binary"
+    parts = arrow_map(df, local, schema)
+    total = np.zeros(size, kind)
+    for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).collect():
         total[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, "<u8")
     return total
 
@@ -209,6 +209,7 @@ def _cells(ids: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     """A Bloom filter of a column of ids, as packed bits."""
+    ids = ids.select(column).distinct()
     many = ids.count()
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (16 * many).bit_length()))
 
@@ -219,8 +220,8 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
                 total[at] = 1
         return total
 
-    own = ids.select(column).repartition(-(-many // FILTER_IDS) or 1)
-    return np.packbits(summed(own, count, cells) > 0, bitorder="little")
+    own = ids.repartition(-(-many // FILTER_IDS) or 1)
+    return np.packbits(summed(own, count, cells, bool), bitorder="little")
 
 
 def maybe_in(found: np.ndarray, ids: pa.Array) -> np.ndarray:
