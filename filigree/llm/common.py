@@ -173,24 +173,29 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     0. Chunks of it are added up in two rounds, so no task holds more than a few hundred chunks."""
     chunk = min(size, 1 << 14)
 
+    def packed(part: np.ndarray) -> bytes:
+        return part.astype("<u2" if part.max() < 1 << 16 else "<u8").tobytes()
+
+    def unpacked(part: bytes) -> np.ndarray:
+        return np.frombuffer(part, "<u2" if len(part) == 2 * chunk else "<u8")
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counts(batches)
         for k in range(0, size, chunk):
             if (part := own[k : k + chunk]).any():
-                small = part.astype("<u2" if part.max() < 1 << 16 else "<u8")
-                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(chunk, "<u8")
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u2" if len(x) == 2 * chunk else "<u8")
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += unpacked(x)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([packed(total)], pa.binary())})
 
     schema = "chunk int, counts binary"
     parts = arrow_map(df, local, schema)
     total = np.zeros(size, kind)
     for r in parts.groupBy("chunk", F.spark_partition_id() % 64).applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).collect():
-        total[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, "<u8")
+        total[r.chunk * chunk : (r.chunk + 1) * chunk] = unpacked(r.counts)
     return total
 
 
