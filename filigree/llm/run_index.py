@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, id_filter, in_blocks, maybe_in, numbers, utf8, written
-from .textarrays import mix, random_words, runs, word_hashes
+from .textarrays import eights, mix, random_words, runs, word_hashes
 
 LENGTH, GRAM = 100, 32
 #: Bytes and segments that are indexed together.
-BUNDLE_BYTES, BUNDLE_SEGMENTS = 2 << 20, 30_000
+BUNDLE_BYTES, BUNDLE_SEGMENTS = 1 << 19, 8_000
 #: Distinct segments of one anchor from which on they get anchors of another family, and how many families there are.
 HOT_SEGMENTS, FAMILIES = 20_000, 6
 _BYTES = [random_words(21 + 100 * k, 256) for k in range(FAMILIES)]
@@ -220,15 +220,17 @@ class RunIndex:
         self.letters, self.lengths = before[at], np.diff(np.append(at, self.n))
         places = order[at]
         previous = np.where(at > 0, order[at - 1], -1)
-        common = np.zeros(len(at), np.int64)
-        live = np.flatnonzero(previous >= 0)
-        width = 0
-        while len(live):  # common lengths, eight symbols at a time
-            i, j = places[live, None] + width + np.arange(8), previous[live, None] + width + np.arange(8)
-            differs = (i >= self.n) | (j >= self.n) | (symbols[np.minimum(i, self.n - 1)] != symbols[np.minimum(j, self.n - 1)])
-            run = np.where(differs.any(1), differs.argmax(1), 8)
-            common[live] += run
-            live, width = live[run == 8], width + 8
+        left = np.repeat(ends, [len(x) + 1 for x in strings]) - np.arange(self.n)
+        limit = np.where(previous >= 0, np.minimum(left[places], left[previous]), 0)
+        common, live, width, eight = limit.copy(), np.flatnonzero(limit), 0, eights(joined)
+        while len(live):  # common lengths, eight bytes at a time: the place of the lowest bit that differs
+            differs = eight[places[live] + width] ^ eight[previous[live] + width]
+            unlike = np.flatnonzero(differs)
+            low = differs[unlike] & (~differs[unlike] + np.uint64(1))
+            own = live[unlike]
+            common[own] = np.minimum(limit[own], width + np.log2(low.astype(float)).astype(np.int64) // 8)
+            width += 8
+            live = live[(differs == 0) & (limit[live] > width)]
         by_place = np.argsort(places)
         self.places, self.previous, self.common = places[by_place], previous[by_place], common[by_place]
 
@@ -295,7 +297,7 @@ def index_bundles(rows: DataFrame) -> DataFrame:
                 if (a, d, s) == place:  # a repeated row's segment is there once
                     continue
                 place = a, d, s
-                if a != last and (size > BUNDLE_BYTES or len(strings) > BUNDLE_SEGMENTS // 2):
+                if a != last and (size > BUNDLE_BYTES or len(strings) > BUNDLE_SEGMENTS):
                     yield solve(np.array(doc), np.array(start), strings)
                     doc, start, strings, size = [], [], [], 0
                 doc.append(d)

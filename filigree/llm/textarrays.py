@@ -50,7 +50,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(inside & last) + 1, np.searchsorted(starts, offsets)
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on (zeros past the end) as one number."""
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
@@ -65,10 +65,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return out
     long = np.flatnonzero(sizes > PIECE)
     live = np.flatnonzero((sizes > 0) & (sizes <= PIECE)) if len(long) else np.flatnonzero(sizes)
-    eights, k = _eights(data), 0
+    eight, k = eights(data), 0
     with np.errstate(over="ignore"):
         while len(live):
-            out[live] = mix(out[live] ^ (eights[starts[live] + k] & _MASKS[np.minimum(sizes[live] - k, 8)]))
+            out[live] = mix(out[live] ^ (eight[starts[live] + k] & _MASKS[np.minimum(sizes[live] - k, 8)]))
             k += 8
             live = live[sizes[live] > k]
         if len(long):
@@ -85,7 +85,7 @@ def same_slices(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.n
     sizes = ends - starts
     same = sizes == other_ends - others
     live, k = np.flatnonzero(same & (sizes <= PIECE)), 0
-    a, b = _eights(one), _eights(two)
+    a, b = eights(one), eights(two)
     while len(live := live[sizes[live] > k]):
         differs = ((a[starts[live] + k] ^ b[others[live] + k]) & _MASKS[np.minimum(sizes[live] - k, 8)]) != 0
         same[live[differs]] = False
