@@ -69,8 +69,7 @@ def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance:
         more, on = F.col("f") > 0, F.abs("f") > tolerance
         g = F.when(~on, F.col("g")).when(more, F.when(F.col("hi").isNull(), F.col("g") * 2).otherwise((F.col("g") + F.col("hi")) / 2)).otherwise((F.col("lo") + F.col("g")) / 2)
         moved = state.select("src", "degree", g.alias("g"), F.when(on & more, F.col("g")).otherwise(F.col("lo")).alias("lo"), F.when(on & ~more, F.col("g")).otherwise(F.col("hi")).alias("hi"))
-        sums = rows.join(moved.select("src", "g"), "src").groupBy("src").agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
-        state = moved.join(sums, "src")
+        state = rows.join(moved, "src").groupBy(*moved.columns).agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
     return state.select("src", "g", "degree")
 
 
