@@ -11,20 +11,30 @@ from filigree.operators import descent, forces, graph, neighbors
 from filigree.params import Params, check_points, check_start
 
 
+def stochastic(edges: DataFrame, params: Params) -> DataFrame:
+    """The edges, repeated ones summed, as a column-stochastic matrix."""
+    return graph.make_stochastic(graph.dedup_sum(edges.where("src <> dst") if params.drop_self_loops else edges))
+
+
 def joint(edges: DataFrame, params: Params) -> DataFrame:
     """The symmetric joint distribution of a weighted digraph."""
-    rows = graph.dedup_sum(edges.where("src <> dst") if params.drop_self_loops else edges)
-    return graph.normalize_joint(graph.symmetrize(graph.rescale(graph.make_stochastic(rows), params.lam, drop_leaf=params.drop_leaf)))
+    return _joint(stochastic(edges, params), params)
+
+
+def _joint(rows: DataFrame, params: Params) -> DataFrame:
+    return graph.normalize_joint(graph.symmetrize(graph.rescale(rows, params.lam, drop_leaf=params.drop_leaf)))
 
 
 def embed_graph(edges: DataFrame, params: Params = Params(), vertices: DataFrame | None = None, y0: DataFrame | None = None, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """id, coordinates and cost of every vertex; isolated ones need the vertices table. y0 is joined by id and must hold
     every vertex. Graphs of a bounded size descend in one worker, larger ones (and all with on_iteration, which
     gets the number and the state of each step) as DataFrames."""
-    p = joint(edges, params).persist()
+    rows = stochastic(edges, params).persist()  # the rescaling reads them several times
+    p = _joint(rows, params).persist()
     ids = p.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select("id").distinct()
     coords = descent.start(ids, params) if y0 is None else ids.join(check_start(y0, params), "id", "left")
     descent.checked(p, coords)
+    rows.unpersist()
     if on_iteration is None and descent.fits(p, coords):
         return descent.fused(p, coords, params)
     out = descent.with_cost(p, descent.descend(p, coords, params, on_iteration=on_iteration), params)

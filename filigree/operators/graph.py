@@ -39,14 +39,16 @@ def _delta(distances: bool):
     return F.col("w") if distances else -F.ln("w")
 
 
-def rescaling(edges: DataFrame, lam: float, distances: bool = False) -> DataFrame:
-    """src and the exponent g with sum(w ** g) = lam over its positive weights, its degree and whether that is at most lam."""
+def rescaling(edges: DataFrame, lam: float, distances: bool = False, neighbours: int | None = None) -> DataFrame:
+    """src and the exponent g with sum(w ** g) = lam over its positive weights, that sum as total, its degree and whether that
+    is at most lam. A bound of neighbours that no source exceeds (the vertices of a simple graph, say) can save the look
+    for hubs."""
     rows = edges.where("w > 0").select("src", "dst", _delta(distances).alias("d"))
-    own = rows.groupBy("src").agg(F.count("*").alias("degree"))
-    hubs = own.where(F.col("degree") > ROW_NEIGHBOURS).select("src")
-    some = not hubs.isEmpty()
+    hubs = rows.groupBy("src").count().where(F.col("count") > ROW_NEIGHBOURS).select("src")
+    some = (neighbours is None or neighbours > ROW_NEIGHBOURS) and not hubs.isEmpty()
     short = (rows.join(hubs, "src", "left_anti") if some else rows).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "d"))).alias("a"))
-    out = short.select("src", rescaling_exponent(F.transform("a", lambda x: x["d"]), lam).alias("g"), F.size("a").cast("long").alias("degree"))
+    out = short.select("src", rescaling_exponent(F.transform("a", lambda x: x["d"]), lam).alias("g"), "a")
+    out = out.select("src", "g", F.aggregate("a", F.lit(0.0), lambda s, x: s + F.exp(-F.col("g") * x["d"])).alias("total"), F.size("a").cast("long").alias("degree"))
     if some:
         out = out.unionByName(rescaling_of_hubs(rows.join(hubs, "src", "left_semi"), lam))
     return out.withColumn("short", F.col("degree") <= F.lit(lam))
@@ -57,7 +59,7 @@ CHAINED = 5
 
 
 def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
-    """src, g and degree by the same bisection, each step one sum over rows(src, d): for sources of any degree."""
+    """src, g, total and degree by the same bisection, each step one sum over rows(src, d): for sources of any degree."""
     rows = rows.select("src", "d").persist()
     start = rows.groupBy("src").agg(F.count("*").alias("degree"), (F.sum(F.exp(-F.col("d"))) - lam).alias("f"))
     state = start.select("src", "degree", F.lit(1.0).alias("g"), F.lit(-1000.0).alias("lo"), F.lit(None).cast("double").alias("hi"), "f")
@@ -70,7 +72,7 @@ def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance:
         g = F.when(~on, F.col("g")).when(more, F.when(F.col("hi").isNull(), F.col("g") * 2).otherwise((F.col("g") + F.col("hi")) / 2)).otherwise((F.col("lo") + F.col("g")) / 2)
         moved = state.select("src", "degree", g.alias("g"), F.when(on & more, F.col("g")).otherwise(F.col("lo")).alias("lo"), F.when(on & ~more, F.col("g")).otherwise(F.col("hi")).alias("hi"))
         state = rows.join(moved, "src").groupBy(*moved.columns).agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
-    return state.select("src", "g", "degree")
+    return state.select("src", "g", (F.col("f") + lam).alias("total"), "degree")
 
 
 def shared_folder(context) -> str:
@@ -89,17 +91,16 @@ def cut(state: DataFrame) -> DataFrame:
     return state.checkpoint()
 
 
-def rescale(edges: DataFrame, lam: float, distances: bool = False, drop_leaf: bool = False) -> DataFrame:
+def rescale(edges: DataFrame, lam: float, distances: bool = False, drop_leaf: bool = False, neighbours: int | None = None) -> DataFrame:
     """Weights raised to their source's exponent and normalised to 1; zero weights stay. lam 1 changes nothing."""
     if lam == 1:
         return edges
-    w = F.exp(-F.col("g") * F.when(F.col("w") > 0, _delta(distances)))
-    out = edges.join(rescaling(edges, lam, distances).select("src", "g"), "src", "left").select("src", "dst", F.coalesce(w, F.lit(0.0)).alias("p"))
-    s = F.col("_sum")
-    scaled = F.when(s > 0, F.col("p") / F.when(s > 0, s)).otherwise(0.0)
+    w = F.exp(-F.col("g") * F.when(F.col("w") > 0, _delta(distances))) / F.when(F.col("total") > 0, F.col("total"))
+    scaled = F.coalesce(w, F.lit(0.0))
+    out = edges.join(rescaling(edges, lam, distances, neighbours).select("src", "g", "total"), "src", "left")
     if drop_leaf:
-        scaled = F.when(F.col("_count") == 1, 0.0).otherwise(scaled)
-    return _with_sums(out, F.sum("p").alias("_sum"), F.count("*").alias("_count")).select("src", "dst", scaled.alias("w"))
+        out, scaled = _with_sums(out, F.count("*").alias("_count")), F.when(F.col("_count") == 1, 0.0).otherwise(scaled)
+    return out.select("src", "dst", scaled.alias("w"))
 
 
 def transpose(edges: DataFrame) -> DataFrame:

@@ -287,7 +287,7 @@ ga AS (SELECT src, arg_max(g, n) AS g FROM it GROUP BY src)"""
 for _lam in (0.5, 2.0, 10.0):
     _name = f"{_lam:g}".replace(".", "_")
     _add(f"rescaling_exponent_{_name}", lambda spark, sf, lam=_lam: _round(graph.rescaling(graph.make_stochastic(bought_together(spark, sf)), lam).select("src", "g"), "g", digits=5), f"{_rescaling_sql(_lam)} SELECT src, {_r('g', 5)} AS g FROM ga")
-_add("rescale_10", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0)} SELECT src, dst, {_r('exp(g * ln(w)) / sum(exp(g * ln(w))) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
+_add("rescale_10", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0, neighbours=parts(spark, sf).count()), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0)} SELECT src, dst, {_r('exp(g * ln(w)) / sum(exp(g * ln(w))) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
 _add("rescale_distances", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0, distances=True), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0, 'w')} SELECT src, dst, {_r('exp(-g * w) / sum(exp(-g * w)) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
 _add("rescale_1", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 1, drop_leaf=True), "w", scale=1e3), f"WITH {ST} SELECT src, dst, {_r('w', 6, 1e3)} AS w FROM st")
 _add("rescaling_of_hubs", lambda spark, sf: _round(graph.rescaling_of_hubs(graph.make_stochastic(bought_together(spark, sf)).select("src", (-F.ln("w")).alias("d")), 10.0).select("src", "g"), "g", digits=5), f"{_rescaling_sql(10.0)} SELECT src, {_r('g', 5)} AS g FROM ga")
