@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, fingerprints, jaccard_join, kd_sharding, pii, quality, run_index, token_orc, wrappers
+from . import bpe, common, decontaminate, fill_middle, fingerprints, jaccard_join, kd_sharding, pii, quality, run_index, secrets, token_orc, whitening, wrappers
 from .twins import ORACLE_SQL
 
 
@@ -78,6 +78,23 @@ def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_run_index, op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op5_near_copies, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda x: x["rank"] < len(secrets.BASE))
+    return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_run_index, op2_byte_bpe, op3_token_orc, op4_decontaminate, op5_minhash, op5_near_copies, op6_pii, op7_quality, op8_jaccard_join, op9_wrappers, op10_kd_sharding, op11_fill_middle, op12_secrets, op13_whitening)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -58,4 +58,16 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 FROM tx LEFT JOIN ns USING (doc_id) JOIN kt USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_run_index": repeated_bytes(), "op4_decontaminate": decontamination(), "op5_near_copies": jaccard_components(), "op8_jaccard_join": jaccard_components()}
+def fill_middle() -> str:
+    cut = "CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form"
+    draw = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    part = "substr(text, 1, lo) AS p, substr(text, lo + 1, hi - lo) AS m, substr(text, hi + 1) AS s"
+    return f"""WITH tx AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+dr AS (SELECT doc_id, text, length(text) AS n, {draw} FROM tx),
+pl AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi, {cut} FROM dr),
+pa AS (SELECT *, {part} FROM pl),
+ou AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM pa)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM ou"""
+
+
+ORACLE_SQL = {"op11_fill_middle": fill_middle(), "op1_run_index": repeated_bytes(), "op4_decontaminate": decontamination(), "op5_near_copies": jaccard_components(), "op8_jaccard_join": jaccard_components()}
