@@ -27,15 +27,15 @@ def _joint(rows: DataFrame, params: Params) -> DataFrame:
 
 def embed_graph(edges: DataFrame, params: Params = Params(), vertices: DataFrame | None = None, y0: DataFrame | None = None, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """id, coordinates and cost of every vertex; isolated ones need the vertices table. y0 is joined by id and must hold
-    every vertex. Graphs of a bounded size descend in one worker, larger ones (and all with on_iteration, which
-    gets the number and the state of each step) as DataFrames."""
+    every vertex. Graphs of a bounded size descend in one worker by the grid, larger ones (and all with another repulsion,
+    or with on_iteration, which gets the number and the state of each step) as DataFrames."""
     rows = stochastic(edges, params).persist()  # the rescaling reads them several times
     p = _joint(rows, params).persist()
     ids = p.select(F.col("src").alias("id")).distinct() if vertices is None else vertices.select("id").distinct()
     coords = descent.start(ids, params) if y0 is None else ids.join(check_start(y0, params), "id", "left")
     descent.checked(p, coords)
     rows.unpersist()
-    if on_iteration is None and descent.fits(p, coords):
+    if on_iteration is None and params.repulsion == "grid" and descent.fits(p, coords):
         return descent.fused(p, coords, params)
     out = descent.with_cost(p, descent.descend(p, coords, params, on_iteration=on_iteration), params)
     return out
@@ -63,14 +63,14 @@ EXACT_POINTS = 50_000
 class GradientService:
     """Holds a joint distribution, and answers with gradients and costs of coordinates."""
 
-    def __init__(self, joint_edges: DataFrame, step: float | None = None):
-        self.edges, self.step = joint_edges.cache(), step
+    def __init__(self, joint_edges: DataFrame, step: float | None = None, theta: float | None = None):
+        self.edges, self.step, self.theta = joint_edges.cache(), step, theta
 
     def gradient(self, coords: DataFrame, alpha: float = 1.0, scale: float = 1.0) -> DataFrame:
-        return forces.gradient(self.edges, coords, alpha, self.step, scale)
+        return forces.gradient(self.edges, coords, alpha, self.step, scale, self.theta)
 
     def kl(self, coords: DataFrame, alpha: float = 1.0, stale_zeta: float | None = None) -> float:
-        return forces.kl_cost(self.edges, coords, alpha, stale_zeta, self.step).first().cost
+        return forces.kl_cost(self.edges, coords, alpha, stale_zeta, self.step, self.theta).first().cost
 
     def close(self) -> None:
         self.edges.unpersist()

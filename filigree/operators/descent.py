@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators import forces, graph
+from filigree.operators import forces
+from filigree.operators.state import discard, written
 from filigree.params import Params
 
 #: Vertices and edges that the fused descent takes in one worker.
@@ -48,20 +49,19 @@ def schedule(i: int, params: Params) -> tuple[float, float]:
 
 
 def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
-    """params.max_iter steps over DataFrames, for graphs of any size; forces are by the grid, or, exact, by all pairs.
-    Every step's state is checkpointed, and the one before it is no longer held. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
+    """params.max_iter steps over DataFrames, for graphs of any size; forces are as params.repulsion says, or, exact, by all
+    pairs. Every step's state is written, and the one before it deleted, so the disk holds two. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
     edges = edges.persist()
-    state = graph.cut(with_state(coords))
+    exact = exact or params.repulsion == "exact"
+    state = written(with_state(coords), "state")
     for i in range(params.max_iter):
         alpha, momentum = schedule(i, params)
         own = state.select("id", *[f"y{k}" for k in range(params.dims)])
-        grad = forces.gradient(edges, own, alpha, None if exact else params.grid_step)
+        grad = written(forces.gradient(edges, own, alpha, None if exact else params.grid_step, theta=None if exact else params.opening), "gradient")
         if params.tolerance:
-            grad = grad.persist()
             most = grad.agg(F.max(sum((F.abs(f"d{k}") for k in range(params.dims)), F.lit(0.0))).alias("most")).first().most
-        state = graph.cut(update(state, grad, momentum, params))
-        if params.tolerance:
-            grad.unpersist()
+        before, state = state, written(update(state, grad, momentum, params), "state")
+        discard(before, grad)
         if on_iteration:
             on_iteration(i, state)
         if params.tolerance and (most is None or most < params.tolerance):
@@ -72,7 +72,8 @@ def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = F
 
 def with_cost(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False) -> DataFrame:
     """coords with the cost on every row."""
-    cost = forces.kl_cost(edges, coords, step=None if exact else params.grid_step)
+    exact = exact or params.repulsion == "exact"
+    cost = forces.kl_cost(edges, coords, step=None if exact else params.grid_step, theta=None if exact else params.opening)
     return coords.join(F.broadcast(cost))  # one row
 
 

@@ -183,21 +183,30 @@ def repulse_grid(coords: DataFrame, step: float, by_cells: bool = False) -> Data
     return got.join(F.broadcast(zeta)).select("id", *[((F.col(f"z{k}") * F.col("phi0") - F.col(f"phi{k + 1}")) / F.col("zeta")).alias(f"f{k}") for k in range(d)], "zeta")  # one row
 
 
-def gradient(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, step: float | None = None, scale: float = 1.0) -> DataFrame:
-    """id, scale (alpha attraction - repulsion) in each dimension, and zeta; exact without a step."""
+def repulse(coords: DataFrame, step: float | None = None, theta: float | None = None) -> DataFrame:
+    """Repulsion by the tree where there is an opening angle theta, by the grid where there is a step, else by all pairs."""
+    if theta is not None:
+        from filigree.operators.treecode import repulse_tree
+
+        return repulse_tree(coords, theta)
+    return repulse_exact(coords) if step is None else repulse_grid(coords, step)
+
+
+def gradient(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, step: float | None = None, scale: float = 1.0, theta: float | None = None) -> DataFrame:
+    """id, scale (alpha attraction - repulsion) in each dimension, and zeta; exact without a step and without a theta."""
     d = dims(coords)
     pull = attract(edges, coords).select("id", *[F.col(f"f{k}").alias(f"p{k}") for k in range(d)])
-    push = repulse_exact(coords) if step is None else repulse_grid(coords, step)
+    push = repulse(coords, step, theta)
     return push.join(pull, "id", "left").select("id", *[(scale * (alpha * F.coalesce(f"p{k}", F.lit(0.0)) - F.col(f"f{k}"))).alias(f"d{k}") for k in range(d)], "zeta")
 
 
-def kl_cost(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, zeta: float | None = None, step: float | None = None) -> DataFrame:
-    """Sum of alpha p ln(alpha p / (q / zeta)) over the edges; zeta is that of coords, by the grid where there is a step,
-    unless an older one is given."""
+def kl_cost(edges: DataFrame, coords: DataFrame, alpha: float = 1.0, zeta: float | None = None, step: float | None = None, theta: float | None = None) -> DataFrame:
+    """Sum of alpha p ln(alpha p / (q / zeta)) over the edges; zeta is that of coords, by repulse(), unless an older one is
+    given."""
     d = dims(coords)
     rows = edges.join(_side(coords, "src", "a"), "src").join(_side(coords, "dst", "b"), "dst").withColumn("q", 1 / (1 + _square(d)))
     if zeta is None:
-        push = repulse_exact(coords) if step is None else repulse_grid(coords, step)
+        push = repulse(coords, step, theta)
         rows = rows.join(F.broadcast(push.agg(F.first("zeta").alias("zeta"))))  # one row
     else:
         rows = rows.withColumn("zeta", F.lit(zeta))

@@ -10,7 +10,7 @@ DEFAULT_STEP = {1: 0.5, 2: 0.7, 3: 1.2}
 @dataclass(frozen=True)
 class Params:
     """dims 1 to 3; lam rescales degrees (1: not at all); alpha is the early exaggeration of iterations 0 to early_iter;
-    theta is checked and else unused: there is no tree code."""
+    repulsion is by the grid, by a tree with the opening angle theta, or exact (by all pairs)."""
 
     dims: int = 2
     lam: float = 1.0
@@ -29,6 +29,7 @@ class Params:
     recenter: bool = True
     tolerance: float | None = None
     theta: float = 0.5
+    repulsion: str = "grid"
 
     def __post_init__(self) -> None:
         if self.dims not in DEFAULT_STEP:
@@ -37,11 +38,18 @@ class Params:
             raise ValueError("lam and rate must be positive, alpha at least 1, max_iter at least 0")
         if not 0 <= self.theta <= 1:
             raise ValueError("theta must lie between 0 and 1")
+        if self.repulsion not in ("grid", "tree", "exact"):
+            raise ValueError("repulsion must be grid, tree or exact")
 
     @property
     def grid_step(self) -> float:
         return self.step if self.step and self.step > 0 else DEFAULT_STEP[self.dims]
 
+    @property
+    def opening(self) -> float | None:
+        """theta where the repulsion is by the tree."""
+        return self.theta if self.repulsion == "tree" else None
+
     def with_(self, **changes) -> Params:
         """A copy; a change to None keeps the default."""
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
