@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filigree.operators import forces, treecode
+from filigree.operators import elimination, factor, forces, graph, linalg, ordering, strong, treecode
+from filigree.operators.state import written
 from filigree.plans import queries as base
 from filigree.plans.queries import PJ, _attract_sql, _r, _round, _y_sql
 
@@ -63,3 +65,143 @@ for _d, _theta in ((1, 0.5), (2, 0.5), (3, 0.7)):
     _add(f"repulse_tree_{_d}d", lambda spark, sf, d=_d, theta=_theta: _forces(treecode.repulse_tree(base.placed(base.parts(spark, sf), d), theta, 16), d), f"WITH RECURSIVE {_y_sql('part', 'p_partkey')}, {_tree_sql(_d, _theta, 16)} {_forces_sql(_d)}")
 _add("repulse_tree_exact", lambda spark, sf: _forces(treecode.repulse_tree(base.placed(base.suppliers(spark, sf), 2), 0.0, 8), 2), f"WITH {_y_sql('supplier', 's_suppkey')}, {base._repulse_sql(2)} {_forces_sql(2)}")
 _add("gradient_tree", lambda spark, sf: _round(forces.gradient(base.part_joint(spark, sf), base.placed(base.parts(spark, sf), 2), 12.0, theta=0.5).select("id", "d0", "d1"), "d0", "d1", digits=4, scale=1e4), f"WITH RECURSIVE {PJ}, {_y_sql('part', 'p_partkey')}, {_attract_sql(2)}, {_tree_sql(2, 0.5, treecode.LEAF_POINTS)} SELECT p.id, " + ", ".join(_r(f"12.0 * coalesce(a.f{j}, 0) - p.f{j}", 4, 1e4) + f" AS d{j}" for j in (0, 1)) + " FROM push p LEFT JOIN pull a USING (id)")
+
+
+# --- graphs of customers and parts -----------------------------------------------------------------------------------
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """c, p, q: customer (even numbers) and part (odd numbers) of every line of an order, and its quantity."""
+    orders = base._table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (2 * F.col("o_custkey")).alias("c"))
+    return base._table(spark, sf, "lineitem").join(orders, "l_orderkey").select("c", (2 * F.col("l_partkey") + 1).alias("p"), F.col("l_quantity").alias("q"))
+
+
+def _ends(spark: SparkSession, sf: str) -> DataFrame:
+    return base._table(spark, sf, "customer").select((2 * F.col("c_custkey")).alias("id")).unionByName(base.parts(spark, sf).select((2 * F.col("id") + 1).alias("id")))
+
+
+def directed(spark: SparkSession, sf: str) -> DataFrame:
+    """From customers to parts where the quantity is 49 or 50, back where it is 1 or 2."""
+    rows = _lines(spark, sf)
+    return rows.where("q >= 49").select(F.col("c").alias("src"), F.col("p").alias("dst")).unionByName(rows.where("q <= 2").select(F.col("p").alias("src"), F.col("c").alias("dst")))
+
+
+def large_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers (src) and parts (dst) of the lines with the largest quantity."""
+    return _lines(spark, sf).where("q >= 50").select(F.col("c").alias("src"), F.col("p").alias("dst")).distinct()
+
+
+LI = "li AS (SELECT 2 * o_custkey AS c, 2 * l_partkey + 1 AS p, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+VE = "ve AS (SELECT 2 * c_custkey AS id FROM customer UNION ALL SELECT 2 * p_partkey + 1 FROM part)"
+DI = f"{LI}, {VE}, di AS (SELECT DISTINCT c AS src, p AS dst FROM li WHERE q >= 49 UNION SELECT DISTINCT p, c FROM li WHERE q <= 2)"
+BI = f"{LI}, {VE}, bi AS (SELECT DISTINCT c AS src, p AS dst FROM li WHERE q >= 50)"
+
+_add(
+    "strong_components",
+    lambda spark, sf: strong.strong_components(directed(spark, sf), _ends(spark, sf)),
+    f"WITH RECURSIVE {DI}, re AS (SELECT src AS a, dst AS b FROM di UNION SELECT a, dst FROM re JOIN di ON b = src) SELECT id, least(id, coalesce(m, id)) AS scc FROM ve LEFT JOIN (SELECT x.a, min(x.b) AS m FROM re x JOIN re y ON x.a = y.b AND x.b = y.a GROUP BY 1) ON id = a",
+)
+
+#: Components of the bipartite graph, and in each all sets of columns with their neighbours, as bits: by Hall's theorem a maximum
+#: matching leaves free the greatest difference of the two sizes, and the sets that reach it are closed under union and section.
+HALL = f"""{BI}, sy AS (SELECT src AS a, dst AS b FROM bi UNION ALL SELECT dst, src FROM bi),
+re AS (SELECT a, a AS o FROM sy UNION SELECT re.a, b FROM re JOIN sy ON o = sy.a), co AS (SELECT a AS id, min(o) AS k FROM re GROUP BY 1),
+cl AS (SELECT k, src, row_number() OVER (PARTITION BY k ORDER BY src) - 1 AS i FROM (SELECT DISTINCT k, src FROM bi JOIN co ON src = id)),
+ro AS (SELECT k, dst, sum(1 << i) AS mask, row_number() OVER (PARTITION BY k ORDER BY dst) - 1 AS i FROM bi JOIN cl USING (src) GROUP BY k, dst),
+su AS (SELECT k, unnest(range(1 << n)) AS s FROM (SELECT k, count(*) AS n FROM cl GROUP BY 1)),
+ha AS (SELECT su.k, s, bit_count(s::BIGINT)::BIGINT AS size, count(*) FILTER ((mask::BIGINT & s) <> 0) AS around FROM su JOIN ro USING (k) GROUP BY 1, 2),
+be AS (SELECT k, max(size - around) AS free FROM ha GROUP BY 1)"""
+
+_add(
+    "maximum_matching",
+    lambda spark, sf: _matching_facts(large_lines(spark, sf)),
+    f"WITH RECURSIVE {HALL}, nu AS (SELECT (SELECT count(*) FROM cl) - sum(free) AS n FROM be) SELECT n::BIGINT AS pairs, n::BIGINT AS columns, n::BIGINT AS rows, n::BIGINT AS edges FROM nu",
+)
+_add(
+    "dulmage_mendelsohn",
+    lambda spark, sf: _form(spark, sf),
+    f"""WITH RECURSIVE {HALL}, ti AS (SELECT ha.k, s FROM ha JOIN be USING (k) WHERE size - around = free),
+mi AS (SELECT k, bit_and(s::BIGINT) AS least_set, bit_or(s::BIGINT) AS most_set FROM ti GROUP BY 1),
+ca AS (SELECT cl.k, src, cl.i, bit_and(s::BIGINT) AS own FROM cl JOIN ti ON ti.k = cl.k AND ((s >> cl.i) & 1) = 1 GROUP BY ALL),
+ra AS (SELECT ro.k, dst, bit_and(s::BIGINT) AS own FROM ro JOIN ti ON ti.k = ro.k AND (mask::BIGINT & s) <> 0 GROUP BY ALL),
+na AS (SELECT k, own, min(src) AS block FROM ca GROUP BY 1, 2),
+cp AS (SELECT src AS id, 'column' AS side, CASE WHEN (least_set >> cl.i) & 1 = 1 THEN 'wide' WHEN (most_set >> cl.i) & 1 = 0 THEN 'tall' ELSE 'square' END AS part, block FROM cl JOIN mi USING (k) LEFT JOIN ca USING (k, src) LEFT JOIN na USING (k, own)),
+rp AS (SELECT dst AS id, 'row' AS side, CASE WHEN mask::BIGINT & least_set <> 0 THEN 'wide' WHEN mask::BIGINT & most_set = 0 THEN 'tall' ELSE 'square' END AS part, block FROM ro JOIN mi USING (k) LEFT JOIN ra USING (k, dst) LEFT JOIN na USING (k, own)),
+al AS (SELECT * FROM cp UNION ALL SELECT * FROM rp)
+SELECT id, CASE WHEN id % 2 = 0 THEN 'column' ELSE 'row' END AS side, coalesce(part, CASE WHEN id % 2 = 0 THEN 'wide' ELSE 'tall' END) AS part, CASE WHEN part = 'square' THEN block ELSE -1 END AS block FROM ve LEFT JOIN al USING (id)""",
+)
+
+
+def _matching_facts(edges: DataFrame) -> DataFrame:
+    """Pairs, distinct columns and rows of them, and how many are edges."""
+    pairs = strong.maximum_matching(edges)
+    there = pairs.join(edges.withColumn("there", F.lit(1)), ["src", "dst"], "left")
+    return there.agg(F.count("*").alias("pairs"), F.countDistinct("src").alias("columns"), F.countDistinct("dst").alias("rows"), F.count("there").alias("edges"))
+
+
+def _form(spark: SparkSession, sf: str) -> DataFrame:
+    ends = _ends(spark, sf)
+    return strong.dulmage_mendelsohn(large_lines(spark, sf), ends.where("id % 2 = 0"), ends.where("id % 2 = 1")).fillna(-1)
+
+
+# --- orderings and elimination ---------------------------------------------------------------------------------------
+#: Vertices of a part that the queries still dissect over tables, and rows of the mesh of parts.
+_PART, _WIDTH = 1024, 40
+
+
+def _mesh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ids = base.parts(spark, sf)
+    return ordering.mesh(ids, _WIDTH), ids
+
+
+def _filled(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    return elimination.column_counts(edges, vertices).agg((F.sum("n") - F.count("*")).alias("filled"))
+
+
+def _dissection_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices, distinct positions and the last one, edges across a cut, entries below the diagonal of the natural order's
+    factor, and whether the dissection's has fewer (where there is a cut over tables)."""
+    edges, ids = _mesh(spark, sf)
+    own = written(ordering.nested_dissection(edges, ids, _PART), "ordering")
+    moved = graph.relabel(edges, own.select(F.col("id").alias("old"), F.col("position").alias("new")))
+    facts = own.agg(F.count("*").alias("n"), F.countDistinct("position").alias("positions"), F.max("position").alias("last"))
+    crossing = ordering.crossing(edges, own).agg(F.count("*").alias("crossing"))
+    natural = _filled(edges, ids)
+    less = _filled(moved, own.select(F.col("position").alias("id"))).withColumnRenamed("filled", "ordered")
+    out = facts.crossJoin(crossing).crossJoin(natural).crossJoin(less)  # one row each
+    return out.select("n", "positions", "last", "crossing", "filled", ((F.col("ordered") < F.col("filled")) | (F.col("n") <= _PART)).cast("int").alias("better"))
+
+
+ME = f"me AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE (p_partkey + 1) % {_WIDTH} <> 0 UNION ALL SELECT p_partkey, p_partkey + {_WIDTH} FROM part), ms AS (SELECT a, b FROM me WHERE b IN (SELECT p_partkey FROM part)), sy AS (SELECT a, b FROM ms UNION ALL SELECT b, a FROM ms)"
+#: The factor's entries: (j, i) is one where a way from j to i > j goes through vertices below j alone.
+FACTOR = "wy AS (SELECT a AS j, a AS o FROM sy UNION SELECT j, b FROM wy JOIN sy ON o = a WHERE b < j), fa AS (SELECT DISTINCT j, b AS i FROM wy JOIN sy ON o = a WHERE b > j)"
+
+_add("nested_dissection", lambda spark, sf: ordering.nested_dissection(*_mesh(spark, sf), _PART))
+_add("dissection_facts", _dissection_facts, f"WITH RECURSIVE {ME}, {FACTOR} SELECT count(*) AS n, count(*) AS positions, max(p_partkey) AS last, 0::BIGINT AS crossing, (SELECT count(*) FROM fa) AS filled, 1 AS better FROM part")
+SB = f"{LI}, {VE}, sy AS (SELECT DISTINCT c AS a, p AS b FROM li WHERE q >= 49 UNION SELECT DISTINCT p, c FROM li WHERE q >= 49)"
+_large = lambda spark, sf: directed(spark, sf).where("src % 2 = 0")
+_add("elimination_tree", lambda spark, sf: elimination.tree(_large(spark, sf), _ends(spark, sf)).fillna(-1), f"WITH RECURSIVE {SB}, {FACTOR} SELECT id, coalesce(min(i), -1) AS parent FROM ve LEFT JOIN fa ON id = j GROUP BY id")
+_add("column_counts", lambda spark, sf: elimination.column_counts(_large(spark, sf), _ends(spark, sf)), f"WITH RECURSIVE {SB}, {FACTOR} SELECT id, count(i) + 1 AS n FROM ve LEFT JOIN fa ON id = j GROUP BY id")
+
+
+# --- factors and solutions -------------------------------------------------------------------------------------------
+def _system(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The shifted Laplacian of the mesh of parts, its vertices, and the right side that belongs to sin(1.7 id)."""
+    edges, ids = _mesh(spark, sf)
+    matrix = factor.laplacian(edges, ids)
+    return matrix, ids, linalg.spmv(matrix, ids.select("id", F.sin(1.7 * F.col("id")).alias("x")))
+
+
+def _product(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, ids, _ = _system(spark, sf)
+    low = factor.lower_edges(factor.cholesky(matrix, ids))
+    whole = linalg.spgemm(low, graph.transpose(low))  # L L'
+    return _round(whole, "w", digits=8).where("w <> 0")
+
+
+def _solution(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, ids, b = _system(spark, sf)
+    return _round(factor.solve(factor.cholesky(matrix, ids), b), "x", digits=8)
+
+
+LA = f"{ME}, la AS (SELECT a AS src, b AS dst, -1.0 AS w FROM sy UNION ALL SELECT p_partkey, p_partkey, 1.0 + (SELECT count(*) FROM sy WHERE a = p_partkey) FROM part)"
+_add("cholesky_product", _product, f"WITH {LA} SELECT src, dst, {_r('w', 8)} AS w FROM la")
+_add("cholesky_solve", _solution, f"SELECT p_partkey AS id, {_r('sin(1.7 * p_partkey)', 8)} AS x FROM part")
