@@ -8,8 +8,9 @@ is split like any other. The driver holds only histogram bins, as many whatever
 carry the number of their node, so plans do not grow with the tree.
 
 Law `bytes`: each split is off by half of one document at most. Null texts have size 1; rows with equal doc_id and
-metadata stay together. Empty tables give no rows. Rows with null doc_id are dealt as doc_id -1. Further columns,
-whatever their names, are not looked at.
+metadata stay together. Empty tables give no rows. Rows with null doc_id are dealt like those of doc_id -1, and come back
+with null. Equal texts are not kept in one shard: a group of them may be larger than a shard. Further columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     key = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1)) if c in docs.columns else F.lit(0).cast("long")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"),
+        F.col("doc_id").cast("long").isNotNull().alias("named"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         key("source").alias("source_key"),
@@ -146,11 +148,11 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 1
         shards = max(1, -(-total // target_bytes))
-    placed = grow(rows, shards).select("doc_id", "size", "text_crc32", "shard")
-    dealt = placed.repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id", "text_crc32")
+    placed = grow(rows, shards).select("doc_id", "named", "size", "text_crc32", "shard")
+    dealt = placed.repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id", "named", "text_crc32")
     numbered = written(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "placed")
     ends = numbered.groupBy("shard", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("shard", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     few = ends.count() <= BROADCAST_NODES  # one row for each shard and partition
-    return numbered.join(F.broadcast(ends) if few else ends, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_row") + F.col("_shift")).alias("slot"))
+    return numbered.join(F.broadcast(ends) if few else ends, ["shard", "_part"]).select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "size", "text_crc32", "shard", (F.col("_row") + F.col("_shift")).alias("slot"))

@@ -196,6 +196,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def files_for(docs: DataFrame) -> int:
-    """How many files docs take at about FILE_BYTES each: by n_chars where there is one, else by the texts."""
-    total = docs.agg(F.sum("n_chars" if "n_chars" in docs.columns else F.octet_length("text"))).first()[0] or 0
+    """How many files docs take at about FILE_BYTES each, by the texts alone."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     return max(1, -(-total // FILE_BYTES))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.llm import fill_middle, queries, secrets, whitening
+from filigree.llm import fill_middle, kd_sharding, queries, secrets, token_orc, whitening
 from filigree.llm.twins import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +184,21 @@ def test_whitened_tables_have_identity_covariance(spark):
     got = whitening.whiten(spark.read.parquet(os.path.join(SF, "embeddings.parquet"))).toPandas()
     wide = got.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
     assert np.abs(np.cov(wide.T, bias=True) - np.eye(16)).max() < 1e-9
+
+
+# --- contracts of earlier operators ------------------------------------------------------------------------------------
+def test_shards_of_rows_without_ids(spark):
+    """A null doc_id is not that of the document -1."""
+    docs = spark.createDataFrame([(None, "a"), (-1, "b"), (None, "ccc"), (4, None)], "doc_id long, text string")
+    got = kd_sharding.assign(docs, 2).collect()
+    assert sorted((repr(r.doc_id), r.size) for r in got) == [("-1", 2), ("4", 1), ("None", 2), ("None", 4)]
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_token_files_are_counted_by_texts(spark, monkeypatch, kind):
+    """A column n_chars, whatever it holds, neither fails nor decides."""
+    monkeypatch.setattr(token_orc, "FILE_BYTES", 100)
+    docs = spark.createDataFrame([(k, "word " * 10, None if kind == "long" else "many") for k in range(10)], f"doc_id long, text string, n_chars {kind}")
+    assert token_orc.files_for(docs) == 5
