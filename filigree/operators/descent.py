@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators import forces
+from filigree.operators.graph import uniform
 from filigree.operators.state import discard, written
 from filigree.params import Params
 
@@ -18,9 +19,9 @@ FUSED_POINTS, FUSED_EDGES = 50_000, 5_000_000
 
 
 def start(vertices: DataFrame, params: Params, seed: int = 0) -> DataFrame:
-    """Normal coordinates times 1e-4, by id."""
-    u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed * 97 + k)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    return vertices.select("id", *[(1e-4 * F.sqrt(-2 * F.ln(u(2 * k))) * F.cos(2 * np.pi * u(2 * k + 1))).alias(f"y{k}") for k in range(params.dims)])
+    """Normal coordinates times 1e-4, by id: from two uniform numbers each, in polar form."""
+    u = lambda k: uniform(seed, F.col("id"), F.lit(k))
+    return vertices.select("id", *[(1e-4 * F.sqrt(-2 * F.ln(1 - u(2 * k))) * F.cos(2 * np.pi * u(2 * k + 1))).alias(f"y{k}") for k in range(params.dims)])
 
 
 def with_state(coords: DataFrame) -> DataFrame:

@@ -230,9 +230,9 @@ def perplexity_edges(knn: DataFrame, u: float, normalised: bool = False) -> Data
     return rows.select("src", "beta", "total", F.inline("a")).select("src", "dst", (F.exp(-F.col("beta") * F.col("d")) / F.col("total")).alias("w"))
 
 
-def neighbour_count(u: float) -> int:
-    """Neighbours for a perplexity: the least whole number that is at least three times as large."""
-    return -int(-3 * u // 1)
+def neighbour_count(u: float | Column) -> int | Column:
+    """Neighbours for a perplexity, or a column of them: the least whole number that is at least three times as large."""
+    return F.ceil(3 * u) if isinstance(u, Column) else -int(-3 * u // 1)
 
 
 def joint_exact(points: DataFrame, u: float, metric: Metric = "sqeuclidean") -> DataFrame:

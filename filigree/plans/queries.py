@@ -20,6 +20,8 @@ from filigree.sources import files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 K, U = 15, 5.0
+#: Points of a leaf of the approximate search: far fewer than there are.
+_LEAVES = 96
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -151,7 +153,11 @@ _add(
     lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, canberra).withColumn("rank", F.col("rank").cast("long")), "d"),
     f"WITH {PT}, {_knn_sql('list_sum(list_transform(list_zip(a.x, b.x), lambda p: CASE WHEN abs(p[1]) + abs(p[2]) > 0 THEN abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) ELSE 0 END))', 10)} SELECT src, dst, rank, {_r('d')} AS d FROM kn",
 )
-_add("neighbour_count", lambda spark, sf: spark.createDataFrame([(k, neighbors.neighbour_count((k + 1) / 2)) for k in range(90)], "id long, k long"), "SELECT id, ceil(3 * (id + 1) / 2.0)::BIGINT AS k FROM (SELECT unnest(range(90)) AS id)")
+_add(
+    "neighbour_count",
+    lambda spark, sf: _table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(neighbors.neighbour_count(F.count("*") / 7).alias("k")),
+    "SELECT user_id AS id, ceil(3 * count(*) / 7.0)::BIGINT AS k FROM events GROUP BY 1",
+)
 _HOLES = "CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], lambda v: CASE WHEN v > 0.2 THEN 'NaN'::DOUBLE ELSE v END) ELSE embedding::DOUBLE[] END"
 _add(
     "clean_points",
@@ -199,7 +205,18 @@ def _mahalanobis_sql(steps: int = 24) -> str:
 
 _add("knn_mahalanobis", lambda spark, sf: _round(neighbors.knn_exact(points(spark, sf), 10, "mahalanobis").withColumn("rank", F.col("rank").cast("long")), "d"), _mahalanobis_sql())
 #: So few points are one leaf, whose neighbours are the exact ones; tests measure the recall of several.
-_add("knn_approximate", lambda spark, sf: _round(neighbors.knn_approximate(points(spark, sf), K).withColumn("rank", F.col("rank").cast("long")), "d"), f"WITH {KN} SELECT src, dst, rank, {_r('d')} AS d FROM kn")
+_add("knn_approximate", lambda spark, sf: _round(neighbors.knn_approximate(points(spark, sf), K, leaf_rows=_LEAVES).withColumn("rank", F.col("rank").cast("long")), "d"))
+
+
+def _recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Points, neighbours wanted and found, and whether nine of ten of the exact ones are among these, in leaves of _LEAVES."""
+    found = neighbors.knn_approximate(points(spark, sf), K, leaf_rows=_LEAVES).select("src", "dst", F.lit(1).alias("hit"))
+    both = knn(spark, sf).select("src", "dst").join(found, ["src", "dst"], "left")
+    facts = both.agg(F.countDistinct("src").alias("n"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).cast("int").alias("enough"))
+    return facts.crossJoin(found.agg(F.count("*").alias("found")))  # one row each
+
+
+_add("knn_recall", _recall, f"SELECT count(*) AS n, count(*) * {K} AS wanted, 1 AS enough, count(*) * {K} AS found FROM embeddings")
 _add("column_stats", lambda spark, sf: _round(neighbors.column_stats(points(spark, sf)).withColumn("k", F.col("k").cast("long")), "mean", "std"), f"SELECT k, {_r('mean')} AS mean, {_r('std')} AS std FROM ({_COLS})")
 _add(
     "standardize",
@@ -244,15 +261,26 @@ _add("degrees", lambda spark, sf: graph.degrees(bought_together(spark, sf)), f"W
 _add("offsets", lambda spark, sf: graph.offsets(bought_together(spark, sf)), f"WITH {CO}, dg AS (SELECT src, count(*) AS degree FROM co GROUP BY 1) SELECT src, degree, (sum(degree) OVER (ORDER BY src) - degree)::BIGINT AS start FROM dg")
 _add("make_stochastic", lambda spark, sf: _round(graph.make_stochastic(bought_together(spark, sf)), "w", scale=1e3), f"WITH {ST} SELECT src, dst, {_r('w', 6, 1e3)} AS w FROM st")
 _EV = "ev AS (SELECT user_id AS src, event_type AS t, count(*)::DOUBLE AS w FROM events GROUP BY 1, 2)"
-_add("stochastic_events", lambda spark, sf: _round(graph.make_stochastic(user_events(spark, sf)).groupBy("src").agg(F.max("w").alias("most"), F.sum("w").alias("total")), "most", "total"), f"WITH {_EV} SELECT src, {_r('max(w) / sum(w)')} AS most, 1.0::DOUBLE AS total FROM ev GROUP BY src")
+_add("stochastic_events", lambda spark, sf: _round(graph.make_stochastic(user_events(spark, sf)).groupBy("src").agg(F.max("w").alias("most"), F.sum("w").alias("total")), "most", "total"), f"WITH {_EV} SELECT src, {_r('max(p)')} AS most, {_r('sum(p)')} AS total FROM (SELECT src, w / sum(w) OVER (PARTITION BY src) AS p FROM ev) GROUP BY src")
 _add("stochastic_count", lambda spark, sf: graph.stochastic_count(graph.make_stochastic(bought_together(spark, sf))), f"WITH {ST} SELECT count(*) AS n_stochastic FROM (SELECT src, sum(w) AS s FROM st GROUP BY 1) WHERE abs(s - 1) <= 1e-12")
 _add("symmetrize", lambda spark, sf: _round(graph.symmetrize(graph.make_stochastic(bought_together(spark, sf))), "w", scale=1e3), f"WITH {SY} SELECT src, dst, {_r('w', 6, 1e3)} AS w FROM sy")
 _add("symmetric_half", lambda spark, sf: _round(graph.symmetric_half(graph.make_stochastic(bought_together(spark, sf))), "w", scale=1e3), f"WITH {SY} SELECT src, dst, {_r('w / 2', 6, 1e3)} AS w FROM sy")
 _add("symmetric_keep_diagonal", lambda spark, sf: graph.symmetric_keep_diagonal(bought(spark, sf)), f"WITH {BU} SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM bu UNION ALL SELECT dst, src, w FROM bu WHERE src <> dst) GROUP BY 1, 2")
-_add("normalize_joint", lambda spark, sf: _round(part_joint(spark, sf), "w", scale=1e6), f"WITH {PJ} SELECT src, dst, {_r('w', 6, 1e6)} AS w FROM pj")
+_add("normalize_joint", lambda spark, sf: _round(part_joint(spark, sf), "w", scale=1e6), f"WITH {SY.replace('sy AS (', 'sy AS MATERIALIZED (')}, tt AS MATERIALIZED (SELECT sum(w) AS total FROM sy) SELECT src, dst, {_r('w / total', 6, 1e6)} AS w FROM sy, tt")
 _add("one_way_edges", lambda spark, sf: graph.one_way(knn(spark, sf).select("src", "dst")), f"WITH {KN} SELECT src, dst FROM kn WHERE NOT EXISTS (SELECT 1 FROM kn r WHERE r.src = kn.dst AND r.dst = kn.src)")
-_THIRD = "src % 3 = 0 AND dst % 3 = 0"
-_add("isolated_vertices", lambda spark, sf: graph.isolated(_table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), bought(spark, sf).where(_THIRD)), f"WITH {BU}, th AS (SELECT * FROM bu WHERE {_THIRD}) SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT src FROM th) AND c_custkey NOT IN (SELECT dst FROM th)")
+_add(
+    "isolated_vertices",
+    lambda spark, sf: graph.isolated(_table(spark, sf, "customer").select((2 * F.col("c_custkey")).alias("id")).unionByName(parts(spark, sf).select((2 * F.col("id") + 1).alias("id"))), _largest(spark, sf)),
+    "WITH li AS (SELECT 2 * o_custkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50), ve AS (SELECT 2 * c_custkey AS id FROM customer UNION ALL SELECT 2 * p_partkey + 1 FROM part) SELECT id FROM ve WHERE id NOT IN (SELECT src FROM li) AND id NOT IN (SELECT dst FROM li)",
+)
+
+
+def _largest(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers (even numbers) and parts (odd ones) of the lines with the largest quantity."""
+    orders = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (2 * F.col("o_custkey")).alias("src"))
+    return _table(spark, sf, "lineitem").where("l_quantity >= 50").join(orders, "l_orderkey").select("src", (2 * F.col("l_partkey") + 1).alias("dst"))
+
+
 _add("upper_triangle", lambda spark, sf: graph.upper(bought_together(spark, sf)), f"WITH {CO} SELECT * FROM co WHERE src >= dst")
 _add("transpose", lambda spark, sf: graph.transpose(bought(spark, sf)), f"WITH {BU} SELECT dst AS src, src AS dst, w FROM bu")
 _add("relabel", lambda spark, sf: graph.relabel(bought_together(spark, sf), parts(spark, sf).select(F.col("id").alias("old"), (F.col("id") * 7919 + 13).alias("new"))), f"WITH {CO} SELECT src * 7919 + 13 AS src, dst * 7919 + 13 AS dst, w FROM co JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey")
@@ -284,6 +312,15 @@ UNION ALL SELECT src, n + 1, g, lo, hi, list_sum(list_transform(a, lambda x: exp
 ga AS (SELECT src, arg_max(g, n) AS g FROM it GROUP BY src)"""
 
 
+def _sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one order whose quantities add up to 95 and more, with the sum: many parts have one such neighbour alone."""
+    rows = _table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    pairs = rows.withColumnRenamed("l_partkey", "src").join(rows.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("q").alias("r")), "l_orderkey")
+    return pairs.where("src <> dst AND q + r >= 95").groupBy("src", "dst").agg(F.sum(F.col("q") + F.col("r")).alias("w"))
+
+
+_SPARSE_ST = "lq AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), sp AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, sum(a.q + b.q) AS w FROM lq a JOIN lq b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.q + b.q >= 95 GROUP BY 1, 2), st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM sp)"
+
 for _lam in (0.5, 2.0, 10.0):
     _name = f"{_lam:g}".replace(".", "_")
     _add(f"rescaling_exponent_{_name}", lambda spark, sf, lam=_lam: _round(graph.rescaling(graph.make_stochastic(bought_together(spark, sf)), lam).select("src", "g"), "g", digits=5), f"{_rescaling_sql(_lam)} SELECT src, {_r('g', 5)} AS g FROM ga")
@@ -291,7 +328,11 @@ _add("rescale_10", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(
 _add("rescale_distances", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 10.0, distances=True), "w", digits=4, scale=1e3), f"{_rescaling_sql(10.0, 'w')} SELECT src, dst, {_r('exp(-g * w) / sum(exp(-g * w)) OVER (PARTITION BY src)', 4, 1e3)} AS w FROM st JOIN ga USING (src)")
 _add("rescale_1", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(bought_together(spark, sf)), 1, drop_leaf=True), "w", scale=1e3), f"WITH {ST} SELECT src, dst, {_r('w', 6, 1e3)} AS w FROM st")
 _add("rescaling_of_hubs", lambda spark, sf: _round(graph.rescaling_of_hubs(graph.make_stochastic(bought_together(spark, sf)).select("src", (-F.ln("w")).alias("d")), 10.0).select("src", "g"), "g", digits=5), f"{_rescaling_sql(10.0)} SELECT src, {_r('g', 5)} AS g FROM ga")
-_add("rescale_drop_leaf", lambda spark, sf: _round(graph.rescale(graph.make_stochastic(user_events(spark, sf).groupBy("src", "dst").agg(F.sum("w").alias("w"))), 2.0, drop_leaf=True).groupBy("src").agg(F.sum("w").alias("total")), "total"), f"WITH {_EV} SELECT src, CASE WHEN count(*) = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS total FROM ev GROUP BY src")
+_add(
+    "rescale_drop_leaf",
+    lambda spark, sf: _round(graph.rescale(graph.make_stochastic(_sparse(spark, sf)), 2.0, drop_leaf=True), "w", digits=4, scale=1e3),
+    f"{_rescaling_sql(2.0).replace(ST, _SPARSE_ST)} SELECT src, dst, {_r('CASE WHEN count(*) OVER (PARTITION BY src) = 1 THEN 0 ELSE exp(g * ln(w)) / sum(exp(g * ln(w))) OVER (PARTITION BY src) END', 4, 1e3)} AS w FROM st JOIN ga USING (src)",
+)
 
 # --- linear algebra --------------------------------------------------------------------------------------------------
 _V = "v AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey::DOUBLE AS z FROM customer)"
@@ -329,7 +370,18 @@ _add("differing", lambda spark, sf: linalg.differing(_part_vector(spark, sf), _p
 _add("permute", lambda spark, sf: linalg.permute(_part_vector(spark, sf), _mapping(spark, sf)), f"WITH {_PV}, {_MAP} SELECT new AS id, x FROM pv JOIN mp ON id = old")
 _add("first_dimensions", lambda spark, sf: linalg.first_dimensions(points(spark, sf), 3).select("id", *[(F.round(F.col("x")[k], 6) + 0.0).alias(f"x{k}") for k in range(3)]), "SELECT vec_id AS id, " + ", ".join(f"{_r(f'embedding[{k + 1}]::DOUBLE')} AS x{k}" for k in range(3)) + " FROM embeddings")
 _add("dense_corner", lambda spark, sf: linalg.dense(bought_together(spark, sf), 40, 6), f"WITH {CO} SELECT dst, " + ", ".join(f"sum(CASE WHEN src = {k} THEN w ELSE 0 END) AS c{k}" for k in range(6)) + " FROM co WHERE dst < 40 AND src < 6 GROUP BY dst")
-_add("top_level", lambda spark, sf: linalg.top_level(bought_together(spark, sf), 6, 4), f"WITH {CO} SELECT src >> 6 AS bi, " + ", ".join(f"count(CASE WHEN dst >> 6 = {k} THEN 1 END) AS b{k}" for k in range(4)) + " FROM co GROUP BY 1")
+_add(
+    "top_level",
+    lambda spark, sf: linalg.top_level(bought_together(spark, sf), _block_bits(parts(spark, sf).count()), 16),
+    f"WITH {CO}, bt AS (SELECT ceil(log2(greatest(count(*), 16) / 16.0))::INT AS bits FROM part) SELECT src >> bits AS bi, " + ", ".join(f"count(CASE WHEN dst >> bits = {k} THEN 1 END) AS b{k}" for k in range(16)) + " FROM co, bt GROUP BY 1",
+)
+
+
+def _block_bits(n: int) -> int:
+    """Bits of an id inside a block where n ids make at most 16 blocks."""
+    return math.ceil(math.log2(max(n, 16) / 16))
+
+
 _add("banded_spmm", lambda spark, sf: _round(linalg.spmv(graph.banded_symmetric(parts(spark, sf), 4, 1), _part_vector(spark, sf).withColumn("z", F.col("id") % 10 + 0.5), "x", "z"), "x", "z"), f"WITH {_PV}, ba AS (SELECT src, dst, 0.5 + {_uniform_sql(1, 'least(src, dst)', 'greatest(src, dst)')} AS w FROM ({_PT1} <= 4)) SELECT dst AS id, {_r('sum(w * x)')} AS x, {_r('sum(w * (id % 10 + 0.5))')} AS z FROM ba JOIN pv ON src = id GROUP BY dst")
 _add("vectors", lambda spark, sf: _round(linalg.axpy(linalg.vector(parts(spark, sf), "random", 3), graph.banded(parts(spark, sf), 2), linalg.vector(parts(spark, sf), "iota")).join(linalg.vector(parts(spark, sf), 1).withColumnRenamed("x", "one"), "id"), "x"), f"SELECT a.p_partkey AS id, {_r(_uniform_sql(3, 'a.p_partkey') + ' + sum(b.p_partkey / (1.0 + abs(a.p_partkey - b.p_partkey)))')} AS x, 1.0::DOUBLE AS one FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 2 GROUP BY a.p_partkey")
 _add("running_sums", lambda spark, sf: linalg.running_sums(_part_vector(spark, sf), 64), f"WITH {_PV} SELECT id, sum(x) OVER (ORDER BY id) AS x FROM pv")
@@ -468,12 +520,15 @@ _SHORT = Params(max_iter=2, step=_COARSE)
 _add("embed_points", lambda spark, sf: _round(api.embed_points(points(spark, sf), U, _SHORT, _vectors(spark, sf)), "y0", "y1", "cost", digits=4), _steps_sql(f"{_PN}, {_YV}", 2, _SHORT, True, cost=True, recursive=True))
 _add("embed_graph", lambda spark, sf: _round(api.embed_graph(bought_together(spark, sf), _SHORT, parts(spark, sf), placed(parts(spark, sf), 2)), "y0", "y1", "cost", digits=4), _steps_sql(f"{PJ.replace('pj AS (', 'pj AS MATERIALIZED (')}, {_YP}", 2, _SHORT, True, cost=True))
 _add("embed_graph_50", lambda spark, sf: api.embed_graph(bought_together(spark, sf), Params(max_iter=50, lam=10.0), parts(spark, sf), placed(parts(spark, sf), 2)))
-_add("start", lambda spark, sf: _starts(descent.start(parts(spark, sf), Params(dims=3))), "SELECT count(*) AS n, true AS small, true AS centred, true AS spread FROM part")
+def _normal_sql(seed: int, key: str, k: int) -> str:
+    return f"sqrt(-2 * ln(1 - {_uniform_sql(seed, key, str(2 * k))})) * cos(2 * pi() * {_uniform_sql(seed, key, str(2 * k + 1))})"
 
 
-def _starts(y: DataFrame) -> DataFrame:
-    """Whether start coordinates look normal with a deviation of 1e-4."""
-    return y.agg(F.count("*").alias("n"), (F.max(F.greatest(*[F.abs(f"y{k}") for k in range(3)])) < 7e-4).alias("small"), (F.abs(F.avg("y0")) < 2e-5).alias("centred"), F.stddev("y1").between(0.8e-4, 1.2e-4).alias("spread"))
+_add(
+    "start",
+    lambda spark, sf: _round(descent.start(parts(spark, sf), Params(dims=3), 5), "y0", "y1", "y2", scale=1e4),
+    "SELECT p_partkey AS id, " + ", ".join(_r(_normal_sql(5, "p_partkey", k)) + f" AS y{k}" for k in range(3)) + " FROM part",
+)
 
 
 def _gradient_service(spark: SparkSession, sf: str) -> DataFrame:
