@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.operators import blocks
+
 FLT_MIN = 1.1754943508222875e-38
 #: Points that repulse_exact() takes: all pairs of them are compared.
 EXACT_POINTS = 20_000
@@ -89,19 +91,9 @@ def cells(coords: DataFrame, low: list[float], extent: float, n: int) -> DataFra
     return out
 
 
-def _spread(placed: DataFrame, d: int, smooth: bool = False) -> DataFrame:
-    """A row for each of the 4^d cells around a point: g0.. and the weight."""
-    out, weight = placed, F.lit(1.0)
-    for k in range(d):
-        out = out.select("*", F.posexplode(F.array(*weights(F.col(f"t{k}"), smooth))).alias(f"o{k}", f"w{k}")).withColumn(f"g{k}", F.col(f"c{k}") + F.col(f"o{k}"))
-        weight = weight * F.col(f"w{k}")
-    return out.withColumn("weight", weight)
-
-
 def scatter(placed: DataFrame, d: int, smooth: bool = False) -> DataFrame:
     """Grid cells with the charges 1, z0, .. of the points around them."""
-    charges = [F.lit(1.0), *[F.col(f"z{k}") for k in range(d)]]
-    return _spread(placed, d, smooth).groupBy(*[f"g{k}" for k in range(d)]).agg(*[F.sum(F.col("weight") * c).alias(f"v{m}") for m, c in enumerate(charges)])
+    return blocks.scatter(blocks.dealt(placed, d), d, smooth)
 
 
 #: Cells of a grid that convolve_cells() takes, and sends to every executor.
@@ -148,6 +140,10 @@ def convolve_fft(values: np.ndarray, h: float) -> np.ndarray:
     return out
 
 
+#: Cells of a grid that one task convolves.
+ONE_TASK_CELLS = 1 << 21
+
+
 def convolve_grid(grid: DataFrame, d: int, n: int, h: float) -> DataFrame:
     """The grid convolved by convolve_fft(), in one task on an executor: its size has a bound, whatever that of the data."""
     names = [f"g{k}" for k in range(d)]
@@ -165,18 +161,19 @@ def convolve_grid(grid: DataFrame, d: int, n: int, h: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cells_] + [pa.array(out[m, own]) for m in range(d + 1)], names + [f"phi{m}" for m in range(d + 1)])
 
     kind = ", ".join([f"{c} int" for c in names] + [f"phi{m} double" for m in range(d + 1)])
-    return grid.coalesce(1).mapInArrow(run, kind)
+    return grid.repartition(1).mapInArrow(run, kind)
 
 
-def repulse_grid(coords: DataFrame, step: float, by_cells: bool = False) -> DataFrame:
-    """id, forces and zeta by the grid (at most 512 cells a side): its convolution is one task, or, by cells, a join. The
-    potentials return to the points by a join on their cells."""
+def repulse_grid(coords: DataFrame, step: float, by_cells: bool = False, by_planes: bool = False) -> DataFrame:
+    """id, forces and zeta by the grid (at most 512 cells a side): those of at most ONE_TASK_CELLS are convolved in one
+    task, others, and with by_planes all, by planes, or, by cells, in a join. Points and potentials meet by blocks of cells."""
     d = dims(coords)
     low, extent, n, h = grid_of(coords, step)
-    placed = cells(coords, low, extent, n)
-    grid = scatter(placed, d)
-    phi = convolve_cells(grid, d, n, h) if by_cells else convolve_grid(grid, d, n, h)
-    got = _spread(placed, d).join(phi, [f"g{k}" for k in range(d)]).groupBy("id", *[f"z{k}" for k in range(d)]).agg(*[F.sum(F.col("weight") * F.col(f"phi{m}")).alias(f"phi{m}") for m in range(d + 1)])
+    points = blocks.dealt(cells(coords, low, extent, n), d)
+    grid = blocks.scatter(points, d)
+    by_planes = d > 1 and (by_planes or (n + 2) ** d > ONE_TASK_CELLS)
+    phi = convolve_cells(grid, d, n, h) if by_cells else blocks.convolve_planes(grid, d, n, h) if by_planes else convolve_grid(grid, d, n, h)
+    got = blocks.gather(points, phi, d)
     norm = sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(d)), F.lit(0.0))
     inner = sum((F.col(f"z{k}") * F.col(f"phi{k + 1}") for k in range(d)), F.lit(0.0))
     zeta = got.agg((F.sum((1 + 2 * norm) * F.col("phi0") - 2 * inner) - F.count("*")).alias("zeta"))

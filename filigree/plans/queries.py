@@ -411,9 +411,8 @@ for _d in (1, 2, 3):
     _add(f"repulse_exact_{_d}d", lambda spark, sf, d=_d, f=tuple(_f): _round(_round(forces.repulse_exact(placed(suppliers(spark, sf), d)), *f, scale=1e4), "zeta", digits=4), f"WITH {_YS}, {_repulse_sql(_d)} SELECT id, {_r('zeta', 4)} AS zeta, " + ", ".join(f"{_r(c, 6, 1e4)} AS {c}" for c in _f) + " FROM push")
 
 
-def _grid_sql(d: int, smooth: bool = False) -> str:
-    """Cells, scattered charges, their convolution and the potentials at the points, for 14 cells a side."""
-    n = 14
+def _grid_sql(d: int, smooth: bool = False, n: int = 14) -> str:
+    """Cells, scattered charges, their convolution and the potentials at the points, for n cells a side."""
     eps = 2.220446049250313e-16
     h = f"((SELECT extent FROM ex) / ({n} - 1 - {eps}))"
     lows = ", ".join(f"min(y{k}) AS m{k}" for k in range(d))

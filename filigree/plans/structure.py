@@ -205,3 +205,13 @@ def _solution(spark: SparkSession, sf: str) -> DataFrame:
 LA = f"{ME}, la AS (SELECT a AS src, b AS dst, -1.0 AS w FROM sy UNION ALL SELECT p_partkey, p_partkey, 1.0 + (SELECT count(*) FROM sy WHERE a = p_partkey) FROM part)"
 _add("cholesky_product", _product, f"WITH {LA} SELECT src, dst, {_r('w', 8)} AS w FROM la")
 _add("cholesky_solve", _solution, f"SELECT p_partkey AS id, {_r('sin(1.7 * p_partkey)', 8)} AS x FROM part")
+
+
+# --- grids of more cells ---------------------------------------------------------------------------------------------
+#: Dimensions, step and the cells a side that follow from it, and whether planes of the grid are convolved apart.
+for _name, _d, _step, _n, _planes in (("repulse_grid_26_2d", 2, 0.08, 26, False), ("repulse_planes_2d", 2, 0.08, 26, True), ("repulse_planes_3d", 3, 0.12, 18, True)):
+    _add(
+        _name,
+        lambda spark, sf, d=_d, step=_step, planes=_planes: _forces(forces.repulse_grid(base.placed(base.suppliers(spark, sf), d), step, by_planes=planes), d),
+        f"WITH {_y_sql('supplier', 's_suppkey')}, {base._grid_sql(_d, n=_n)}, push AS (SELECT id, zeta, " + ", ".join(f"(z{k} * phi0 - phi{k + 1}) / zeta AS f{k}" for k in range(_d)) + f" FROM po, ze) {_forces_sql(_d)}",
+    )

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from filigree import api
-from filigree.operators import descent, elimination, factor, graph, ordering, state, strong, treecode
+from filigree.operators import blocks, descent, elimination, factor, forces, graph, ordering, state, strong, treecode
 from filigree.params import Params
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +94,43 @@ def ids_frame(spark, n):
     return spark.range(n).select("id")
 
 
+# --- grids -----------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize(("d", "n"), [(2, 18), (3, 14)])
+def test_planes_convolve_like_one_task(spark, d, n):
+    """In chunks of three lines, from cells of which some are not there."""
+    v = np.random.default_rng(d).normal(size=(d + 1, *[n + 2] * d))
+    v[:, 3] = 0
+    want = forces.convolve_fft(v, 0.37)
+    at = np.indices([n + 2] * d).reshape(d, -1)
+    cells = pd.DataFrame({f"g{k}": at[k].astype(np.int32) for k in range(d)} | {f"v{m}": v[m].ravel() for m in range(d + 1)})
+    line = (d + 2) * (n + 2) * 16 * (n + 2 if d == 3 else 1)
+    got = blocks.convolve_planes(spark.createDataFrame(cells[cells.g0 != 3]), d, n, 0.37, 3 * line).toPandas()
+    out = np.zeros_like(want)
+    for m in range(d + 1):
+        out[m][tuple(got[f"g{k}"] for k in range(d))] = got[f"phi{m}"]
+    assert len(got) == (n + 2) ** d and np.abs(out - want).max() < 1e-12
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_blocks_meet_at_their_borders(spark, d):
+    """Blocks of eight cells, a crowd of equal points dealt over groups: the same sums and potentials as from one array."""
+    y = np.random.default_rng(d).random((600, d)) * 25
+    y[:200] = y[0]
+    coords = coords_frame(spark, y)
+    low, extent, n, h = forces.grid_of(coords, 1.0)
+    placed = forces.cells(coords, low, extent, n)
+    small = blocks.dealt(placed, d, 8, 50)
+    assert small.where("way > 0").count() and small.groupBy("block", "way").count().agg({"count": "max"}).first()[0] < 120
+    phi = forces.convolve_grid(blocks.scatter(small, d, block=8), d, n, h)
+    got = blocks.gather(small, phi, d, block=8).toPandas().sort_values("id")
+    z = got[[f"z{k}" for k in range(d)]].to_numpy()
+    potentials = got[[f"phi{m}" for m in range(d + 1)]].to_numpy()
+    push, zeta = descent.repulsion(y, 1.0)
+    assert np.abs(z * potentials[:, :1] - potentials[:, 1:] - push).max() < 1e-9 * zeta
+    whole = forces.repulse_grid(coords, 1.0, by_planes=d > 1).toPandas().sort_values("id")
+    assert np.abs(whole[[f"f{k}" for k in range(d)]].to_numpy() - push / zeta).max() < 1e-12
+
+
 # --- orderings -------------------------------------------------------------------------------------------------------
 def brute_elimination(n, pairs):
     """Parents and column counts by elimination."""
