@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from filigree.operators.state import counted, discard, written
 
 #: Vertices of a part that is dissected as one group.
-PART = 2048
+PART = 8192
 #: Vertices of a part that its coarsest graph should have, and levels after which it is taken as it is.
 COARSEST, LEVELS = 256, 60
 #: Vertices of a part that is not cut any more.

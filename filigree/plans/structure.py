@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators import elimination, factor, forces, graph, linalg, ordering, strong, treecode
+from filigree.operators import elimination, factor, forces, graph, leastsquares, linalg, ordering, spatial, strong, treecode
 from filigree.operators.state import written
 from filigree.plans import queries as base
 from filigree.plans.queries import PJ, _attract_sql, _r, _round, _y_sql
@@ -215,3 +215,59 @@ for _name, _d, _step, _n, _planes in (("repulse_grid_26_2d", 2, 0.08, 26, False)
         lambda spark, sf, d=_d, step=_step, planes=_planes: _forces(forces.repulse_grid(base.placed(base.suppliers(spark, sf), d), step, by_planes=planes), d),
         f"WITH {_y_sql('supplier', 's_suppkey')}, {base._grid_sql(_d, n=_n)}, push AS (SELECT id, zeta, " + ", ".join(f"(z{k} * phi0 - phi{k + 1}) / zeta AS f{k}" for k in range(_d)) + f" FROM po, ze) {_forces_sql(_d)}",
     )
+
+
+# --- blocks by a tree over space -------------------------------------------------------------------------------------
+#: Positions of a leaf, and the blocks in SQL: the tree's leaves, small ones under their parent, by the cells' numbers in each dimension.
+_LEAF = 24
+_SMALL = f"(l > 0 AND 4 * k <= {_LEAF})"
+BK = f"""{_tree_sql(2, 0.5, _LEAF).split(", le AS")[0].split("le AS")[0].rstrip().rstrip(",")},
+lf AS (SELECT l, g0, g1, {_SMALL} AS merged FROM no WHERE NOT opens),
+bk AS (SELECT id, l - merged::INT AS level, g0 >> merged::INT AS g0, g1 >> merged::INT AS g1, merged FROM y JOIN ce USING (y0, y1) JOIN lf ON c0 >> ({treecode.DEPTH} - l) = g0 AND c1 >> ({treecode.DEPTH} - l) = g1)"""
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.blocks(base.placed(base.parts(spark, sf), 2), _LEAF)
+
+
+def _unwoven(cell: str, k: int) -> F.Column:
+    """The bits of one dimension in a cell's code."""
+    return sum((F.shiftleft(F.shiftright(cell, 2 * b + k).bitwiseAND(F.lit(1).cast("long")), b) for b in range(treecode.DEPTH)), F.lit(0).cast("long"))
+
+
+_add("spatial_blocks", lambda spark, sf: _blocks(spark, sf).select("id", "level", _unwoven("cell", 0).alias("g0"), _unwoven("cell", 1).alias("g1"), "merged"), f"WITH {_y_sql('part', 'p_partkey')}, {BK} SELECT id, level, g0, g1, merged FROM bk")
+_add("spatial_order", lambda spark, sf: spatial.spatial_order(base.placed(base.parts(spark, sf), 2), _LEAF))
+_add(
+    "block_pairs",
+    lambda spark, sf: spatial.block_pairs(base.bought_together(spark, sf), _blocks(spark, sf)).select("src_level", _unwoven("src_cell", 0).alias("src_g0"), _unwoven("src_cell", 1).alias("src_g1"), "src_merged", "dst_level", _unwoven("dst_cell", 0).alias("dst_g0"), _unwoven("dst_cell", 1).alias("dst_g1"), "dst_merged", "nnz"),
+    f"WITH {base.CO}, {_y_sql('part', 'p_partkey')}, {BK} SELECT "
+    + ", ".join(f"{t}.{x} AS {c}_{x}" for t, c in (("a", "src"), ("b", "dst")) for x in ("level", "g0", "g1", "merged"))
+    + ", count(*) AS nnz FROM co JOIN bk a ON src = a.id JOIN bk b ON dst = b.id GROUP BY ALL",
+)
+
+
+# --- least squares ---------------------------------------------------------------------------------------------------
+def _gram(spark: SparkSession, sf: str) -> DataFrame:
+    """R'R of the embeddings, which is their Gram matrix."""
+    r = leastsquares.tall_factor(base.points(spark, sf))
+    whole = r.T @ r
+    return _round(spark.createDataFrame([(i, j, float(whole[i, j])) for i in range(len(r)) for j in range(len(r))], "i long, j long, v double"), "v")
+
+
+def _dense_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = base.points(spark, sf).withColumn("y", F.aggregate(F.transform("x", lambda v, k: v * F.sin(k + 1.0)), F.lit(0.0), lambda s, v: s + v))
+    c = leastsquares.fit_dense(rows)
+    return _round(spark.createDataFrame([(k, float(v)) for k, v in enumerate(c)], "k long, c double"), "c")
+
+
+def _sparse_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """A tall matrix: the shifted Laplacian of the mesh, and below it the identity; the right side is that of sin(1.7 id)."""
+    edges, ids = _mesh(spark, sf)
+    matrix = factor.laplacian(edges, ids, 8.0).unionByName(ids.select(F.col("id").alias("src"), (-1 - F.col("id")).alias("dst"), F.lit(1.0).alias("w")))
+    matrix = written(matrix, "system")
+    return _round(leastsquares.fit_sparse(matrix, linalg.spmv(matrix, ids.select("id", F.sin(1.7 * F.col("id")).alias("x"))), 1e-12), "x", digits=5)
+
+
+_add("tall_factor", _gram, f"WITH pt AS (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT a.k AS i, b.k AS j, {_r('sum(a.v * b.v)')} AS v FROM pt a JOIN pt b USING (id) GROUP BY 1, 2")
+_add("fit_dense", _dense_fit, f"SELECT k, {_r('sin(k + 1.0)')} AS c FROM (SELECT DISTINCT generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)")
+_add("fit_sparse", _sparse_fit, f"SELECT p_partkey AS id, {_r('sin(1.7 * p_partkey)', 5)} AS x FROM part")
