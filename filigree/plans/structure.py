@@ -11,6 +11,7 @@ from filigree.operators import elimination, factor, forces, graph, leastsquares,
 from filigree.operators.state import written
 from filigree.plans import queries as base
 from filigree.plans.queries import PJ, _attract_sql, _r, _round, _y_sql
+from filigree.sources import files, matlab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -271,3 +272,16 @@ def _sparse_fit(spark: SparkSession, sf: str) -> DataFrame:
 _add("tall_factor", _gram, f"WITH pt AS (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT a.k AS i, b.k AS j, {_r('sum(a.v * b.v)')} AS v FROM pt a JOIN pt b USING (id) GROUP BY 1, 2")
 _add("fit_dense", _dense_fit, f"SELECT k, {_r('sin(k + 1.0)')} AS c FROM (SELECT DISTINCT generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)")
 _add("fit_sparse", _sparse_fit, f"SELECT p_partkey AS id, {_r('sin(1.7 * p_partkey)', 5)} AS x FROM part")
+
+
+# --- sparse matrices of MATLAB files ---------------------------------------------------------------------------------
+def _mat_sparse(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """Customers and parts through a sparse matrix inside a structure."""
+    rows = base.bought(spark, sf).orderBy("src", "dst").toPandas()
+    shape = (int(rows.dst.max()) + 1, int(rows.src.max()) + 1)
+    own = matlab.sparse_element("", shape, rows.src.to_numpy(), rows.dst.to_numpy(), rows.w.to_numpy())
+    files._put(spark, path, matlab.mat_of([matlab.container_element("graph", {"bought": own})]))
+    return matlab.read_mat_sparse(spark, path, "graph.bought")
+
+
+base._file_query("file_mat_sparse", "sparse.mat")(_mat_sparse, f"WITH {base.BU} SELECT * FROM bu")

@@ -7,11 +7,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from filigree import api
-from filigree.operators import blocks, descent, elimination, factor, forces, graph, ordering, state, strong, treecode
+from filigree.operators import blocks, descent, elimination, factor, forces, graph, leastsquares, ordering, spatial, state, strong, treecode
 from filigree.params import Params
+from filigree.sources import files, matlab
 
 SF = "/root/testdata/sf0.001"
 
@@ -280,7 +282,66 @@ def test_long_alternating_ways(spark, monkeypatch):
     assert got.count() == 13
 
 
-@pytest.mark.parametrize("name", ["repulse_tree_1d", "repulse_tree_exact", "strong_components", "maximum_matching", "dulmage_mendelsohn", "elimination_tree", "column_counts", "dissection_facts", "cholesky_solve"])
+# --- least squares, blocks over space, sparse files --------------------------------------------------------------------
+def test_tall_factors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6))
+    points = spark.createDataFrame(pd.DataFrame({"id": range(500), "x": x.tolist(), "y": (x @ np.arange(6.0) + 0.1 * rng.normal(size=500)).tolist()})).repartition(7)
+    r = leastsquares.tall_factor(points)
+    assert np.allclose(np.triu(r), r) and (np.diag(r) >= 0).all() and np.abs(r.T @ r - x.T @ x).max() < 1e-9
+    y = points.orderBy("id").toPandas().y.to_numpy()
+    assert np.abs(leastsquares.fit_dense(points) - np.linalg.lstsq(x, y, rcond=None)[0]).max() < 1e-10
+    few = leastsquares.tall_factor(points.where("id < 2"))
+    assert few.shape == (6, 6) and np.abs(few.T @ few - x[:2].T @ x[:2]).max() < 1e-12
+    assert leastsquares.tall_factor(points.where("id < 0")) is None and len(leastsquares.fit_dense(points.withColumn("y", F.lit(None).cast("double")))) == 0
+
+
+def test_sparse_least_squares(spark):
+    """An overdetermined matrix with a repeated entry; the residual is normal to its columns, and rows that b lacks count as 0."""
+    rng = np.random.default_rng(3)
+    e = pd.DataFrame({"src": rng.integers(0, 12, 120), "dst": rng.integers(0, 40, 120), "w": rng.normal(size=120)})
+    a = np.zeros((40, 12))
+    np.add.at(a, (e.dst, e.src), e.w)
+    b = np.where(np.arange(40) < 35, rng.normal(size=40), 0)
+    got = leastsquares.fit_sparse(spark.createDataFrame(e), spark.createDataFrame(pd.DataFrame({"id": range(35), "x": b[:35]})), 1e-11).toPandas().sort_values("id")
+    assert np.abs(got.x.to_numpy() - np.linalg.lstsq(a, b, rcond=None)[0]).max() < 1e-7
+    assert leastsquares.fit_sparse(spark.createDataFrame(e).where("src < 0"), spark.createDataFrame([(1, 2.0)], "id long, x double")).count() == 0
+
+
+def test_blocks_hold_few_points_however_they_crowd(spark):
+    rng = np.random.default_rng(5)
+    y = np.concatenate([rng.random((300, 2)), rng.random((300, 2)) * 1e-4 + 0.5])
+    y[:5] = y[5]
+    coords = coords_frame(spark, y)
+    got = spatial.blocks(coords, 20).toPandas()
+    places = got.assign(y0=y[got.id, 0], y1=y[got.id, 1]).drop_duplicates(["y0", "y1"])
+    assert len(got) == 600 and places.groupby(["level", "cell", "merged"]).size().max() <= 20
+    order = spatial.spatial_order(coords, 20).toPandas().sort_values("position")
+    assert order.position.tolist() == list(range(600)) and (order.block != order.block.shift()).sum() == order.block.nunique() == got.groupby(["level", "cell", "merged"]).ngroups
+    assert spatial.blocks(coords.limit(0), 20).count() == 0
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_sparse_matlab_files(spark, tmp_path, monkeypatch, compressed):
+    """Sparse matrices by themselves, in a structure and in a cell in it, read by ranges (or, compressed, whole)."""
+    monkeypatch.setattr(matlab, "RECORD", 64)
+    rng = np.random.default_rng(6)
+    made = {}
+    for name, m, n in (("A", 40, 30), ("S.first", 5, 7), ("S.second{1}", 90, 60)):
+        e = np.array(sorted({(int(c), int(r)) for c, r in zip(rng.integers(0, n, 150), rng.integers(0, m, 150), strict=True)}))
+        made[name] = ((m, n), e[:, 0], e[:, 1], rng.normal(size=len(e)))
+    inner = {"first": matlab.sparse_element("", *made["S.first"]), "second": matlab.container_element("", [matlab.sparse_element("", *made["S.second{1}"])])}
+    whole = matlab.mat_of([files.mat_file({"full": np.eye(3)}, False)[128:], matlab.sparse_element("A", *made["A"]), matlab.container_element("S", inner)], compressed)
+    (tmp_path / "x.mat").write_bytes(whole)
+    for name, (_, columns, rows, values) in made.items():
+        got = sorted(map(tuple, matlab.read_mat_sparse(spark, str(tmp_path / "x.mat"), name).collect()))
+        assert got == sorted(zip(columns.tolist(), rows.tolist(), values.tolist(), strict=True))
+    if not compressed:
+        with pytest.raises(ValueError, match="no sparse matrix B"):
+            matlab.read_mat_sparse(spark, str(tmp_path / "x.mat"), "B")
+
+
+@pytest.mark.parametrize("name", ["repulse_tree_1d", "repulse_tree_exact", "strong_components", "maximum_matching", "dulmage_mendelsohn", "elimination_tree", "column_counts", "dissection_facts", "cholesky_solve", "spatial_blocks", "tall_factor", "file_mat_sparse"])
 def test_sql_twin(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
