@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,19 +120,61 @@ def prepared(points: DataFrame, metric: Metric) -> tuple[DataFrame, Metric]:
     return points, metric
 
 
-def knn_exact(points: DataFrame, k: int, metric: Metric = "sqeuclidean") -> DataFrame:
-    """src, dst, rank (0: nearest other point) and d by all pairs, in blocks; ties by dst. It takes any number of points,
-    at a cost that grows with its square."""
-    return knn_blocks(points, points, k, metric)
+#: Points of a group's side that are compared at once, and bytes of vectors that a group should have at most.
+ROWS_AT_ONCE, COLUMNS_AT_ONCE, GROUP_BYTES = 1024, 8192, 1 << 26
+
+
+def _best(d: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int) -> pa.RecordBatch:
+    """src, dst and d of the k least of each row of distances, with all that tie with the last."""
+    d = np.where(src[:, None] == dst[None, :], np.inf, d)
+    near = np.isfinite(d)
+    if k < d.shape[1]:
+        near &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    own, best = np.nonzero(near)
+    return pa.RecordBatch.from_arrays([pa.array(src[own]), pa.array(dst[best]), pa.array(d[own, best])], ["src", "dst", "d"])
+
+
+def knn_exact(points: DataFrame, k: int, metric: Metric = "sqeuclidean", groups: int | None = None) -> DataFrame:
+    """src, dst, rank (0: nearest other point) and d by all pairs; ties by dst. It takes any number of points, at a cost that
+    grows with its square. Points are dealt into groups, and each unordered pair of groups is one task, so a vector is
+    sent as often as there are groups (the root of the number of tasks), and a distance that is the same both ways is made once."""
+    rows, metric = prepared(points, metric)
+    rows = rows.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x"))
+    if groups is None:
+        seen = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+        tasks = rows.sparkSession.sparkContext.defaultParallelism
+        groups = max(math.ceil(math.sqrt(2 * tasks)), -(-seen.n * 8 * max(1, seen.d or 1) // GROUP_BYTES), 1)
+    both_ways = callable(metric)  # it need not be symmetric
+
+    def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("id")
+        own = table.column("own").to_numpy()
+        ids = table.column("id").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        low, high = key[0].as_py(), key[1].as_py()
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        for r in range(0, len(one), ROWS_AT_ONCE):
+            i = one[r : r + ROWS_AT_ONCE]
+            for c in range(0, len(two), COLUMNS_AT_ONCE):
+                j = two[c : c + COLUMNS_AT_ONCE]
+                d = block_distances(metric, x[i], x[j])
+                yield _best(d, ids[i], ids[j], k)
+                if low != high:
+                    yield _best(block_distances(metric, x[j], x[i]) if both_ways else d.T, ids[j], ids[i], k)
+
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)))
+    met = dealt.withColumn("other", F.explode(F.lit(list(range(groups))).cast("array<long>"))).select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "x")
+    found = met.groupBy("low", "high").applyInArrow(lambda key, table: pa.Table.from_batches(list(run(key, table)), _FOUND), "src long, dst long, d double")
+    return _nearest(found, k)
+
+
+_FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("d", pa.float64())])
 
 
 def knn_blocks(some: DataFrame, points: DataFrame, k: int, metric: Metric = "sqeuclidean") -> DataFrame:
-    """The k nearest points of some of them: blocks of rows meet in numpy, and the k best of each pair of blocks are merged."""
-    if some is points:
-        some = points = prepared(points, metric)[0]
-    elif isinstance(metric, str) and metric in ("seuclidean", "mahalanobis", "correlation", "spearman"):
+    """The k nearest points of a few of them: blocks of rows meet in numpy, and the k best of each pair of blocks are merged."""
+    if isinstance(metric, str) and metric in ("seuclidean", "mahalanobis", "correlation", "spearman"):
         raise ValueError(f"{metric} needs the whole table")
-    metric = {"seuclidean": "euclidean", "mahalanobis": "euclidean", "correlation": "cosine", "spearman": "cosine"}.get(metric, metric) if isinstance(metric, str) else metric
 
     def blocked(rows: DataFrame, i: str, x: str) -> DataFrame:
         seen = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
@@ -144,13 +187,7 @@ def knn_blocks(some: DataFrame, points: DataFrame, k: int, metric: Metric = "sqe
                 src, dst = (batch.column(c)[r].values.to_numpy() for c in ("i", "j"))
                 x, y = (batch.column(c)[r].values.flatten().to_numpy().reshape(n, -1) for c, n in (("x", len(src)), ("y", len(dst))))
                 d = block_distances(metric, x, y)
-                d[src[:, None] == dst[None, :]] = np.inf
-                if k < d.shape[1]:  # dst ascends, so ties are by dst; those at the edge are all kept
-                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    own, best = np.nonzero((d <= edge) & np.isfinite(d))
-                else:
-                    own, best = np.nonzero(np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(src[own]), pa.array(dst[best]), pa.array(d[own, best])], ["src", "dst", "d"])
+                yield _best(d, src, dst, k)
 
     one = blocked(some.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x")), "i", "x")
     two = blocked(points.select(F.col("id").cast("long"), F.col("x").cast("array<double>").alias("x")), "j", "y")
