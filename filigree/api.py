@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators import descent, forces, graph, neighbors
+from filigree.operators.state import discard, written
 from filigree.params import Params, check_points, check_start
 
 
@@ -36,8 +37,12 @@ def embed_graph(edges: DataFrame, params: Params = Params(), vertices: DataFrame
     descent.checked(p, coords)
     rows.unpersist()
     if on_iteration is None and params.repulsion == "grid" and descent.fits(p, coords):
-        return descent.fused(p, coords, params)
-    out = descent.with_cost(p, descent.descend(p, coords, params, on_iteration=on_iteration), params)
+        out = written(descent.fused(p, coords, params), "embedding")
+    else:
+        last = descent.descend(p, coords, params, on_iteration=on_iteration)
+        out = written(descent.with_cost(p, last, params), "embedding")
+        discard(last)
+    p.unpersist()
     return out
 
 
@@ -53,7 +58,9 @@ def embed_points(points: DataFrame, perplexity: float | None = None, params: Par
     knn = (neighbors.knn_exact if exact else neighbors.knn_approximate)(rows, neighbors.neighbour_count(u), metric)
     if metric != "sqeuclidean":
         knn = knn.withColumn("d", F.col("d") * F.col("d"))
-    return embed_graph(neighbors.perplexity_edges(knn, u), params.with_(lam=1.0), points.select("id"), y0, on_iteration)
+    out = embed_graph(neighbors.perplexity_edges(knn, u), params.with_(lam=1.0), points.select("id"), y0, on_iteration)
+    points.unpersist()
+    return out
 
 
 #: Points whose neighbours embed_points() finds by all pairs.

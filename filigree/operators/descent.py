@@ -52,7 +52,8 @@ def schedule(i: int, params: Params) -> tuple[float, float]:
 def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False, on_iteration: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """params.max_iter steps over DataFrames, for graphs of any size; forces are as params.repulsion says, or, exact, by all
     pairs. Every step's state is written, and the one before it deleted, so the disk holds two. It ends early where no gradient's absolute sum reaches params.tolerance, if there is one."""
-    edges = edges.persist()
+    held = edges.is_cached  # by the caller, who releases it
+    edges = edges if held else edges.persist()
     exact = exact or params.repulsion == "exact"
     state = written(with_state(coords), "state")
     for i in range(params.max_iter):
@@ -67,8 +68,11 @@ def descend(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = F
             on_iteration(i, state)
         if params.tolerance and (most is None or most < params.tolerance):
             break
-    edges.unpersist()
-    return state.select("id", *[f"y{k}" for k in range(params.dims)])
+    if not held:
+        edges.unpersist()
+    out = written(state.select("id", *[f"y{k}" for k in range(params.dims)]), "coordinates")
+    discard(state)
+    return out
 
 
 def with_cost(edges: DataFrame, coords: DataFrame, params: Params, exact: bool = False) -> DataFrame:

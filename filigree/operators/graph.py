@@ -60,19 +60,26 @@ CHAINED = 5
 
 def rescaling_of_hubs(rows: DataFrame, lam: float, steps: int = 100, tolerance: float = 1e-5) -> DataFrame:
     """src, g, total and degree by the same bisection, each step one sum over rows(src, d): for sources of any degree."""
-    rows = rows.select("src", "d").persist()
+    from filigree.operators.state import counted, discard, written
+
+    rows = written(rows.select("src", "d"), "hubs")
     start = rows.groupBy("src").agg(F.count("*").alias("degree"), (F.sum(F.exp(-F.col("d"))) - lam).alias("f"))
     state = start.select("src", "degree", F.lit(1.0).alias("g"), F.lit(-1000.0).alias("lo"), F.lit(None).cast("double").alias("hi"), "f")
+    kept = None
     for i in range(steps):
         if i % CHAINED == 0:
-            state = cut(state)
-            if state.where(F.abs("f") > tolerance).isEmpty():
+            last, state = kept, written(state, "exponents", F.abs("f") > tolerance)
+            kept = state
+            discard(last)
+            if not counted(state):
                 break
         more, on = F.col("f") > 0, F.abs("f") > tolerance
         g = F.when(~on, F.col("g")).when(more, F.when(F.col("hi").isNull(), F.col("g") * 2).otherwise((F.col("g") + F.col("hi")) / 2)).otherwise((F.col("lo") + F.col("g")) / 2)
         moved = state.select("src", "degree", g.alias("g"), F.when(on & more, F.col("g")).otherwise(F.col("lo")).alias("lo"), F.when(on & ~more, F.col("g")).otherwise(F.col("hi")).alias("hi"))
         state = rows.join(moved, "src").groupBy(*moved.columns).agg((F.sum(F.exp(-F.col("g") * F.col("d"))) - lam).alias("f"))
-    return state.select("src", "g", (F.col("f") + lam).alias("total"), "degree")
+    out = written(state.select("src", "g", (F.col("f") + lam).alias("total"), "degree"), "exponents")
+    discard(rows, kept)
+    return out
 
 
 def shared_folder(context) -> str:
@@ -85,12 +92,6 @@ def shared_folder(context) -> str:
     return (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()).rstrip("/")
 
 
-def cut(state: DataFrame) -> DataFrame:
-    """state without its plan, checkpointed into the shared folder."""
-    shared_folder(state.sparkSession.sparkContext)
-    return state.checkpoint()
-
-
 def rescale(edges: DataFrame, lam: float, distances: bool = False, drop_leaf: bool = False, neighbours: int | None = None) -> DataFrame:
     """Weights raised to their source's exponent and normalised to 1; zero weights stay. lam 1 changes nothing."""
     if lam == 1:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions.solvers import perplexity_beta, perplexity_beta_normalised
 from filigree.operators import graph
+from filigree.operators.state import counted, discard, written
 
 
 def _sum(x: Column) -> Column:
@@ -204,28 +206,42 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
 TREES, LEAF_ROWS = 16, 512
 
 
+def _projections(points: DataFrame, ways: np.ndarray) -> DataFrame:
+    """id, tree and p: the vector's projection on the direction that each tree has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("id").to_numpy()
+                p = batch.column("x").flatten().to_numpy().reshape(len(ids), -1) @ ways.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(ways))), pa.array(np.tile(np.arange(len(ways), dtype=np.int32), len(ids))), pa.array(p.ravel())], ["id", "tree", "p"])
+
+    return points.select("id", "x").mapInArrow(run, "id long, tree int, p double")
+
+
 def leaves(points: DataFrame, trees: int, rows: int, seed: int = 7) -> DataFrame:
     """tree, leaf, id and x: each tree halves its nodes at the distributed median of a random projection until they hold
-    at most that many rows. Copies, which no projection parts, are dealt to leaves by a hash of their id."""
+    at most that many rows. Copies, which no projection parts, are dealt to leaves by a hash of their id. A level moves ids
+    and projections alone; vectors (of unique ids) are fetched once, when the leaves are known."""
     size = (points.select(F.size("x").alias("d")).first() or [1])[0]
-    now = points.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("leaf"), "id", "x")
-    level, done = 0, None
-    while True:
+    now = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("leaf"))
+    done: list[DataFrame] = []
+    for level in range(65):
         counts = now.groupBy("tree", "leaf").agg(F.count("*").alias("rows"))
-        now = now.join(counts, ["tree", "leaf"])
-        small = now.where(F.col("rows") <= rows).drop("rows")
-        done = small if done is None else done.unionByName(small)
-        large = now.where(F.col("rows") > rows)
-        if level > 64 or large.isEmpty():
+        sized = written(now.join(counts, ["tree", "leaf"]), "nodes", F.col("rows") > rows)
+        done.append(sized)
+        discard(now)
+        if not counted(sized):
             break
-        rng = np.random.default_rng(seed + level)
-        ways = F.array(*[F.array(*map(F.lit, v)) for v in rng.normal(size=(trees, size)).tolist()])
-        large = large.withColumn("p", F.aggregate(F.zip_with("x", F.get(ways, F.col("tree")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        ways = np.random.default_rng(seed + level).normal(size=(trees, size))
+        large = sized.where(F.col("rows") > rows).select("tree", "leaf", "id").join(_projections(points, ways), ["id", "tree"])
         middle = large.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("m"), F.min("p").alias("low"), F.max("p").alias("high"))
         side = F.when(F.col("low") == F.col("high"), F.pmod(F.xxhash64("id", "tree", F.lit(level)), F.lit(2))).otherwise(F.when(F.col("m") == F.col("low"), F.col("p") > F.col("m")).otherwise(F.col("p") >= F.col("m")).cast("long"))
-        now = graph.cut(large.join(middle, ["tree", "leaf"]).select("tree", (F.col("leaf") * 2 + 1 + side).alias("leaf"), "id", "x"))
-        level += 1
-    return done
+        now = written(large.join(middle, ["tree", "leaf"]).select("tree", (F.col("leaf") * 2 + 1 + side).alias("leaf"), "id"), "halves")
+    small = [t.where(F.col("rows") <= rows).select("tree", "leaf", "id") for t in done[:-1]] + [done[-1].select("tree", "leaf", "id")]
+    found = written(reduce(DataFrame.unionByName, small), "leaves")
+    discard(*done)
+    return found.join(points.select("id", "x"), "id").select("tree", "leaf", "id", "x")
 
 
 def knn_approximate(points: DataFrame, k: int, metric: Metric = "sqeuclidean", trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -245,10 +261,11 @@ def knn_approximate(points: DataFrame, k: int, metric: Metric = "sqeuclidean", t
 
     total = points.count()
     met = leaves(points, trees, max(leaf_rows, 2 * k)).groupBy("tree", "leaf").applyInArrow(solve, "src long, dst long, d double")
-    found = _nearest(met.groupBy("src", "dst").agg(F.min("d").alias("d")), k).persist()
+    found = written(_nearest(met.groupBy("src", "dst").agg(F.min("d").alias("d")), k), "neighbours")
     whole = found.groupBy("src").count().where(F.col("count") >= min(k, total - 1)).select(F.col("src").alias("id"))
-    short = points.join(whole, "id", "left_anti").persist()
-    if short.isEmpty():
+    short = written(points.join(whole, "id", "left_anti"), "short")
+    if not counted(short):
+        discard(short)
         return found
     exact = knn_blocks(short, points, k, metric)
     return found.join(short.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "rank", "d").unionByName(exact)
