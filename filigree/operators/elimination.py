@@ -140,27 +140,27 @@ def postorder(parents: DataFrame) -> DataFrame:
     heads = nodes.groupBy("_up").agg(F.min("id").alias("child")).withColumnRenamed("_up", "id")
     down = nodes.join(heads, "id", "left").select((2 * F.col("id")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("id") + 1).alias("to"), F.lit(0).cast("long").alias("n"))
     up = siblings.select((2 * F.col("id") + 1).alias("e"), F.coalesce(2 * F.col("prev"), 2 * F.col("parent") + 1).alias("to"), F.lit(1).cast("long").alias("n"))
-    tour = written(down.unionByName(up), "tour", F.col("to").isNotNull())
+    total = parents.count()
+    tour = written(down.unionByName(up), "tour", F.col("to").isNotNull(), 2 * total)
     while counted(tour):
         last = tour
-        tour = written(last.join(last.select(F.col("e").alias("to"), F.col("to").alias("t"), F.col("n").alias("m")), "to", "left").select("e", F.col("t").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "tour", F.col("to").isNotNull())
+        tour = written(last.join(last.select(F.col("e").alias("to"), F.col("to").alias("t"), F.col("n").alias("m")), "to", "left").select("e", F.col("t").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "tour", F.col("to").isNotNull(), 2 * total)
         discard(last)
-    total = parents.count()
     ups = tour.where("e % 2 = 1").select(F.shiftright("e", 1).alias("id"), (F.lit(total + 1) - F.col("n")).alias("post"))
     downs = tour.where("e % 2 = 0").select(F.shiftright("e", 1).alias("id"), (F.lit(total + 1) - F.col("n")).alias("first"))
-    out = written(parents.select("id", "parent").join(ups, "id").join(downs, "id"), "postorder")
+    out = written(parents.select("id", "parent").join(ups, "id").join(downs, "id"), "postorder", rows=total)
     discard(tour)
     return out
 
 
 def ancestors_before(pairs: DataFrame, order: DataFrame) -> DataFrame:
     """pairs(a, limit, ..) with lca: the lowest ancestor of a whose post is at least limit, by tables of 2 ** k-th ancestors."""
-    own = order.select("id", "parent").where("parent IS NOT NULL")
-    jump = written(own.join(order.select(F.col("id").alias("parent"), F.col("post").alias("up")), "parent").select("id", F.col("parent").alias("to"), "up"), "jump")
+    own, n = order.select("id", "parent").where("parent IS NOT NULL"), order.count()
+    jump = written(own.join(order.select(F.col("id").alias("parent"), F.col("post").alias("up")), "parent").select("id", F.col("parent").alias("to"), "up"), "jump", rows=n)
     jumps = []
     while counted(jump):
         jumps.append(jump)
-        jump = written(jump.select("id", F.col("to").alias("mid")).join(jump.select(F.col("id").alias("mid"), "to", "up"), "mid").select("id", "to", "up"), "jump")
+        jump = written(jump.select("id", F.col("to").alias("mid")).join(jump.select(F.col("id").alias("mid"), "to", "up"), "mid").select("id", "to", "up"), "jump", rows=n)
     rows = pairs.withColumn("at", F.col("a"))
     for table in reversed(jumps):
         rows = rows.join(table.select(F.col("id").alias("at"), "to", "up"), "at", "left").withColumn("at", F.when(F.col("up") < F.col("limit"), F.col("to")).otherwise(F.col("at"))).select(*pairs.columns, "at")

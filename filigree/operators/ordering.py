@@ -56,10 +56,11 @@ def _contracted(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 def _coarser(edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The contraction v, into of all vertices, and the contracted graph's edges and sizes, written."""
     into = sizes.select("v").join(_contracted(edges, sizes), "v", "left").select("v", F.coalesce("into", "v").alias("into"))
-    into = written(into, "into")
+    n, m = counted(sizes), counted(edges)
+    into = written(into, "into", rows=n)
     ends = edges.join(into.select(F.col("v").alias("u"), F.col("into").alias("a")), "u").join(into.select("v", F.col("into").alias("b")), "v")
-    out = written(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), "edges")
-    new = written(sizes.join(into, "v").groupBy("path", F.col("into").alias("v")).agg(F.sum("n").alias("n")), "sizes")
+    out = written(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), "edges", rows=m)
+    new = written(sizes.join(into, "v").groupBy("path", F.col("into").alias("v")).agg(F.sum("n").alias("n")), "sizes", rows=n)
     return into, out, new
 
 
@@ -152,10 +153,11 @@ def _dissected_group(key: tuple, vertices: pa.Table, edges: pa.Table) -> pa.Tabl
 
 
 # --- cuts of large parts -----------------------------------------------------------------------------------------
-def _sides(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """v, side of the vertices of parts(v, path) by the multilevel scheme; edges(u, v) lie within parts."""
-    fine = written(edges.withColumn("w", F.lit(1.0)), "edges")
-    sizes = written(parts.select("path", "v", F.lit(1).cast("long").alias("n")), "sizes")
+def _sides(edges: DataFrame, parts: DataFrame, m: int, n: int) -> DataFrame:
+    """v, side of the vertices of parts(v, path) by the multilevel scheme; m edges(u, v) lie within parts, n is at least
+    the number of vertices."""
+    fine = written(edges.withColumn("w", F.lit(1.0)), "edges", rows=m)
+    sizes = written(parts.select("path", "v", F.lit(1).cast("long").alias("n")), "sizes", rows=n)
     levels, count = [], counted(sizes)
     many = parts.select("path").distinct().count()
     while count > COARSEST * many and len(levels) < LEVELS:
@@ -166,11 +168,11 @@ def _sides(edges: DataFrame, parts: DataFrame) -> DataFrame:
             break
     within = fine.join(sizes.select("v", F.col("path").alias("part")), "v")
     sides = sizes.groupBy("path").cogroup(within.groupBy("part")).applyInArrow(_cut_group, "v long, side int")
-    sides = written(sides, "sides")
+    sides = written(sides, "sides", rows=n)
     discard(fine, sizes)
     for into, edges_, sizes_ in reversed(levels):
         finer = into.join(sides.select(F.col("v").alias("into"), "side"), "into").select("v", "side")
-        old, sides = sides, written(_evened(edges_, sizes_, finer), "sides")
+        old, sides = sides, written(_evened(edges_, sizes_, finer), "sides", rows=n)
         discard(old, into, edges_, sizes_)
     return sides
 
@@ -192,16 +194,17 @@ def _within(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return edges.join(parts.select(F.col("v").alias("u"), "path"), "u").join(parts.select("v", F.col("path").alias("p")), "v").where("path = p").select("u", "v", "path")
 
 
-def _separated(edges: DataFrame, parts: DataFrame) -> DataFrame:
+def _separated(edges: DataFrame, parts: DataFrame, n: int) -> DataFrame:
     """v, path with a letter more: the sides of each part, and the separator between them."""
-    inner = written(_within(edges, parts), "within")
-    sides = written(_sides(inner.select("u", "v"), parts).join(parts, "v"), "sides")
+    m = counted(edges)
+    inner = written(_within(edges, parts), "within", rows=m)
+    sides = written(_sides(inner.select("u", "v"), parts, m, n).join(parts, "v"), "sides", rows=n)
     ends = inner.select("u", "v").join(sides.select(F.col("v").alias("u"), F.col("side").alias("a"), "path"), "u").join(sides.select("v", F.col("side").alias("b")), "v")
-    border = written(ends.where("a <> b").select("path", F.col("u").alias("v"), F.col("a").alias("side")).distinct(), "border")
+    border = written(ends.where("a <> b").select("path", F.col("u").alias("v"), F.col("a").alias("side")).distinct(), "border", rows=n)
     fewer = border.groupBy("path").agg((F.sum("side") < F.sum(1 - F.col("side"))).cast("int").alias("side"))
     chosen = border.join(fewer, ["path", "side"], "left_semi").select("v", F.lit(2).alias("separates"))
     out = sides.join(chosen, "v", "left").select("v", F.concat("path", F.coalesce("separates", "side").cast("string")).alias("path"))
-    out = written(out, "parts")
+    out = written(out, "parts", rows=n)
     discard(inner, sides, border)
     return out
 
@@ -212,19 +215,20 @@ def dissection(edges: DataFrame, vertices: DataFrame, part: int | None = None) -
     graph = written(pattern(edges), "pattern")
     todo = written(vertices.select(F.col("id").alias("v"), F.lit("").alias("path")).distinct(), "parts")
     done: list[DataFrame] = []
+    n = counted(todo)
     while True:
         large = todo.groupBy("path").count().where(F.col("count") > part).select("path")
         if large.isEmpty():
             break
-        small = written(todo.join(large, "path", "left_anti").select("v", "path"), "small")
-        cut = _separated(graph, todo.join(large, "path", "left_semi").select("v", "path"))
+        small = written(todo.join(large, "path", "left_anti").select("v", "path"), "small", rows=n)
+        cut = _separated(graph, todo.join(large, "path", "left_semi").select("v", "path"), n)
         discard(todo)
         apart = cut.groupBy(F.expr("left(path, length(path) - 1)").alias("path")).agg(F.countDistinct(F.right("path", F.lit(1))).alias("n")).where("n = 1").select("path")
         whole = F.expr("left(path, length(path) - 1)")
         stuck = cut.withColumn("own", whole).join(apart.withColumnRenamed("path", "own"), "own", "left_semi")  # one side has all
         separators = cut.where(F.right("path", F.lit(1)) == "2")
-        done += [small, written(separators.unionByName(stuck.select("v", "path").where(F.right("path", F.lit(1)) != "2")), "done")]
-        todo = written(cut.where(F.right("path", F.lit(1)) != "2").withColumn("own", whole).join(apart.withColumnRenamed("path", "own"), "own", "left_anti").select("v", "path"), "parts")
+        done += [small, written(separators.unionByName(stuck.select("v", "path").where(F.right("path", F.lit(1)) != "2")), "done", rows=n)]
+        todo = written(cut.where(F.right("path", F.lit(1)) != "2").withColumn("own", whole).join(apart.withColumnRenamed("path", "own"), "own", "left_anti").select("v", "path"), "parts", rows=n)
         discard(cut)
     done.append(todo)
     out = _finished(graph, done)

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from filigree.operators.graph import shared_folder
 
 
-def written(df: DataFrame, name: str, where: Column | None = None) -> DataFrame:
+#: Rows that a task writes at least, where a bound of them is known.
+TASK_ROWS = 250_000
+
+
+def written(df: DataFrame, name: str, where: Column | None = None, rows: int | None = None) -> DataFrame:
     """df as Parquet in the shared folder, read again: its plan is cut, and it survives lost executors. counted() tells the
-    number of its rows, or of those where a condition holds, which is counted as they are written."""
+    number of its rows, or of those where a condition holds, which is counted as they are written. A bound of its rows,
+    where one is known, keeps small tables from being dealt over as many tasks as large ones."""
     spark, seen = df.sparkSession, Observation()
+    if rows is not None:
+        df = df.coalesce(1 + rows // TASK_ROWS)
     df = df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("n"))
     path = f"{shared_folder(spark.sparkContext)}/filigree-steps/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -40,11 +47,11 @@ def discard(*tables: DataFrame | None) -> None:
 TABLES = 16
 
 
-def gathered(tables: list[DataFrame], new: DataFrame, name: str) -> list[DataFrame]:
+def gathered(tables: list[DataFrame], new: DataFrame, name: str, rows: int | None = None) -> list[DataFrame]:
     """The list with new, its tables written as one where they are many: plans stay short however many steps there are."""
     tables = [*tables, new]
     if len(tables) <= TABLES:
         return tables
-    whole = written(reduce(DataFrame.unionByName, tables), name)
+    whole = written(reduce(DataFrame.unionByName, tables), name, rows=rows)
     discard(*tables)
     return [whole]
