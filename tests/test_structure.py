@@ -79,11 +79,11 @@ def test_descent_by_the_tree(spark):
     assert np.abs(got[["y0", "y1"]].to_numpy() - want[["y0", "y1"]].to_numpy()).max() < 1e-9
     assert abs(got.cost.iloc[0] - want.cost.iloc[0]) < 1e-9
     home = graph.shared_folder(spark.sparkContext).removeprefix("file://").removeprefix("file:")
-    left = lambda: len(glob.glob(f"{home}/filigree-steps/*/state-*"))
+    left = lambda: len(glob.glob(f"{home}/filigree-steps/*/*"))
     before = left()
     p = api.joint(edges, Params())
     descent.descend(p, start, Params(max_iter=3), exact=True).count()
-    assert left() - before == 1
+    assert left() - before == 1  # the coordinates
     with pytest.raises(ValueError, match="repulsion"):
         Params(repulsion="none")
 
@@ -169,9 +169,9 @@ def test_dissection_of_a_mesh_over_tables(spark):
 
 def test_dissection_of_odd_graphs(spark):
     """A hub, vertices without edges, loops, repeats and no vertices at all; a complete graph ends although no cut parts it."""
-    hub = [(0, k) for k in range(1, 300)]
-    got = ordering.nested_dissection(pairs_frame(spark, [*hub, (5, 5), (0, 1), (1, 0)]), ids_frame(spark, 320), 200).toPandas()
-    assert sorted(got.position) == list(range(320)) and sorted(got.id) == list(range(320))
+    hub = [(0, k) for k in range(1, 120)]
+    got = ordering.nested_dissection(pairs_frame(spark, [*hub, (5, 5), (0, 1), (1, 0)]), ids_frame(spark, 130), 100).toPandas()
+    assert sorted(got.position) == list(range(130)) and sorted(got.id) == list(range(130))
     full = [(a, b) for a in range(40) for b in range(a)]
     got = ordering.nested_dissection(pairs_frame(spark, full), ids_frame(spark, 40), 20).toPandas()
     assert sorted(got.position) == list(range(40))
