@@ -166,10 +166,20 @@ def knn_exact(points: DataFrame, k: int, metric: Metric = "sqeuclidean", groups:
 
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)))
     met = dealt.withColumn("other", F.explode(F.lit(list(range(groups))).cast("array<long>"))).select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "x")
-    found = met.groupBy("low", "high").applyInArrow(lambda key, table: pa.Table.from_batches(list(run(key, table)), _FOUND), "src long, dst long, d double")
+    found = met.groupBy("low", "high").applyInArrow(lambda key, table: _k_least(list(run(key, table)), k), "src long, dst long, d double")
     return _nearest(found, k)
 
 
+def _k_least(parts: list[pa.RecordBatch], k: int) -> pa.Table:
+    """Of the rows of all parts the k first of each src by d, then dst: what a pair of groups sends on does not grow with its tiles."""
+    table = pa.Table.from_batches(parts, _FOUND)
+    src, dst, d = (table.column(c).to_numpy() for c in ("src", "dst", "d"))
+    order = np.lexsort((dst, d, src))
+    first = np.flatnonzero(np.concatenate([[True], src[order][1:] != src[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return table.take(pa.array(order[rank < k]))
+
+
 _FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("d", pa.float64())])
 
 
