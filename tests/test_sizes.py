@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from filigree.operators import forces
+from filigree.operators import forces, neighbors
+from filigree.plans.queries import canberra
 
 
 def test_exact_repulsion_takes_more_points_than_20000(spark):
@@ -23,3 +25,31 @@ def test_exact_repulsion_of_a_few_points_of_one_place(spark):
     got = forces.repulse_exact(coords).toPandas()
     assert len(got) == 4 and np.isclose(got.zeta, 12).all() and np.allclose(got[["f0", "f1"]], 0)
     assert forces.repulse_exact(coords.limit(1)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["sqeuclidean", "euclidean", "cityblock", "minkowski", "chebychev", "cosine", "hamming", "jaccard", canberra])
+@pytest.mark.parametrize("offset", [0.0, 3.0])
+def test_tiles_of_pairs_find_the_nearest(metric, offset):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(600, 8)) + offset, rng.normal(size=(2500, 8)) + offset
+    x[:40], y[100:400], x[50:80] = y[:40], y[100], y[100]
+    if metric in ("hamming", "jaccard"):
+        x, y = (np.round(a) if offset else (a > 0.1) * 1.0 for a in (x, y))
+    src, dst = np.arange(600) * 7, np.arange(2500) * 3 + 1
+    d = np.stack([neighbors._paired(metric, np.repeat(row[None], len(y), 0), y, 3.0) for row in x]) if metric == "cosine" else neighbors.block_distances(metric, x, y)
+    for got, whole, own, other in zip(neighbors._nearest_of(metric, x, y, src, dst, 10, True), (d, d.T), (src, dst), (dst, src), strict=True):
+        whole = np.where(own[:, None] == other[None, :], np.inf, whole)
+        order = np.lexsort((np.broadcast_to(other, whole.shape), whole), axis=1)[:, :10]
+        assert got.num_rows == 10 * len(own)  # ties are cut before a task sends them on
+        assert (got.column("dst").to_numpy().reshape(-1, 10) == other[order]).all()
+        assert (got.column("d").to_numpy().reshape(-1, 10) == np.take_along_axis(whole, order, 1)).all()
+
+
+def test_nearest_beside_values_that_are_not_finite():
+    x = np.random.default_rng(5).normal(size=(30, 4))
+    x[3, 1], x[4, 2] = np.nan, np.inf
+    ids = np.arange(30)
+    for metric in ("euclidean", "minkowski", "cosine"):
+        with np.errstate(invalid="ignore"):
+            got = neighbors._nearest_of(metric, x, x, ids, ids, 5, False)[0].to_pandas()
+        assert len(got) == 28 * 5 and not set(got.src) & {3, 4} and not set(got.dst) & {3, 4}
