@@ -53,3 +53,14 @@ def test_nearest_beside_values_that_are_not_finite():
         with np.errstate(invalid="ignore"):
             got = neighbors._nearest_of(metric, x, x, ids, ids, 5, False)[0].to_pandas()
         assert len(got) == 28 * 5 and not set(got.src) & {3, 4} and not set(got.dst) & {3, 4}
+
+
+def test_leaves_grow_until_the_recall_is_reached(spark):
+    x = np.random.default_rng(2).normal(size=(3000, 32))
+    pts = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>")
+    got = neighbors.knn_approximate(pts, 10, trees=2, leaf_rows=64).toPandas()
+    d = ((x[:, None] - x[None, :300]) ** 2).sum(2).T
+    d[np.arange(300), np.arange(300)] = np.inf
+    want = np.argsort(d, axis=1)[:, :10]
+    hits = sum(len(set(want[s]) & set(g)) for s, g in got[got.src < 300].groupby("src").dst)
+    assert len(got) == 30_000 and hits >= 0.9 * want.size
