@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from filigree.operators import forces, neighbors
+from filigree.operators import forces, graph, linalg, neighbors
 from filigree.plans.queries import canberra
 
 
@@ -64,3 +65,10 @@ def test_leaves_grow_until_the_recall_is_reached(spark):
     want = np.argsort(d, axis=1)[:, :10]
     hits = sum(len(set(want[s]) & set(g)) for s, g in got[got.src < 300].groupby("src").dst)
     assert len(got) == 30_000 and hits >= 0.9 * want.size
+
+
+def test_vectors_of_matrices_are_not_broadcast(spark):
+    ids = spark.range(200)
+    v = ids.select("id", F.col("id").cast("double").alias("x"))
+    plan = linalg.spmv(graph.banded(ids, 5), v)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
