@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import forces, graph, linalg, neighbors
+from filigree.operators import forces, graph, linalg, neighbors, state
 from filigree.plans.queries import canberra
 
 
@@ -72,3 +72,12 @@ def test_vectors_of_matrices_are_not_broadcast(spark):
     v = ids.select("id", F.col("id").cast("double").alias("x"))
     plan = linalg.spmv(graph.banded(ids, 5), v)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_states_of_hubs_are_not_broadcast(spark, monkeypatch):
+    plans, own = [], state.written
+    monkeypatch.setattr(state, "written", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *a, **b))
+    rows = spark.range(400).select((F.col("id") % 20).alias("src"), (F.col("id") / 100.0 + 0.1).alias("d"))
+    got = graph.rescaling_of_hubs(rows, 2.0).collect()
+    assert len(got) == 20 and all(abs(r.total - 2.0) < 1e-4 for r in got)
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
