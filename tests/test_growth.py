@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from filigree.operators import linalg
+from filigree.sources import files, matlab
 
 
 def test_columns_of_a_product_without_the_product(spark):
@@ -22,3 +23,34 @@ def test_a_product_of_many_equal_columns_stays_small(spark):
     b = spark.range(60_000).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dst"), F.lit(1.0).alias("w"))
     got = linalg.product_columns(b.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), b)
     assert got.where("n = 60000 AND w = 300000").count() == 60_000  # 18 billion pairs
+
+
+def test_sparse_matlab_slices(spark, tmp_path):
+    """More columns than a file has entries, a column over several files, gaps, and values with any bytes."""
+    rng = np.random.default_rng(8)
+    e = np.unique(np.concatenate([rng.integers(0, 900, (700, 2)), np.stack([np.full(300, 7), np.arange(300)], 1), [[3_000_000, 5]]]), axis=0)
+    frame = spark.createDataFrame(pd.DataFrame({"src": e[:, 0], "dst": e[:, 1], "w": rng.normal(size=len(e))}))
+    matlab.write_mat_sparse(frame, str(tmp_path / "m"), "g.a", 100)
+    assert len(list((tmp_path / "m").glob("part-*"))) >= 10
+    got = matlab.read_mat_sparse(spark, str(tmp_path / "m"), "g.a")
+    assert got.count() == len(e) and got.exceptAll(frame).isEmpty()
+
+
+def test_matlab_neighbours_in_slices(spark, tmp_path):
+    rows = [(3 * s, (s * 5 + r) % 40, r, s + r / 7) for s in range(40) for r in range(4)]
+    files.write_mat_neighbours(spark.createDataFrame(rows, "src long, dst long, rank long, d double"), str(tmp_path / "k"), size=30)
+    assert len(list((tmp_path / "k").glob("part-*"))) >= 5
+    assert sorted(map(tuple, files.read_mat_neighbours(spark, str(tmp_path / "k")).collect())) == rows
+
+
+def test_matrix_market_files_follow_one_another(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    edges = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("src"), F.col("id").alias("dst"), (F.col("id") + 0.5).alias("w"))
+    files.write_matrix_market(edges, str(tmp_path / "g"), 5000)
+    parts = sorted((tmp_path / "g").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text().split("\n") if x]
+    assert len(parts) > 1 and lines[0] == "5000 5000 5000"
+    columns = [int(x.split()[1]) for x in lines[1:]]
+    assert columns == sorted(columns) == list(range(1, 5001))
+    assert files.read_matrix_market(spark, str(tmp_path / "g")).exceptAll(edges).isEmpty()
