@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import linalg
+from filigree.operators import linalg, ordering
 from filigree.sources import files, matlab
 
 
@@ -54,3 +55,26 @@ def test_matrix_market_files_follow_one_another(spark, tmp_path, request):
     columns = [int(x.split()[1]) for x in lines[1:]]
     assert columns == sorted(columns) == list(range(1, 5001))
     assert files.read_matrix_market(spark, str(tmp_path / "g")).exceptAll(edges).isEmpty()
+
+
+@pytest.mark.parametrize("grouped", [1 << 16, 150])
+def test_dissection_in_groups_and_over_tables(spark, monkeypatch, grouped):
+    """Both ways part a mesh with copies of a hub and lone vertices; a part that fits is cut in one round of few jobs."""
+    monkeypatch.setattr(ordering, "GROUPED", grouped)
+    calls, own = [], ordering._separated
+    monkeypatch.setattr(ordering, "_separated", lambda *a: calls.append(1) or own(*a))
+    n, width = 600, 20
+    edges = ordering.mesh(spark.range(n), width).unionByName(spark.range(600, 640).select(F.lit(5).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))
+    paths = ordering.nested_dissection(edges, spark.range(700), 100)
+    got = paths.toPandas()
+    assert sorted(got.id) == sorted(got.position) == list(range(700))
+    assert ordering.crossing(edges, paths).isEmpty()
+    pieces = got.path[~got.path.str.endswith("2")].str.len()
+    assert pieces.min() >= 3 and (not calls if grouped > 700 else calls)
+
+
+def test_halves_of_a_strip_are_even_and_their_cut_is_short():
+    e = np.array([(a, a + 1) for a in range(4000) if (a + 1) % 8] + [(a, a + 8) for a in range(3992)])
+    u, v = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+    side = ordering._halved(4000, u, v, np.ones(len(u)), np.ones(4000))
+    assert 1600 <= side.sum() <= 2400 and (side[u] != side[v]).sum() <= 2 * 24
