@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import linalg, ordering
+from filigree.operators import forces, linalg, ordering, treecode
+from filigree.plans import queries
 from filigree.sources import files, matlab
 
 
@@ -78,3 +79,17 @@ def test_halves_of_a_strip_are_even_and_their_cut_is_short():
     u, v = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
     side = ordering._halved(4000, u, v, np.ones(len(u)), np.ones(4000))
     assert 1600 <= side.sum() <= 2400 and (side[u] != side[v]).sum() <= 2 * 24
+
+
+def test_exact_tree_makes_no_pairs_of_leaves(spark, monkeypatch):
+    monkeypatch.setattr(treecode, "_walk", lambda *a: pytest.fail("pairs of leaves as rows"))
+    coords = spark.range(300).select("id", (F.col("id") % 90 / 7.0).alias("y0"), F.sin(F.col("id") % 90).alias("y1"))
+    got, want = (x.orderBy("id").toPandas() for x in (treecode.repulse_tree(coords, 0.0), forces.repulse_exact(coords)))
+    assert np.allclose(got, want)
+    assert treecode.repulse_tree(coords.limit(1), 0.0).select("f0", "f1", "zeta").collect() == [(0.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["perplexity_joint", "perplexity_check", "perplexity_edges"])
+def test_pairs_are_compared_once(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
