@@ -10,6 +10,7 @@ null doc_id come first. An empty table gives files without rows. Further columns
 
 from __future__ import annotations
 
+import codecs
 import json
 import unicodedata
 import zlib
@@ -30,6 +31,15 @@ FILE_BYTES = 32 << 20
 
 #: What keeps words apart in one call: a character that is a token of its own.
 _MARK = "\x01"
+#: What the vocabulary's byte level makes of each byte, but for the blank, which parts words: visible bytes stay, the others follow from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHER = sorted(set(range(256)) - set(_SEEN))
+_LEVEL = "".join(chr(b if b in _SEEN or b == 0x20 else 256 + _OTHER.index(b)) for b in range(256))
+
+
+def byte_level(text: str) -> str:
+    """A character for each byte of the text. One pass over many words, where the library's own step takes them one by one."""
+    return codecs.charmap_decode(text.encode(), "strict", _LEVEL)[0]
 
 
 class WordEncoder:
@@ -50,7 +60,7 @@ class WordEncoder:
         self.tokenizer, self.end_id, self.cache_size = Tokenizer.from_file(path), end_id, cache_size
         plain = json.loads(self.tokenizer.to_str())
         plain["normalizer"] = None
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        plain["pre_tokenizer"] = {"type": "WhitespaceSplit"}  # it gets texts of byte_level()
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile(r"['\s\p{C}]|<\|").search
@@ -75,7 +85,8 @@ class WordEncoder:
     def _encode(self, tokenizer, hashes: list[int], words: list[bytes], texts: list[str]) -> None:
         made, sizes = [], []
         for k in range(0, len(texts), 1000):
-            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(texts[k : k + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            text = f" {_MARK} ".join(texts[k : k + 1000])
+            ids = np.array(tokenizer.encode_batch_fast([byte_level(text) if tokenizer is self.plain else text], add_special_tokens=False)[0].ids, np.uint32)
             mark = ids == self.mark[0]
             sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(ids)]])) - 1)
             made.append(ids[~mark])
@@ -123,12 +134,15 @@ class WordEncoder:
         fresh[1:] = ranked[1:] != ranked[:-1]
         first = order[fresh]
         distinct = ranked[fresh].tolist()
-        missing = [k for k, h in enumerate(distinct) if h not in self.known]
+        found = list(map(self.known.get, distinct))
+        missing = [k for k, x in enumerate(found) if x is None]
         if missing:
             raw, own = data.tobytes(), first[missing]
             self.learn([distinct[k] for k in missing], [raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            for k in missing:
+                found[k] = self.known[distinct[k]]
         place = np.empty(len(hashes), np.int64)
-        place[order] = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.cumsum(fresh) - 1]
+        place[order] = np.array(found, np.int64)[np.cumsum(fresh) - 1]
         sizes, known = ends - starts, self.word_at[place + 1] - self.word_at[place]
         unsure = np.flatnonzero((sizes != known) | (sizes > 8))  # of words of one size up to eight bytes, no two have one hash
         at_known = place[unsure]

@@ -202,3 +202,15 @@ def test_token_files_are_counted_by_texts(spark, monkeypatch, kind):
     monkeypatch.setattr(token_orc, "FILE_BYTES", 100)
     docs = spark.createDataFrame([(k, "word " * 10, None if kind == "long" else "many") for k in range(10)], f"doc_id long, text string, n_chars {kind}")
     assert token_orc.files_for(docs) == 5
+
+
+def test_byte_level_is_that_of_the_library():
+    """All bytes but the blank, which parts words here, as the library's own step maps them."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    from filigree.llm.token_orc import byte_level
+
+    own = ByteLevel(add_prefix_space=False, use_regex=False)
+    for text in ("".join(map(chr, range(0x21, 0x800))), "\x01\x1f\x7f\x80\xa0\xad", "日本語ß€😀"):
+        assert byte_level(text) == own.pre_tokenize_str(text)[0][0]
+    assert byte_level("a b") == "a b"
