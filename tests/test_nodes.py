@@ -35,3 +35,35 @@ def test_service_repulses_once(spark, monkeypatch):
     monkeypatch.setattr(forces, "repulse", lambda *a: calls.append(1) or real(*a))
     assert queries.QUERIES["gradient_service"](spark, "/root/testdata/sf0.001").count()
     assert len(calls) == 1
+
+
+def test_service_in_tiles(spark, monkeypatch):
+    """Gradients and costs of a graph without its edges' joins, for coordinates given before or after; edges that end at no vertex
+    take the joins."""
+    from filigree import api
+    from filigree.operators import graph
+    from filigree.params import Params
+
+    edges = graph.random_graph(spark, 300, 5).where("src <> dst")
+    one = graph.random_coordinates(spark.range(310), 2, 1)
+    two = graph.random_coordinates(spark.range(310), 2, 2)
+    service, plain = api.GradientService.of(edges, one), api.GradientService(api.joint(edges, Params()))
+    for coords in (one, two):
+        got, want = (s.gradient(coords, 12.0, 2.0).toPandas().sort_values("id") for s in (service, plain))
+        assert len(got) == len(want) == 310
+        assert np.abs(got[["d0", "d1", "zeta"]].to_numpy() / want[["d0", "d1", "zeta"]].to_numpy() - 1).max() < 1e-8
+        assert abs(service.kl(coords, 3.0) - plain.kl(coords, 3.0)) < 1e-10
+    monkeypatch.setattr(forces, "attract", None)  # the tiles do without
+    assert service.gradient(one).count() == 310
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="other vertices"):
+        service.gradient(two.where("id <> 3")).count()
+    service.close()
+    few = one.where("id < 290")
+    service = api.GradientService.of(edges, few)
+    assert service.held is None
+    assert abs(service.kl(few) - plain.kl(few)) < 1e-12
+    service.close()
+    plain.close()
+    none = api.GradientService.of(edges.limit(0), one)
+    assert none.kl(one) is None and none.gradient(one).count() == 310
