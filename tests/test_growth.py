@@ -144,3 +144,12 @@ def test_factor_by_subtrees(spark, monkeypatch):
         assert np.allclose(low @ low.T, dense, atol=1e-12)
         got = factor.solve(made, spark.createDataFrame(pd.DataFrame({"id": range(n), "x": b}))).toPandas().sort_values("id")
         assert np.allclose(got.x, np.linalg.solve(dense, b))
+
+
+def test_part_that_fits_a_group_is_not_cut_over_tables(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "_separated", None)
+    ids = spark.range(70_000)
+    paths = ordering.nested_dissection(ordering.mesh(ids, 40), ids)
+    got = paths.agg(F.count("*").alias("n"), F.countDistinct("position").alias("m"), F.max("position").alias("last")).first()
+    assert (got.n, got.m, got.last) == (70_000, 70_000, 69_999)
+    assert ordering.crossing(ordering.mesh(ids, 40), paths).isEmpty()
